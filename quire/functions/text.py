@@ -92,14 +92,15 @@ def title_key(c: Column | str) -> Column:
 
 
 def title_words(key: Column | str) -> Column:
-    """The sorted set of words of a title key."""
-    return F.array_sort(F.array_distinct(words(key)))
+    """The sorted set of words of a title key; a blank title has the one word ''."""
+    found = F.array_sort(F.array_distinct(words(key)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two word sets (arrays without repeats); null if either is empty."""
+    """Similarity of two word sets (arrays without repeats)."""
     both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both))
+    return both / (F.size(a) + F.size(b) - both)
 
 
 def bookmark_confidence(title: Column, level: Column) -> Column:

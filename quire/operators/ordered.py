@@ -54,6 +54,28 @@ def number_rows(
     )
 
 
+def next_value(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: Sequence[Column], value: str, out: str
+) -> DataFrame:
+    """``value`` of the following row within ``keys``, null on the last. The row after a
+    slice's end is the first row of the next slice, taken from the slice summaries."""
+    keys = list(keys)
+    names = _slice_names(slices)
+    cut = df.withColumns(dict(zip(names, slices)))
+    firsts = (
+        cut.groupBy(*keys, *names)
+        .agg(F.min_by(F.col(value), F.struct(*order)).alias("_first"))
+        .withColumn("_edge", F.lead("_first").over(W.partitionBy(*keys).orderBy(*names)))
+        .drop("_first")
+    )
+    inner = W.partitionBy(*keys, *names).orderBy(*order)
+    return (
+        cut.join(firsts, [*keys, *names])
+        .withColumn(out, F.coalesce(F.lead(value).over(inner), F.col("_edge")))
+        .drop("_edge", *names)
+    )
+
+
 def assemble_text(
     df: DataFrame,
     keys: Sequence[str],
@@ -116,40 +138,3 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     name = rank or "_rank"
     ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= n)
     return ranked if rank else ranked.drop(name)
-
-
-def islands(
-    df: DataFrame, keys: Sequence[str], value: str, gap: float, width: float, out: str
-) -> DataFrame:
-    """0-based number of the run each distinct ``value`` belongs to, per key.
-
-    A new run starts where the step from the value before exceeds ``gap``. ``df``
-    holds distinct values per key. Steps across slice borders come from the
-    largest value of the slice before.
-    """
-    keys = list(keys)
-    cut = df.withColumn("_s0", F.floor(F.col(value) / width))
-    inner = W.partitionBy(*keys, "_s0").orderBy(value)
-    steps = cut.withColumn("_prev", F.lag(value).over(inner))
-    bounds = cut.groupBy(*keys, "_s0").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    per_key = W.partitionBy(*keys).orderBy("_s0")
-    bounds = bounds.withColumn("_edge", F.lag("_hi").over(per_key)).select(*keys, "_s0", "_edge")
-    starts = (
-        steps.join(bounds, [*keys, "_s0"])
-        .withColumn("_from", F.coalesce("_prev", "_edge"))
-        .withColumn("_new", F.when(F.col(value) - F.col("_from") > gap, 1).otherwise(0))
-    )
-    counts = (
-        starts.groupBy(*keys, "_s0")
-        .agg(F.sum("_new").alias("_n"))
-        .withColumn(
-            "_before",
-            F.coalesce(F.sum("_n").over(per_key.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-        )
-        .drop("_n")
-    )
-    return (
-        starts.join(counts, [*keys, "_s0"])
-        .withColumn(out, F.col("_before") + F.sum("_new").over(inner))
-        .drop("_prev", "_edge", "_from", "_new", "_before", "_s0")
-    )
