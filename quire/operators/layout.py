@@ -182,7 +182,7 @@ def reading_order(regions: DataFrame, columns: DataFrame) -> DataFrame:
         "_col", F.when(F.col("_ncols") <= 1, F.lit(0)).otherwise(F.col("column_number"))
     )
     numbered = number_rows(
-        keyed, ["page_id"], [F.col("_col"), F.col("y0"), F.col("x0"), F.col("line_number")],
+        keyed, ["page_id"], [F.col("_col"), F.col("y0"), F.col("x0"), F.col("line_number"), F.col("part")],
         [F.col("_col"), F.floor(F.col("y0") / STRIP)], "_no",
     )
     return numbered.withColumn("reading_order", F.col("_no") - 1).drop("_no", "_col", "_ncols")
