@@ -19,42 +19,49 @@ def step_percent(percent: Column, step: Column, total: Column) -> Column:
     return F.when(percent.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), percent))).otherwise(by_step)
 
 
-def replay_tasks(events: DataFrame) -> DataFrame:
-    """Task states after all events. Events before a task's first start are ignored, a
-    start resets the task, later events overwrite a finished one.
+KINDS = ["start", "update", "complete", "fail"]
 
-    Everything that survives is decided by the last start and by the last event of
-    each kind after it, so two partial aggregates replace a per-task replay.
-    """
-    at = F.struct("ts", "seq")
-    starts = (
-        events.filter(F.col("kind") == "start")
-        .groupBy("task_id")
-        .agg(F.max(at).alias("start_at"), F.max_by("total_steps", at).alias("total_steps"))
-    )
-    later = events.drop("total_steps").join(starts, "task_id").filter(at >= F.col("start_at"))
-    kind = F.col("kind")
-    moved = kind.isin("start", "update", "complete")
-    percent = (
-        F.when(kind == "start", 0)
-        .when(kind == "complete", 100)
-        .otherwise(step_percent(F.col("percent"), F.col("step_index"), F.col("total_steps")))
-    )
-    status = (
-        F.when(kind == "start", "pending").when(kind == "update", "processing")
-        .when(kind == "complete", "completed").otherwise("failed")
+
+def last_events(events: DataFrame) -> DataFrame:
+    """The last event of each kind per task. Works on a batch or a stream; the state per
+    task is four rows, combined on the map side."""
+    row = F.struct("ts", "seq", "percent", "step_index", "total_steps")
+    return events.groupBy("task_id").agg(
+        *[F.max_by(row, F.when(F.col("kind") == k, F.struct("ts", "seq"))).alias(k) for k in KINDS]
     )
-    return later.groupBy("task_id").agg(
-        F.max_by(status, at).alias("status"),
-        F.max_by(F.when(moved, percent), F.when(moved, at)).alias("progress_percent"),
-        F.coalesce(
-            F.max_by(F.when(kind == "update", F.col("step_index")), F.when(kind == "update", at)), F.lit(0)
-        ).alias("step_index"),
-        F.max("start_at.ts").alias("start_ts"),
-        F.max_by(F.when(kind.isin("complete", "fail"), F.col("ts")), F.when(kind.isin("complete", "fail"), at)).alias("end_ts"),
+
+
+def task_states(last: DataFrame) -> DataFrame:
+    """Task states from the last event of each kind. Events before a task's last start do
+    not count (without a start the task is unknown), later ones overwrite a finished task."""
+
+    def at(kind: str) -> Column:
+        return F.struct(F.col(f"{kind}.ts"), F.col(f"{kind}.seq"))
+
+    def after_start(kind: str) -> Column:
+        return F.when(F.col(kind).isNotNull() & (at(kind) > at("start")), at(kind))
+
+    update, done, failed = (after_start(k) for k in KINDS[1:])
+    ended = F.greatest(done, failed)
+    newest = F.greatest(at("start"), update, done, failed)
+    moved = F.greatest(at("start"), update, done)
+    percent = step_percent(F.col("update.percent"), F.col("update.step_index"), F.col("start.total_steps"))
+    return last.filter(F.col("start").isNotNull()).select(
+        "task_id",
+        F.when(newest == failed, "failed").when(newest == done, "completed").when(newest == update, "processing")
+        .otherwise("pending").alias("status"),
+        F.when(moved == done, 100).when(moved == update, percent).otherwise(0).alias("progress_percent"),
+        F.when(update.isNotNull(), F.col("update.step_index")).otherwise(0).alias("step_index"),
+        F.col("start.ts").alias("start_ts"),
+        ended["ts"].alias("end_ts"),
     )
 
 
+def replay_tasks(events: DataFrame) -> DataFrame:
+    """Task states after all events, without replaying them one by one."""
+    return task_states(last_events(events))
+
+
 def expire_tasks(tasks: DataFrame, now: Column, hours: float = 24) -> DataFrame:
     """Drop finished tasks whose end lies more than ``hours`` back."""
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("end_ts").cast("timestamp"))

@@ -232,7 +232,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     ]),
     "v_ai_results": ("documents", [
         "doc_id", "n_chars AS original_length", "doc_id % 6 <> 0 AS success",
-        "CASE WHEN doc_id % 6 <> 0 THEN substring(text, 1, 300) END AS content",
+        "CASE WHEN doc_id % 6 <> 0 THEN replace(text, ' ', '') END AS content",
         "CASE doc_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS provider",
         "concat('model-', doc_id % 2) AS model", "doc_id % 40 / 8.0 AS processing_time",
         "CASE WHEN doc_id % 2 = 0 THEN 'summary' ELSE 'enhance' END AS operation",
@@ -242,6 +242,12 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "md5(concat(text, ':', 'alpha')) AS cache_key", "concat('cached ', doc_id) AS content", "doc_id",
     ]),
     "v_selection": ("documents", ["doc_id AS file_id"]),
+    # raw bytes as hex-free columns: UTF-8, GBK tail on ASCII text, or a stray byte
+    "v_raw_texts": ("documents", [
+        "doc_id", "text",
+        "CASE WHEN doc_id % 4 = 1 AND length(text) = octet_length(encode(text)) THEN 'gbk'"
+        " WHEN doc_id % 2 = 0 THEN 'broken' ELSE 'utf8' END AS kind",
+    ]),
     # layout summary of a page
     "v_page_layout": ("lineitem", [
         "l_orderkey AS doc_id", "l_linenumber AS page_num", "CAST(1 + l_partkey % 3 AS INT) AS n_columns",
@@ -255,7 +261,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "v_page_texts": ("conversations", [
         "conv_id AS doc_id", "turn AS page_num",
         "CASE WHEN turn % 4 = 2 THEN '   ' ELSE text END AS text",
-        "CASE WHEN turn % 3 <> 1 THEN concat('ocr ', substring(text, 1, 40)) END AS ocr_text",
+        "CASE WHEN turn % 3 <> 1 THEN concat('ocr ', text) END AS ocr_text",
     ]),
     # one output line of an external converter
     "v_engine_log": ("events", [
