@@ -242,10 +242,10 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "md5(concat(text, ':', 'alpha')) AS cache_key", "concat('cached ', doc_id) AS content", "doc_id",
     ]),
     "v_selection": ("documents", ["doc_id AS file_id"]),
-    # raw bytes as hex-free columns: UTF-8, GBK tail on ASCII text, or a stray byte
+    # raw bytes as UTF-8, GBK tail on ASCII text, or a stray byte
     "v_raw_texts": ("documents", [
         "doc_id", "text",
-        "CASE WHEN doc_id % 4 = 1 AND length(text) = octet_length(encode(text)) THEN 'gbk'"
+        "CASE WHEN doc_id % 4 = 1 AND length(text) * 8 = bit_length(text) THEN 'gbk'"
         " WHEN doc_id % 2 = 0 THEN 'broken' ELSE 'utf8' END AS kind",
     ]),
     # layout summary of a page
