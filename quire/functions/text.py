@@ -8,8 +8,13 @@ from pyspark.sql import Column, functions as F
 
 from quire.functions import values as V
 
-# Java's (?U)\s lacks the four separators U+001C..U+001F that count as blanks here.
-SPACE = r"[\s\x1c-\x1f]"
+# Unicode blanks as an explicit class: much faster in Java than (?U)\s, and it has the
+# four separators U+001C..U+001F that count as blanks here.
+BLANKS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACE = f"[{BLANKS}]"
+BLANK_CHARS = "".join(
+    map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 CJK = "[一-鿿]"
 
 
@@ -17,22 +22,28 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def uni(pattern: str) -> str:
+    """A pattern whose ``\\s`` and ``\\d`` mean Unicode blanks and digits."""
+    return pattern.replace(r"\s", SPACE).replace(r"\d", r"\p{Nd}")
+
+
 def ustrip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col(c), F.lit(BLANK_CHARS))
 
 
 def collapse(c: Column | str) -> Column:
     """Every whitespace run becomes one space, both ends stripped."""
-    return F.trim(F.regexp_replace(col(c), rf"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(col(c), f"{SPACE}+", " "))
 
 
 def is_blank(c: Column | str) -> Column:
-    return ~col(c).rlike(r"(?U)[^\s\x1c-\x1f]")
+    return ~col(c).rlike(f"[^{BLANKS}]")
 
 
 def words(c: Column | str) -> Column:
     """Whitespace-separated non-empty tokens."""
-    return F.filter(F.split(col(c), rf"(?U){SPACE}+"), lambda w: w != "")
+    t = ustrip(c)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"{SPACE}+"))
 
 
 def strip_tags(c: Column | str) -> Column:
@@ -66,23 +77,21 @@ def cjk_count(c: Column | str) -> Column:
     return F.length(F.regexp_replace(col(c), "[^一-鿿]", ""))
 
 
+NUMBERED_HEADING = "(?iu)" + "|".join(f"(?:{uni(p)})" for p in [V.CHAPTER_WORD_PATTERN, *V.LIST_HEAD_PATTERNS])
+
+
 def heading_likely(c: Column | str) -> Column:
     """Numbered heading, or a short line that does not read like a sentence."""
     t = ustrip(c)
-    numbered = reduce(
-        lambda a, b: a | b,
-        [t.rlike("(?iuU)" + p) for p in [V.CHAPTER_WORD_PATTERN, *V.LIST_HEAD_PATTERNS]],
-    )
     low = F.lower(t)
     wordy = reduce(lambda a, b: a | b, [low.contains(w) for w in V.SENTENCE_WORDS])
     short = (F.length(t) < 100) & ~F.substring(t, -1, 1).isin(V.SENTENCE_ENDS) & ~wordy
-    return numbered | short
+    return short | t.rlike(NUMBERED_HEADING)
 
 
 def clean_title(c: Column | str) -> Column:
-    t = F.regexp_replace(ustrip(c), "(?iuU)" + V.PAGE_PREFIX_PATTERN, "")
-    t = F.regexp_replace(t, rf"(?U){SPACE}+", " ")
-    t = F.regexp_replace(t, r"^[•·\-—–]+|[•·\-—–]+\z", "")
+    t = F.regexp_replace(ustrip(c), "(?iu)" + uni(V.PAGE_PREFIX_PATTERN), "")
+    t = F.btrim(F.regexp_replace(t, f"{SPACE}+", " "), F.lit(V.TITLE_BULLETS))
     return F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)))
 
 
@@ -106,7 +115,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def bookmark_confidence(title: Column, level: Column) -> Column:
     score = (
         F.lit(90.0)
-        + F.when(title.rlike("(?iuU)" + V.BOOKMARK_WORD_PATTERN), 5.0).otherwise(0.0)
+        + F.when(title.rlike("(?iu)" + uni(V.BOOKMARK_WORD_PATTERN)), 5.0).otherwise(0.0)
         - F.when(F.length(title) < 5, 10.0).otherwise(0.0)
         - F.when(level > 2, 5.0).otherwise(0.0)
     )

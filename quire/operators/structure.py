@@ -348,7 +348,7 @@ def page_heads(blocks: DataFrame, chars: int = 100) -> DataFrame:
 def ai_chapter_verify(responses: DataFrame, heads: DataFrame) -> DataFrame:
     """``Page X: title`` lines of model responses whose page exists; titles that say
     nothing are replaced by the first sentence of the page's start."""
-    pattern = r"(?iuU)^Page\s*(\d+):\s*(.+)"
+    pattern = "(?iu)" + T.uni(r"^Page\s*(\d+):\s*(.+)")
     proposed = (
         responses.select("doc_id", "ord", F.posexplode(F.split("response", "\n")).alias("line_no", "line"))
         .withColumn("line", T.ustrip("line"))

@@ -48,7 +48,7 @@ def ascii_runs_text(
 ) -> DataFrame:
     """Readable runs of a binary e-book joined by spaces, or a note if there are too few."""
     runs = F.array_join(
-        F.regexp_extract_all(F.col(content), F.lit("(?U)" + V.BINARY_TEXT_PATTERN), F.lit(0)), " "
+        F.regexp_extract_all(F.col(content), F.lit(V.BINARY_TEXT_PATTERN.replace(r"\s", T.BLANKS)), F.lit(0)), " "
     )
     note = T.fill(
         V.BINARY_TEXT_NOTE,
