@@ -149,7 +149,7 @@ def token_usage_totals(results: DataFrame) -> DataFrame:
 
 def parse_title_lines(responses: DataFrame) -> DataFrame:
     """Non-blank response lines as numbered chapter titles."""
-    lines = F.filter(F.transform(F.split("response", r"[\n\r\x0b\x0c\x85\u2028\u2029]"), T.ustrip), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("response", r"[\n\r\x0b\x0c\x85\x{2028}\x{2029}]"), T.ustrip), lambda x: x != "")
     number = (F.col("i") + 1).cast("string")
     return responses.select("doc_id", "ord", F.posexplode(lines).alias("i", "title")).select(
         "doc_id", "ord", (F.col("i") + 1).alias("number"), "title",
