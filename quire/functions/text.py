@@ -44,8 +44,7 @@ def is_blank(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """Whitespace-separated non-empty tokens."""
-    t = ustrip(c)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"{SPACE}+"))
+    return F.array_remove(F.split(ustrip(c), f"{SPACE}+"), "")
 
 
 def strip_tags(c: Column | str) -> Column:
@@ -104,8 +103,7 @@ def title_key(c: Column | str) -> Column:
 
 def title_words(key: Column | str) -> Column:
     """The sorted set of words of a title key; a blank title has the one word ''."""
-    found = F.array_sort(F.array_distinct(words(key)))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+    return F.sort_array(F.array_distinct(F.split(ustrip(key), f"{SPACE}+")))
 
 
 def jaccard(a: Column, b: Column) -> Column:

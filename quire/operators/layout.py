@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions import text as T
-from quire.operators.ordered import PART_CHARS, number_rows
+from quire.operators.ordered import PART_CHARS, assemble_text, number_rows
 
 STRIP = 256.0  # points; positions of one page are cut into strips of this size
 GAP = 20.0
@@ -15,8 +15,10 @@ LINE_TOLERANCE = 5.0
 def strip_values(words: DataFrame, value: str) -> DataFrame:
     """Sorted distinct values per strip of a page. Repeats fall away on the map side, so
     a crowded page shuffles its distinct positions, spread over its strips."""
-    return words.groupBy("page_id", F.floor(F.col(value) / STRIP).alias("strip")).agg(
-        F.sort_array(F.collect_set(value)).alias("vs")
+    distinct = words.select("page_id", F.floor(F.col(value) / STRIP).alias("strip"), F.col(value).alias("v")).distinct()
+    return (
+        distinct.repartition("page_id", "strip").groupBy("page_id", "strip")
+        .agg(F.sort_array(F.collect_list("v")).alias("vs"))
     )
 
 
@@ -113,66 +115,55 @@ def place_words(words: DataFrame, columns: DataFrame | None = None) -> DataFrame
     )
 
 
-WORDS_PER_SPOT = 100_000
+TEXT_STRIP = 16.0  # points of one line whose words are joined in one task
 REGION = ["page_id", "line_number", "column_number"]
 
 
-def line_regions(placed: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
-    """Regions: the words of one column in one line, joined left to right, with bounding
-    box and type. ``heading`` by mean word size, ``table`` by regular spacing, else ``text``.
+def region_stats(placed: DataFrame) -> DataFrame:
+    """Word count, mean size, bounding box and spacing of each (line, column).
 
-    Words are first folded to one row per position (equal positions add zero gaps), then
-    one ordered pass per region yields gaps, totals and text. Text longer than
-    ``part_chars`` continues in further parts of the region.
+    Words are first folded to one row per start position (equal positions add zero gaps),
+    so only distinct positions are put in order.
     """
-    spots = placed.groupBy(*REGION, "x0", "top", F.floor(F.col("word_id") / WORDS_PER_SPOT).alias("blk")).agg(
+    spots = placed.groupBy(*REGION, "x0").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.coalesce(F.col("size"), F.lit(12)).cast("double")).alias("size"),
-        F.max("x1").alias("x1"),
-        F.max("bottom").alias("y1"),
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("word_id", "text"))), lambda w: w["text"]), " "
-        ).alias("piece"),
-    )
-    region = W.partitionBy(*REGION)
-    in_order = region.orderBy("x0", "top", "blk")
-    before = F.sum(F.length("piece")).over(in_order.rowsBetween(W.unboundedPreceding, -1))
-    steps = spots.withColumns({
-        "gap": F.col("x0") - F.lag("x0").over(in_order),
-        "part": F.floor(F.coalesce(before, F.lit(0)) / part_chars).cast("int"),
-    })
-    totals = steps.withColumns({
-        "n_words": F.sum("n").over(region),
-        "mean_size": F.sum("size").over(region) / F.sum("n").over(region),
-        "rx0": F.min("x0").over(region), "ry0": F.min("top").over(region),
-        "rx1": F.max("x1").over(region), "ry1": F.max("y1").over(region),
-        "gaps": F.coalesce(F.sum("gap").over(region), F.lit(0.0)),
-        "gaps2": F.coalesce(F.sum(F.col("gap") * F.col("gap")).over(region), F.lit(0.0)),
-    })
-    shared = ["n_words", "mean_size", "rx0", "ry0", "rx1", "ry1", "gaps", "gaps2"]
-    rows = totals.groupBy(*REGION, "part").agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("x0", "top", "blk", "piece"))), lambda r: r["piece"]), " "
-        ).alias("text"),
-        *[F.first(c).alias(c) for c in shared],
-    )
-    mean = F.col("gaps") / (F.col("n_words") - 1)
-    variance = F.greatest(F.lit(0.0), F.col("gaps2") / (F.col("n_words") - 1) - mean * mean)
-    kind = (
-        F.when(F.col("mean_size") > 14, "heading")
-        .when((F.col("n_words") > 3) & (F.sqrt(variance) < mean * 0.3), "table")
-        .otherwise("text")
+        F.min("top").alias("y0"), F.max("x1").alias("x1"), F.max("bottom").alias("y1"),
     )
-    return rows.select(
-        *REGION, "part", "text", F.col("rx0").alias("x0"), F.col("ry0").alias("y0"), F.col("rx1").alias("x1"),
-        F.col("ry1").alias("y1"), (F.col("rx1") - F.col("rx0")).alias("width"),
-        (F.col("ry1") - F.col("ry0")).alias("height"), "n_words", "mean_size", kind.alias("region_type"),
+    gap = F.col("x0") - F.lag("x0").over(W.partitionBy(*REGION).orderBy("x0"))
+    n = F.sum("n")
+    return (
+        spots.withColumn("gap", gap)
+        .groupBy(*REGION)
+        .agg(
+            n.alias("n_words"), (F.sum("size") / n).alias("mean_size"),
+            F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+            F.when(n > 1, F.coalesce(F.sum("gap"), F.lit(0.0)) / (n - 1)).alias("mean_gap"),
+            F.when(n > 1, F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0.0)) / (n - 1)).alias("mean_gap2"),
+        )
     )
 
 
-def region_type(placed: DataFrame) -> DataFrame:
-    """Type and figures of each region, without its text."""
-    return line_regions(placed).filter("part = 0").select(*REGION, "n_words", "mean_size", "region_type")
+def region_type(stats: DataFrame) -> DataFrame:
+    """``heading`` by mean word size, ``table`` by regular spacing, else ``text``."""
+    variance = F.greatest(F.lit(0.0), F.col("mean_gap2") - F.col("mean_gap") * F.col("mean_gap"))
+    regular = (F.col("n_words") > 3) & (F.sqrt(variance) < F.col("mean_gap") * 0.3)
+    return stats.withColumn(
+        "region_type",
+        F.when(F.col("mean_size") > 14, "heading").when(F.coalesce(regular, F.lit(False)), "table").otherwise("text"),
+    ).drop("mean_gap", "mean_gap2")
+
+
+def line_regions(placed: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """Regions: the words of one column in one line, joined left to right, with bounding
+    box and type. Text longer than ``part_chars`` continues in further parts."""
+    text = assemble_text(
+        placed, REGION, ["x0", "top", "word_id"], "text", [F.floor(F.col("x0") / TEXT_STRIP)], part_chars=part_chars
+    )
+    sized = region_type(region_stats(placed)).withColumns({
+        "width": F.col("x1") - F.col("x0"), "height": F.col("y1") - F.col("y0"),
+    })
+    return sized.join(text, REGION)
 
 
 def reading_order(regions: DataFrame, columns: DataFrame) -> DataFrame:

@@ -21,59 +21,34 @@ def _slice_names(slices: Sequence[Column]) -> list[str]:
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: Sequence[Column], out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: Sequence[Column], out: str,
+    ahead: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """1-based position of each row within ``keys`` by ``order``.
+    """1-based position of each row within ``keys`` by ``order``; with ``ahead=(value, name)``
+    also ``value`` of the following row (null on the last).
 
-    ``slices`` must not fall when ``order`` rises. Counts per slice are
-    pre-aggregated on the map side; a running sum over them gives each slice its
-    offset, and row numbers are taken inside slices only.
+    ``slices`` must not fall when ``order`` rises. Counts per slice are pre-aggregated on
+    the map side; a running sum over them gives each slice its offset, and row numbers are
+    taken inside slices only. The row after a slice's end is the first of the next slice.
     """
     keys = list(keys)
     names = _slice_names(slices)
     cut = df.withColumns(dict(zip(names, slices)))
-    offsets = (
-        cut.groupBy(*keys, *names)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_before",
-            F.coalesce(
-                F.sum("_n").over(
-                    W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("_n")
-    )
+    per_key = W.partitionBy(*keys).orderBy(*names)
+    summary = [F.count(F.lit(1)).alias("_n")]
+    if ahead:
+        summary.append(F.min_by(F.col(ahead[0]), F.struct(*order)).alias("_first"))
+    offsets = cut.groupBy(*keys, *names).agg(*summary)
+    before = F.sum("_n").over(per_key.rowsBetween(W.unboundedPreceding, -1))
+    offsets = offsets.withColumn("_before", F.coalesce(before, F.lit(0)))
+    if ahead:
+        offsets = offsets.withColumn("_edge", F.lead("_first").over(per_key)).drop("_first")
     inner = W.partitionBy(*keys, *names).orderBy(*order)
-    return (
-        cut.join(offsets, [*keys, *names])
-        .withColumn(out, F.col("_before") + F.row_number().over(inner))
-        .drop("_before", *names)
-    )
-
-
-def next_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: Sequence[Column], value: str, out: str
-) -> DataFrame:
-    """``value`` of the following row within ``keys``, null on the last. The row after a
-    slice's end is the first row of the next slice, taken from the slice summaries."""
-    keys = list(keys)
-    names = _slice_names(slices)
-    cut = df.withColumns(dict(zip(names, slices)))
-    firsts = (
-        cut.groupBy(*keys, *names)
-        .agg(F.min_by(F.col(value), F.struct(*order)).alias("_first"))
-        .withColumn("_edge", F.lead("_first").over(W.partitionBy(*keys).orderBy(*names)))
-        .drop("_first")
-    )
-    inner = W.partitionBy(*keys, *names).orderBy(*order)
-    return (
-        cut.join(firsts, [*keys, *names])
-        .withColumn(out, F.coalesce(F.lead(value).over(inner), F.col("_edge")))
-        .drop("_edge", *names)
-    )
+    placed = cut.join(offsets.drop("_n"), [*keys, *names])
+    numbered = placed.withColumn(out, F.col("_before") + F.row_number().over(inner))
+    if ahead:
+        numbered = numbered.withColumn(ahead[1], F.coalesce(F.lead(ahead[0]).over(inner), F.col("_edge"))).drop("_edge")
+    return numbered.drop("_before", *names)
 
 
 def assemble_text(
@@ -97,6 +72,7 @@ def assemble_text(
     names = _slice_names(slices)
     pieces = (
         df.withColumns(dict(zip(names, slices)))
+        .repartition(*keys, *names)  # gathering does not shrink the data: do it after the shuffle only
         .groupBy(*keys, *names)
         .agg(
             F.array_join(

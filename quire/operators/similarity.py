@@ -31,19 +31,24 @@ def _with_prefix(sets: DataFrame, freq: DataFrame, keys: list[str], name: str, t
     return ranked.withColumn("_w", F.explode(f"_{name}p"))
 
 
-def similar_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], t: float) -> DataFrame:
+def similar_pairs(a: DataFrame, b: DataFrame | None, keys: Sequence[str], t: float) -> DataFrame:
     """All (a_id, b_id) within ``keys`` whose word sets have Jaccard similarity >= t.
 
-    ``a`` holds keys, a_id, a_words and ``b`` keys, b_id, b_words. Sets meet on shared
+    ``a`` holds keys, a_id, a_words and ``b`` keys, b_id, b_words (None: ``a`` with itself). Sets meet on shared
     prefix words only, rarest first, so frequent words do not pair up whole groups; each
     pair is tested once, at its first common prefix word.
     """
     keys = list(keys)
-    words = a.select(*keys, F.explode("a_words").alias("_w")).unionByName(
-        b.select(*keys, F.explode("b_words").alias("_w"))
-    )
+    words = a.select(*keys, F.explode("a_words").alias("_w"))
+    if b is not None:
+        words = words.unionByName(b.select(*keys, F.explode("b_words").alias("_w")))
     freq = words.groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_n"))
-    pa, pb = _with_prefix(a, freq, keys, "a", t), _with_prefix(b, freq, keys, "b", t)
+    pa = _with_prefix(a, freq, keys, "a", t)
+    if b is None:
+        renames = {"a_id": "b_id", "a_words": "b_words", "_ap": "_bp"}
+        pb = pa.withColumnsRenamed(renames)
+    else:
+        pb = _with_prefix(b, freq, keys, "b", t)
     na, nb = F.size("a_words"), F.size("b_words")
     joined = pa.join(pb, [*keys, "_w"]).filter((na >= nb * t) & (nb >= na * t))
     return (

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import text as T, values as V
-from quire.operators.ordered import assemble_text, first_row, next_value, number_rows, top_rows
+from quire.operators.ordered import assemble_text, first_row, number_rows, top_rows
 from quire.operators.similarity import FOLD_LIMIT, first_wins, similar_pairs
 from quire.session import shared_dir
 
@@ -119,7 +119,7 @@ def _fold(df: DataFrame, order: list[str], clash) -> DataFrame:
     cols = [c for c in df.columns if c != "doc_id"]
     rest = [c for c in cols if c not in order]
     rows = F.sort_array(F.collect_list(F.struct(*order, *rest)))
-    grouped = df.groupBy("doc_id").agg(rows.alias("_rows"))
+    grouped = df.repartition("doc_id").groupBy("doc_id").agg(rows.alias("_rows"))
     empty = F.slice("_rows", F.lit(1), F.lit(0))
 
     def step(kept, row):
@@ -237,14 +237,15 @@ def title_similarity_join(titles: DataFrame, t: float = 0.5) -> DataFrame:
     Titles with equal word sets are one entry with a count, so a title shared by very many
     rows pairs up once.
     """
+    shared_dir(titles.sparkSession)
     sets = (
         titles.select(T.title_words(T.title_key("title")).alias("w"))
         .groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+        .checkpoint()  # read five times below; far smaller than the titles it comes from
     )
     key = F.array_join("w", " ")
     a = sets.select(key.alias("a_id"), F.col("w").alias("a_words"))
-    b = sets.select(key.alias("b_id"), F.col("w").alias("b_words"))
-    pairs = similar_pairs(a, b, [], t).filter(F.col("a_id") < F.col("b_id"))
+    pairs = similar_pairs(a, None, [], t).filter(F.col("a_id") < F.col("b_id"))
     counts = sets.select(key.alias("k"), "n")
     return (
         pairs.join(counts.select(F.col("k").alias("a_id"), F.col("n").alias("n_a")), "a_id")
@@ -261,8 +262,7 @@ def chapter_ranges(boundaries: DataFrame, blocks: DataFrame) -> DataFrame:
     the first with an empty range."""
     order = [F.col("page_num"), F.col("seq")]
     slices = [F.floor(F.col("page_num") / PAGES_PER_SLICE)]
-    numbered = number_rows(boundaries, ["doc_id"], order, slices, "chapter_no")
-    ahead = next_value(numbered, ["doc_id"], order, slices, "page_num", "next_page")
+    ahead = number_rows(boundaries, ["doc_id"], order, slices, "chapter_no", ahead=("page_num", "next_page"))
     last = blocks.groupBy("doc_id").agg(F.max("page_num").alias("last_page"))
     return (
         ahead.join(last, "doc_id")

@@ -61,8 +61,8 @@ def group_lines(t):
 
 @query("region_type", recursive("v_dense_words", "SELECT page_id, line_number, column_number, n_words, round(mean_size, 6) AS mean_size, region_type FROM ty", **PLACED, **STATS))
 def region_type(t):
-    kinds = ops.region_type(ops.place_words(t.v_dense_words))
-    return kinds.withColumn("mean_size", F.round("mean_size", 6))
+    kinds = ops.region_type(ops.region_stats(ops.place_words(t.v_dense_words)))
+    return kinds.select(*ops.REGION, "n_words", F.round("mean_size", 6).alias("mean_size"), "region_type")
 
 
 @query("line_regions", recursive(

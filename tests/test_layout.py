@@ -87,7 +87,7 @@ def test_equal_positions_count_as_zero_gaps(spark):
 
 
 def test_long_region_text_continues_in_parts(spark):
-    words = [word(1, i, i % 15, 0) for i in range(300)]
+    words = [word(1, i, i % 15 * 12, 0) for i in range(300)]
     parts = sorted((r.part, r.text) for r in regions(spark, words, part_chars=100).collect())
     want = " ".join(w[2] for w in sorted(words, key=lambda w: (w[3], w[5], w[1])))
     assert len(parts) > 3 and " ".join(t for _, t in parts) == want

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quire.operators.ordered import first_row, next_value, number_rows, top_rows
+from quire.operators.ordered import first_row, number_rows, top_rows
 
 
 def rows(n=3000):
@@ -22,12 +22,11 @@ def by_key(data):
     return {k: sorted(x) for k, x in out.items()}
 
 
-def test_number_rows_and_next_value(spark):
+def test_number_rows_and_next_row(spark):
     data = rows()
     slices = [F.floor(F.col("v") / 16)]
     order = [F.col("v"), F.col("id")]
-    got = number_rows(frame(spark, data), ["k"], order, slices, "n")
-    got = next_value(got, ["k"], order, slices, "v", "nxt").collect()
+    got = number_rows(frame(spark, data), ["k"], order, slices, "n", ahead=("v", "nxt")).collect()
     want = {}
     for k, items in by_key(data).items():
         for n, (v, i) in enumerate(items):
