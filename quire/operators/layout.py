@@ -22,6 +22,12 @@ def strip_values(words: DataFrame, value: str) -> DataFrame:
     )
 
 
+def _by_page(words: DataFrame, frames: DataFrame) -> DataFrame:
+    """Words next to their page's one row of arrays. Both sides grow with the corpus, so the
+    join is a shuffle by page (a crowded page is split by AQE), never a broadcast of words."""
+    return words.join(frames.hint("merge"), "page_id")
+
+
 def column_starts(words: DataFrame, gap: float = GAP) -> DataFrame:
     """Per page the word starts that open a column: those more than ``gap`` points right
     of the word start before them. At most page width / gap of them exist."""
@@ -46,8 +52,7 @@ def detect_columns(words: DataFrame, gap: float = GAP) -> DataFrame:
     """Text columns per page; a column ends where its widest word ends."""
     number = F.size(F.filter("starts", lambda s: s <= F.col("x0"))) - 1
     return (
-        words.select("page_id", "x0", "x1")
-        .join(column_starts(words, gap), "page_id")
+        _by_page(words.select("page_id", "x0", "x1"), column_starts(words, gap))
         .groupBy("page_id", number.alias("column_number"))
         .agg(F.min("x0").alias("x_start"), F.max("x1").alias("x_end"))
         .withColumn("width", F.col("x_end") - F.col("x_start"))
@@ -61,20 +66,19 @@ def column_spans(columns: DataFrame) -> DataFrame:
     )
 
 
-def _first_span() -> Column:
+def _with_column(words: DataFrame) -> DataFrame:
+    """The first spanning column of each word, looked up once; words in none fall away."""
     hit = F.filter("spans", lambda c: (c["x_start"] <= F.col("x0")) & (F.col("x0") <= c["x_end"]))
-    return F.get(hit, F.lit(0))["column_number"]
+    keep = [c for c in words.columns if c != "spans"]
+    return words.select(*keep, F.explode(F.slice(hit, 1, 1)).alias("_c")).select(
+        *keep, F.col("_c.column_number").alias("column_number")
+    )
 
 
 def word_to_column(words: DataFrame, columns: DataFrame) -> DataFrame:
     """First column that spans the word's start; words in none are dropped. Columns travel
     as one array per page, so the join is on the page alone and no range join is needed."""
-    return (
-        words.join(column_spans(columns), "page_id")
-        .withColumn("column_number", _first_span())
-        .filter(F.col("column_number").isNotNull())
-        .drop("spans")
-    )
+    return _with_column(_by_page(words, column_spans(columns)))
 
 
 def line_anchors(words: DataFrame, tol: float = LINE_TOLERANCE) -> DataFrame:
@@ -99,20 +103,16 @@ def _line_of_top() -> Column:
 def group_lines(words: DataFrame, tol: float = LINE_TOLERANCE) -> DataFrame:
     """Words with the 0-based number of their line, top to bottom."""
     return (
-        words.join(line_anchors(words, tol), "page_id").withColumn("line_number", _line_of_top()).drop("anchors")
+        _by_page(words, line_anchors(words, tol)).withColumn("line_number", _line_of_top()).drop("anchors")
     )
 
 
 def place_words(words: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """Words with line and column numbers: one join to a per-page row of both."""
     columns = detect_columns(words) if columns is None else columns
-    frames = column_spans(columns).join(line_anchors(words), "page_id")
-    return (
-        words.join(frames, "page_id")
-        .withColumns({"line_number": _line_of_top(), "column_number": _first_span()})
-        .filter(F.col("column_number").isNotNull())
-        .drop("spans", "anchors")
-    )
+    frames = column_spans(columns).join(line_anchors(words).hint("merge"), "page_id")
+    lined = _by_page(words, frames).withColumn("line_number", _line_of_top()).drop("anchors")
+    return _with_column(lined)
 
 
 TEXT_STRIP = 16.0  # points of one line whose words are joined in one task

@@ -11,8 +11,12 @@ PAGES_PER_SLICE = 256
 
 
 def html_to_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
-    """Tags removed, whitespace collapsed; pages without text are dropped."""
-    return pages.withColumn(out, T.strip_tags(html)).drop(html).filter(F.col(out) != "")
+    """Tags removed, whitespace collapsed; pages without text are dropped.
+
+    Dropping by explode computes the text once; a filter would compute it a second time.
+    """
+    keep = [c for c in pages.columns if c != html]
+    return pages.select(*keep, F.explode(F.array_remove(F.array(T.strip_tags(html)), "")).alias(out))
 
 
 def fragment_filter(fragments: DataFrame, text: str = "text", longer_than: int = 50) -> DataFrame:
