@@ -59,12 +59,25 @@ def low_confidence_segments(pages: DataFrame, threshold: float = V.OCR_CONFIDENC
 
 
 def text_vs_ocr(extracted: DataFrame, ocr: DataFrame, need: DataFrame) -> DataFrame:
-    """Recognised text where recognition was needed and gave more text than extraction."""
-    both = extracted.join(ocr, "doc_id", "full_outer").join(need, "doc_id", "left")
-    text, seen = F.coalesce("text", F.lit("")), F.coalesce("ocr_text", F.lit(""))
-    use = F.coalesce("ocr_needed", F.lit(True)) & (seen != "") & (F.length(seen) > F.length(text))
-    return both.select("doc_id", F.when(use, "ocr").otherwise("extracted").alias("source"),
-                       F.when(use, seen).otherwise(text).alias("text"))
+    """Recognised text where recognition was needed and gave more text than extraction.
+
+    Both sides are text parts (doc_id, part, text). The choice is made on summed lengths,
+    then all parts of the chosen side are returned.
+    """
+    def size(parts: DataFrame, name: str) -> DataFrame:
+        # parts are joined by one space, so each part after the first adds a character
+        return parts.groupBy("doc_id").agg((F.sum(F.length("text")) + F.count(F.lit(1)) - 1).alias(name))
+
+    sizes = size(extracted, "n_text").join(size(ocr, "n_ocr"), "doc_id", "full_outer").join(need, "doc_id", "left")
+    n_text, n_ocr = F.coalesce("n_text", F.lit(0)), F.coalesce("n_ocr", F.lit(0))
+    use = F.coalesce("ocr_needed", F.lit(True)) & (n_ocr > n_text)
+    chosen = sizes.select("doc_id", F.when(use, "ocr").otherwise("extracted").alias("source"))
+    parts = extracted.select("doc_id", "part", "text", F.lit("extracted").alias("source")).unionByName(
+        ocr.select("doc_id", "part", "text", F.lit("ocr").alias("source"))
+    )
+    return chosen.join(parts, ["doc_id", "source"], "left").select(
+        "doc_id", "source", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("text", F.lit("")).alias("text")
+    )
 
 
 def page_source_select(pages: DataFrame, ocr_pages: DataFrame) -> DataFrame:

@@ -44,14 +44,13 @@ def low_confidence_segments(t):
 
 @query("text_vs_ocr", check_sql(
     "v_page_texts v_blocks",
-    """SELECT doc_id, CASE WHEN u THEN 'ocr' ELSE 'extracted' END AS source, CASE WHEN u THEN o ELSE x END AS text FROM (SELECT coalesce(e.doc_id, c.doc_id) AS doc_id, coalesce(e.text, '') AS x, coalesce(c.o, '') AS o,
+    """SELECT doc_id, 0 AS part, CASE WHEN u THEN 'ocr' ELSE 'extracted' END AS source, CASE WHEN u THEN o ELSE x END AS text FROM (SELECT coalesce(e.doc_id, c.doc_id) AS doc_id, coalesce(e.text, '') AS x, coalesce(c.o, '') AS o,
     coalesce(n.ocr_needed, true) AND coalesce(c.o, '') <> '' AND length(coalesce(c.o, '')) > length(coalesce(e.text, '')) AS u
     FROM documents e FULL JOIN (SELECT doc_id, string_agg(text, ' ' ORDER BY page_num) AS o FROM v_page_texts WHERE trim(text) <> '' GROUP BY 1) c ON c.doc_id = e.doc_id
     LEFT JOIN n ON n.doc_id = coalesce(e.doc_id, c.doc_id))""", n=NEED))
 def text_vs_ocr(t):
-    extracted = t.documents.select("doc_id", "text")
+    extracted = t.documents.select("doc_id", F.lit(0).alias("part"), "text")
     seen = textops.extract_text_doc(t.v_page_texts.select("doc_id", "page_num", "text"), "doc_id", "page_num")
-    seen = seen.filter("part = 0").select("doc_id", F.col("text").alias("ocr_text"))
     return ops.text_vs_ocr(extracted, seen, ops.ocr_need(t.documents, t.v_blocks))
 
 

@@ -112,3 +112,11 @@ def test_prompts_cut_their_input(spark):
 def test_title_lines(spark):
     df = spark.createDataFrame([(1, 0, " One \n\n\rTwo")], "doc_id int, ord int, response string")
     assert [r.label for r in ai.parse_title_lines(df).orderBy("number").collect()] == ["第1章: One", "第2章: Two"]
+
+
+def test_text_choice_keeps_all_parts(spark):
+    extracted = spark.createDataFrame([(1, 0, "abc"), (2, 0, "longer text"), (4, 0, "x")], "doc_id int, part int, text string")
+    ocr = spark.createDataFrame([(1, 0, "ab"), (1, 1, "c"), (2, 0, "short"), (3, 0, "only"), (4, 0, "yyyy")], "doc_id int, part int, text string")
+    need = spark.createDataFrame([(1, True), (2, True), (3, True), (4, False)], "doc_id int, ocr_needed boolean")
+    got = sorted((r.doc_id, r.source, r.part, r.text) for r in ops.text_vs_ocr(extracted, ocr, need).collect())
+    assert got == [(1, "ocr", 0, "ab"), (1, "ocr", 1, "c"), (2, "extracted", 0, "longer text"), (3, "ocr", 0, "only"), (4, "extracted", 0, "x")]
