@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire.functions.text import jaccard
 from quire.session import shared_dir
 
-FOLD_LIMIT = 500  # largest group that is decided inside one row
+# Largest document decided inside one row: a page test rules out almost all pairs of the
+# conflict rule, the title rule compares word sets of all pairs.
+CONFLICT_FOLD_LIMIT = 5000
+TITLE_FOLD_LIMIT = 2000
 
 
 def prefix_length(n: Column, t: float) -> Column:
@@ -63,8 +66,9 @@ def first_wins(nodes: DataFrame, edges: DataFrame, ident: Sequence[str]) -> Data
     """Greedy selection in order: a node stays unless an earlier node that stayed has an
     edge to it. ``edges`` has ``src.*``/``dst.*`` structs of ``ident``, src before dst.
 
-    Each round decides every node whose earlier neighbours are all decided. Rounds are
-    cut by reliable checkpoints, so lineage stays short and lost executors only redo one.
+    Each round decides every node whose earlier neighbours are all decided, so their number
+    is that of the longest chain of nodes that hang on one another. Rounds are cut by
+    reliable checkpoints, so lineage stays short and lost executors only redo one.
     """
     shared_dir(nodes.sparkSession)
     ident = list(ident)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import text as T, values as V
 from quire.operators.ordered import assemble_text, first_row, number_rows, top_rows
-from quire.operators.similarity import FOLD_LIMIT, first_wins, similar_pairs
+from quire.operators.similarity import CONFLICT_FOLD_LIMIT, TITLE_FOLD_LIMIT, first_wins, similar_pairs
 from quire.session import shared_dir
 
 PAGES_PER_SLICE = 64
@@ -136,7 +136,8 @@ def _prepared(candidates: DataFrame) -> DataFrame:
     })
 
 
-def chapter_conflicts(candidates: DataFrame, near: int = 2, t: float = 0.8, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def chapter_conflicts(candidates: DataFrame, near: int = 2, t: float = 0.8,
+                      fold_limit: int = CONFLICT_FOLD_LIMIT) -> DataFrame:
     """Drop a candidate when an accepted one before it (by detector, then detector order)
     lies within ``near`` pages under a similar title. Outline entries are all accepted.
 
@@ -177,7 +178,7 @@ def _conflicts_large(work: DataFrame, near: int, t: float) -> DataFrame:
     return chosen.unionByName(more).drop("at")
 
 
-def dedupe_titles(candidates: DataFrame, t: float = 0.9, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def dedupe_titles(candidates: DataFrame, t: float = 0.9, fold_limit: int = TITLE_FOLD_LIMIT) -> DataFrame:
     """In page order, drop a title similar to one kept before; kept titles are cleaned.
 
     A kept title counts in its cleaned form, a new one in its raw form.

@@ -105,3 +105,19 @@ def test_batch_twin_of_expiry(spark, hours, left):
     df = spark.createDataFrame([(1, "failed", T0), (2, "pending", None)], "task_id int, status string, end_ts timestamp_ntz")
     now = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
     assert sorted(r.task_id for r in batch.expire_tasks(df, now, hours).collect()) == left
+
+
+def test_a_stream_without_files_is_empty(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    schema = spark.createDataFrame([], EVENT).schema
+    table = ops.drain(ops.read_stream(spark, str(tmp_path / "none"), schema).select("task_id", "seq"), "n", "append")
+    assert table.columns == ["task_id", "seq", "batch"] and table.count() == 0
+
+
+def test_partition_setting_is_restored(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    with ops.state_partitions(spark):
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 2 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "1000"
+    spark.conf.set("spark.sql.shuffle.partitions", before)
