@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame
 
 from quire.session import work_path
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back."""
-    path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder, read back; the shuffle files it was made from are released."""
+    spark = df.sparkSession
+    path = work_path(spark, label)
+    before = spark.conf.get(_RELEASE, "false")
+    spark.conf.set(_RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_parts(df: DataFrame) -> int:
