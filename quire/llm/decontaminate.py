@@ -315,3 +315,9 @@ def contaminated(
     return found if blocks == 1 else found.groupBy("doc_id", "item_id").agg(
         *(F.max_by(c, "common_words").alias(c) for c in ("start", "cosine", "common_words", "item_words"))
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs that hold no benchmark item; rows without doc_id stay."""
+    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")

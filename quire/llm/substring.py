@@ -29,6 +29,7 @@ from quire.llm.words import SLAB, gram_hashes, gram_starts, slabs, word_hashes,
 WINDOW = 20
 BLOCK = 10
 CHUNK = 8 * SLAB
+_LEAST = -(1 << 63)
 
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -159,7 +160,7 @@ def _finish(text: bytes, starts: np.ndarray, window: int, with_text: bool) -> tu
     n = len(found)
     if not len(starts):
         digest = hashlib.sha256(b" ".join(found)).hexdigest()
-        return n, 0, digest, text if with_text else None, []
+        return n, 0, digest, None, []
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, starts, 1)
     np.add.at(change, starts + window, -1)
@@ -292,25 +293,19 @@ def _close(window: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text, spans per row of docs.
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id (the smallest number for null) and copy (a hash of the text): together the name of a document."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc_id"), F.xxhash64(text).alias("copy"),
+        text.alias("text"),
+    )
 
-    docs: doc_id, text; other columns are ignored. Words are runs of bytes other than space and 0x09-0x0D, unchanged.
-    Each word covered by a window of `window` words that also begins earlier (smaller doc_id, or same document and
-    earlier start) goes; windows are judged on the input. kept_sha256 digests the kept words joined by one space;
-    kept_text is the text itself where nothing goes, else its kept stretches joined by line breaks (null without
-    with_text). spans: begin and end word of each removed span, flat. A null text has no words. Rows that agree in
-    doc_id and text are one document and get equal results; rows of one doc_id with different texts are ordered by a
-    hash of the text. A null doc_id comes before all others. An empty table gives no rows.
-    """
+
+def _judged(named: DataFrame, window: int, block: int, with_text: bool) -> DataFrame:
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it begins: window >= 2 * block - 1")
-    buckets = shuffle_parts(docs)
-    least = -(1 << 63)
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), text.alias("text"))
-    named = named.select("doc_id", F.xxhash64("text").alias("copy"), "text")
-
+    buckets = shuffle_parts(named)
     probed = named.select("doc_id", "text").mapInArrow(
         _probe(block, buckets), "bucket int, probes binary, blocks binary, doc_id long, starts binary"
     )
@@ -332,9 +327,38 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, wi
         .select("doc_id", "copy", "source", "local", "gone")
         .mapInArrow(_close(window, with_text), _DONE_SQL)
     )
-    done = extended.filter("n_words IS NOT NULL").select(*(f[0] for f in _DONE)).unionByName(closed)
-    out = named.select("doc_id", "copy").join(done, ["doc_id", "copy"])
+    done = extended.filter("n_words IS NOT NULL").select(*(f[0] for f in _DONE))
+    return written(done.unionByName(closed), "repeats")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept_text, spans per row of docs.
+
+    docs: doc_id, text; other columns are ignored. Words are runs of bytes other than space and 0x09-0x0D, unchanged.
+    Each word covered by a window of `window` words that also begins earlier (smaller doc_id, or same document and
+    earlier start) goes; windows are judged on the input. kept_sha256 digests the kept words joined by one space;
+    kept_text holds the kept stretches joined by line breaks, null where nothing goes (and without with_text). spans:
+    begin and end word of each removed span, flat. A null text has no words. Rows that agree in doc_id and text are
+    one document and get equal results; rows of one doc_id with different texts are ordered by a hash of the text. A
+    null doc_id comes before all others. An empty table gives no rows.
+    """
+    named = _named(docs)
+    out = named.select("doc_id", "copy").join(_judged(named, window, block, with_text), ["doc_id", "copy"])
     return out.select(
-        F.when(F.col("doc_id") != least, F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256",
+        F.when(F.col("doc_id") != _LEAST, F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256",
         F.col("kept_text").cast("string").alias("kept_text"), "spans",
     )
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """The rows and columns of docs, with repeats cut out of text; see remove_repeats."""
+    changed = _judged(_named(docs), window, block, True).filter("n_removed > 0").select(
+        F.col("doc_id").alias("_name"), F.col("copy").alias("_copy"), F.col("kept_text").alias("_kept")
+    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)) == changed["_name"]) & (
+        F.xxhash64(text) == changed["_copy"]
+    )
+    joined = docs.join(changed, same, "left")
+    kept = F.coalesce(changed["_kept"].cast("string"), docs["text"].cast("string"))
+    return joined.select(*(kept.alias("text") if c == "text" else docs[c] for c in docs.columns))

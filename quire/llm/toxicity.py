@@ -305,8 +305,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = FIT_DOCU
     )
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column `toxicity` (double, 0 to 1); other columns stay."""
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """docs with one more column (double, 0 to 1), which must not be one of docs; null texts count as empty."""
+    if name in docs.columns:
+        raise ValueError(f"docs has a column {name}")
     kept = (model.keys, model.shares, model.trigrams, model.prior)
     shared = docs.sparkSession.sparkContext.broadcast(kept)  # bounded: LEXICON features and 28 ** 3 trigrams
 
@@ -315,9 +317,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             scores = [score_slab(slab, own) for slab in slabs(batch.column("text"), 2 * SLAB)]
             column = pa.array(np.concatenate(scores) if scores else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, most: int = FIT_DOCUMENTS) -> DataFrame:
