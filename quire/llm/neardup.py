@@ -9,7 +9,9 @@ at once. Collisions are counted on whole signatures, and only pairs that reach M
 
 Posting lists may hold many near copies, so pairs are not expanded. First every class of a list is compared with the
 list's first class, which ties large groups together in linear work. Then only lists that still span several
-components are compared in blocks of BLOCK classes, where classes of one component are passed over.
+components are compared in blocks of BLOCK classes. A block passes over classes of one component, takes each pair
+only under the first prefix pair that both have, compares the sets themselves (SKETCH hashes, whole for shorter
+documents) and joins what is surely linked at once, so it returns a spanning forest and few doubtful pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ SHINGLE = 5
 COORDINATES = 48
 MATCHES = 24
 BLOCK = 512
+SKETCH = 1024
 
 _FACTORS = np.random.default_rng(48).integers(0, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -101,7 +104,10 @@ def describe(docs: DataFrame, shingle: int = SHINGLE, coordinates: int = COORDIN
 
 
 def postings(classes: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """token, df, node: the prefix of each class, its rarest coordinate-value pairs that others have too."""
+    """token, df, node, mask: the prefix of each class, its rarest coordinate-value pairs that others have too.
+
+    mask has a bit for every coordinate in the class's prefix (coordinates must fit 63 bits).
+    """
     posted = classes.select("node", F.posexplode("signature").alias("k", "value")).select(
         "node", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("value")).alias("token")
     )
@@ -110,8 +116,11 @@ def postings(classes: DataFrame, coordinates: int = COORDINATES, matches: int =
         F.array_sort(F.collect_list(F.struct("df", "token"))).alias("met")  # at most `coordinates` entries
     )
     room = F.size("met") - (matches - 1)  # the prefix without the pairs that no other class has
-    return met.filter(room > 0).select("node", F.explode(F.slice("met", F.lit(1), room)).alias("p")).select(
-        "p.token", "p.df", "node"
+    prefix = met.filter(room > 0).select("node", F.slice("met", F.lit(1), room).alias("prefix"))
+    bit = "shiftleft(1L, cast(shiftright(p.token + 2147483648L, 32) as int))"  # the low half of a token is signed
+    mask = F.expr(f"aggregate(prefix, 0L, (m, p) -> m | {bit})")
+    return prefix.select("node", mask.alias("mask"), F.explode("prefix").alias("p")).select(
+        "p.token", "p.df", "node", "mask"
     )
 
 
@@ -154,25 +163,87 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int = S
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(percent, shingle), "a long, b long")
 
 
-def _collide(coordinates: int, matches: int):
+def _sketch(shingle: int):
+    """The SKETCH smallest 32-bit shingle hashes of each text, sorted; all of them if there are no more."""
+    kinds = pa.schema([("node", pa.int64()), ("sketch", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slab in slabs(batch.column(1)):
+                grams, at = shingle_sets(slab, shingle)
+                small = (grams >> np.uint64(32)).astype("<u4")  # sorted within each document as grams are
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(slab.first, slab.last - slab.first),
+                    pa.array([small[a : min(b, a + SKETCH)].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]),
+                ], schema=kinds)
+
+    return run
+
+
+class _Forest:
+    """Union-find over the nodes of a block, begun with their components."""
+
+    def __init__(self, component: np.ndarray):
+        self.part = np.unique(component, return_inverse=True)[1]
+
+    def join(self, i: int, j: int) -> None:
+        self.part[self.part == self.part[j]] = self.part[i]
+
+
+def _pairs_of_block(t: dict, coordinates: int, matches: int, percent: int) -> list[tuple[int, int]]:
+    """Links of one list's block, or of two blocks with each other: certain ones as a forest, doubtful ones as pairs."""
+    node, side, sig = t["node"], t["block"], t["signature"]
+    own = (np.array([t["mask"]]).T >> np.arange(coordinates) & 1).astype(bool).reshape(len(node), coordinates)
+    coordinate = (t["token"] + (1 << 31)) >> 32
+    sizes = np.array([len(x) for x in t["sketch"]])
+    ends = np.cumsum(sizes)
+    grams, ids = np.unique(np.concatenate(t["sketch"]), return_inverse=True)
+    forest = _Forest(t["component"])
+    flags = np.zeros(len(grams), bool)
+    out = []
+    right_all = np.flatnonzero(side == t["high"])
+    for i in np.flatnonzero(side == t["low"]).tolist():
+        right = right_all if t["low"] != t["high"] else right_all[right_all > i]
+        right = right[forest.part[right] != forest.part[i]]
+        if not len(right):
+            continue
+        equal = sig[right] == sig[i]
+        good = equal.sum(axis=1) >= matches
+        equal &= own[right] & own[i]
+        right = right[good & (equal.argmax(axis=1) == coordinate)]
+        if not len(right):
+            continue
+        flags[ids[ends[i] - sizes[i] : ends[i]]] = True
+        lengths = sizes[right]
+        at = np.repeat(ends[right] - np.cumsum(lengths), lengths) + np.arange(lengths.sum())
+        common = np.add.reduceat(flags[ids[at]].astype(np.int64), np.cumsum(lengths) - lengths)
+        flags[ids[ends[i] - sizes[i] : ends[i]]] = False
+        for j, c in zip(right.tolist(), common.tolist(), strict=True):
+            if node[i] == node[j] or forest.part[i] == forest.part[j]:
+                continue
+            union = sizes[i] + sizes[j] - c
+            whole = max(sizes[i], sizes[j]) < SKETCH
+            slack = 3 * union if whole else 14 * union  # hash collisions; the error of a sketch
+            if 100 * c + slack < percent * union:
+                continue
+            out.append((min(node[i], node[j]), max(node[i], node[j])))
+            if whole and 100 * c >= percent * union + 300:
+                forest.join(i, j)
+    return out
+
+
+def _collide(coordinates: int, matches: int, percent: int):
     kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        node, part, side = (t.column(k).to_numpy() for k in ("node", "component", "block"))
-        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
-        sig = t.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, coordinates)
-        left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        out_a, out_b = [], []
-        for i in left:
-            others = right[(part[right] != part[i]) & (node[right] > node[i] if low == high else True)]
-            hits = others[(sig[others] == sig[i]).sum(axis=1) >= matches]
-            out_a.append(np.minimum(node[hits], node[i]))
-            out_b.append(np.maximum(node[hits], node[i]))
-        empty = [np.zeros(0, np.int64)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(out_a + empty)), pa.array(np.concatenate(out_b + empty))], schema=kinds
-        )
+        block = {k: t.column(k).to_numpy() for k in ("node", "component", "block", "mask")}
+        block |= {k: t.column(k)[0].as_py() for k in ("token", "low", "high")}
+        block["signature"] = t.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, coordinates)
+        block["sketch"] = [np.frombuffer(b, "<u4") for b in t.column("sketch").to_pylist()]
+        found = _pairs_of_block(block, coordinates, matches, percent)
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
@@ -194,25 +265,27 @@ def _collide(coordinates: int, matches: int):
     return run
 
 
-def collisions(lists: DataFrame, signatures_of: DataFrame, coordinates: int, matches: int, block: int) -> DataFrame:
-    """Pairs of nodes of different components that stand in one list and agree on enough coordinates.
+def collisions(
+    lists: DataFrame, described: DataFrame, coordinates: int, matches: int, percent: int, block: int
+) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may link, enough of them to tie what is linked together.
 
-    lists: token, df, node, component. A list is cut into blocks of about `block` nodes, and each two of its blocks
-    meet in a group of their own, so no task holds more than two blocks.
+    lists: token, df, node, mask, component; described: node, signature, sketch. A list is cut into blocks of about
+    `block` nodes, and each two of its blocks meet in a group of their own, so no task holds more than two blocks.
     """
     blocks = F.ceil(F.col("df") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = (
-        lists.join(signatures_of.select("node", "signature"), "node")
-        .withColumn("block", own)
+        lists.withColumn("block", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .join(described, "node")
         .select(
             "token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-            "node", "component", "block", "signature",
+            "node", "component", "block", "mask", "signature", "sketch",
         )
     )
     met = dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-    return met.mapInArrow(_collide(coordinates, matches), "a long, b long").distinct()
+    return met.mapInArrow(_collide(coordinates, matches, percent), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -253,7 +326,10 @@ def near_duplicates(
     placed = lists.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q")
     open_lists = placed.join(mixed.select("token"), "token", "left_semi")
-    pairs = collisions(open_lists, classes, coordinates, matches, block)
+    open_texts = texts.join(open_lists.select("node").distinct(), "node", "left_semi")
+    sketches = open_texts.select("node", "text").mapInArrow(_sketch(shingle), "node long, sketch binary")
+    described_nodes = written(classes.select("node", "signature").join(sketches, "node"), "sketches")
+    pairs = written(collisions(open_lists, described_nodes, coordinates, matches, percent, block), "pairs")
     further = written(confirmed(pairs, texts, percent, shingle).distinct(), "links")
     final = components(tied.unionByName(further))
 
