@@ -40,3 +40,54 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     AND n_words - n_removed_words >= 10 AND n_words - n_removed_words >= 0.3 * n_words AS kept
 FROM counted
 """
+
+
+def _round(n: int) -> str:
+    return f"""r{n} AS (
+    SELECT kind, host, CAST(sum(rank) AS BIGINT) AS rank FROM (
+        SELECT kind, host, rank * 15 // 100 AS rank FROM r0
+        UNION ALL
+        SELECT kind, target, sum((rank * 85 // 100) * share // 1000000) FROM r{n - 1} JOIN shares USING (kind, host) GROUP BY ALL
+    ) GROUP BY ALL
+)"""
+
+
+LINK_GRAPH = r"""
+WITH parts AS (
+    SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM (SELECT page_id, html,
+        CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)
+), judged AS (
+    SELECT *, CASE
+        WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+    FROM parts
+), ruled AS (
+    SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said FROM judged
+), edges AS (
+    SELECT source, target, count(*) AS weight FROM (
+        SELECT host AS source, regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^.*@|:\d*$', '', 'g') AS target
+        FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)\shref\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+)', 1)) AS t FROM ruled)
+    ) WHERE source <> target AND source <> '' AND target <> '' GROUP BY ALL
+), shares AS (
+    SELECT 'trust' AS kind, source AS host, target, weight * 1000000 // CAST(sum(weight) OVER (PARTITION BY source) AS BIGINT) AS share FROM edges
+    UNION ALL
+    SELECT 'distrust', target, source, weight * 1000000 // CAST(sum(weight) OVER (PARTITION BY target) AS BIGINT) FROM edges
+), hosts AS (
+    SELECT host, count(*) AS weight, CASE WHEN 2 * count(*) FILTER (said = 'allow') > count(*) THEN 'trust'
+        WHEN 2 * count(*) FILTER (said = 'block') > count(*) THEN 'distrust' END AS kind
+    FROM ruled WHERE host <> '' GROUP BY host
+), r0 AS (
+    SELECT kind, host, weight * 1000000000000 // CAST(sum(weight) OVER (PARTITION BY kind) AS BIGINT) AS rank FROM hosts WHERE kind IS NOT NULL
+), """ + ", ".join(_round(n) for n in range(1, 11)) + r""", reached AS (
+    SELECT host, CAST(sum(CASE WHEN kind = 'trust' THEN rank ELSE 0 END) AS BIGINT) AS trust,
+        CAST(sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END) AS BIGINT) AS distrust FROM r10 GROUP BY host
+)
+SELECT page_id, host, path, rule,
+    coalesce(said, CASE WHEN 100 * distrust > 60 * (trust + distrust) THEN 'block' END, 'allow') AS verdict,
+    coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM ruled LEFT JOIN reached USING (host)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quire.llm import checks, decontaminate, linerules, neardup, packing, substring, toxicity
+from quire.llm import checks, decontaminate, linerules, linkgraph, neardup, packing, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -50,6 +50,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op1_link_graph", checks.LINK_GRAPH)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.judge_urls(table(spark, sf_dir, "pages"))
+
+
 @query("op2_line_frequency", checks.LINE_RULES)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linerules.line_rules(table(spark, sf_dir, "documents"))
