@@ -18,18 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.latent import directions, sum_by_slice
 from quire.llm.store import written
 from quire.llm.toxicity import cores
-from quire.llm.words import SLAB, Slab, mix, slabs, span_hashes, words
+from quire.llm.words import SLAB, Slab, slabs, span_hashes, words
 
 FEATURES = 1 << 18
 SLICE = 1 << 10
 COMMON = 0.05
 PASSAGE, STRIDE = 48, 16
-RANK, EXTRA, ROUNDS = 128, 16, 2
+RANK = 128
 COSINE = 0.3
 ITEMS = 4096
 #: Shares of an item's content words that must stand in the document in order: alone, and with the answer there too.
@@ -64,31 +65,11 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(parts, pa.binary())], names=["slice", "sums"])
 
 
-def _sums(kind: str):
-    """Rows that agree in the first column become one; their blobs are added up, one at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values = np.frombuffer(blob, kind)
-                if k in total:
-                    total[k] += values
-                else:
-                    total[k] = values.copy()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())],
-            names=["slice", "sums"],
-        )
-
-    return run
-
-
 def document_weights(docs: DataFrame, common: float = COMMON) -> np.ndarray:
     """The inverse document frequency of each feature over all documents, 0 for common ones; FEATURES numbers."""
     text = docs.select(F.col("text").cast("string").alias("text"))
-    partial = text.mapInArrow(_frequencies, "slice long, sums binary").repartition("slice")
-    rows = {r[0]: r[1] for r in partial.mapInArrow(_sums("<i8"), "slice long, sums binary").collect()}  # FEATURES numbers
+    partial = text.mapInArrow(_frequencies, "slice long, sums binary")
+    rows = {r[0]: r[1] for r in sum_by_slice(partial, "<i8").collect()}  # FEATURES numbers
     slices = FEATURES // SLICE
     if not rows:
         return np.ones(FEATURES, np.float32)
@@ -109,59 +90,6 @@ def _passages(column: pa.Array, length: int, stride: int) -> Iterator[tuple]:
         yield slab, hashes, at, which, low, np.minimum(low + length, at[which + 1])
 
 
-def _random_columns(columns: np.ndarray, size: int) -> np.ndarray:
-    """The rows of the random test matrix for the given features: signs from a hash, the same on every executor."""
-    with np.errstate(over="ignore"):
-        bits = mix(columns.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(size, dtype=np.uint64))
-    return np.where(bits >> np.uint64(63), 1.0, -1.0)
-
-
-def _product(size: int, shared):
-    """Partial sums of A' A X by feature, for the test matrix (shared empty) or for a given X."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, keys, given = shared.value
-        for batch in batches:
-            for row in batch.column(0).to_pylist():
-                columns, times = np.unique(np.array(row, np.int64), return_counts=True)
-                values = weights[columns] * times
-                norm = np.linalg.norm(values)
-                if norm:
-                    values = values / norm
-                    own = _random_columns(columns, size) if given is None else given[np.searchsorted(keys, columns)]
-                    out = values[:, None] * (values @ own)[None, :]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(columns), pa.array([r.tobytes() for r in out], pa.binary())], names=["slice", "sums"]
-                    )
-
-    return run
-
-
-def latent_directions(spark: SparkSession, passages: DataFrame, weights: np.ndarray, rank: int = RANK) -> tuple:
-    """(features, vectors): the leading right singular directions of the TF-IDF matrix of `passages` (columns: array).
-
-    Randomised subspace iteration: each round is one distributed product A' A X, summed by feature, and an
-    orthonormalisation of its columns. What comes back is bounded by FEATURES rows.
-    """
-    size = rank + EXTRA
-    keys = given = None
-    values = np.zeros(0)
-    for _ in range(ROUNDS + 1):
-        shared = spark.sparkContext.broadcast((weights, keys, given))
-        sums = (
-            passages.select("columns").mapInArrow(_product(size, shared), "slice long, sums binary")
-            .repartition("slice").mapInArrow(_sums("<f8"), "slice long, sums binary")
-        )
-        rows = sorted(sums.collect())
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros((0, 0), np.float32)
-        keys = np.array([r[0] for r in rows])
-        z = np.stack([np.frombuffer(r[1], "<f8") for r in rows])
-        given, values, _ = np.linalg.svd(z, full_matrices=False)
-    good = values > 1e-9 * values[0]
-    return keys, given[:, good][:, :rank].astype(np.float32)
-
-
 def common_length(item: np.ndarray, text: np.ndarray) -> int:
     """Length of the longest common subsequence, by bit-parallel dynamic programming over the item's positions."""
     masks: dict[int, int] = {}
@@ -246,21 +174,30 @@ def _search(shared, cosine: float):
     return run
 
 
-def _cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every item's passages: item row hash, features; an item up to PASSAGE words is one passage."""
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        rows = []
-        for slab, hashes, at, which, low, high in _passages(batch.column(1), PASSAGE, PASSAGE // 2):
-            for d, a, b in zip(which.tolist(), low.tolist(), high.tolist(), strict=True):
-                whole = hashes[at[d] : at[d + 1]]
-                rows.append((ids[slab.first + d], _column(hashes[a:b]).tolist(), whole.view(np.int64).tolist()))
-        if rows:
-            i, c, w = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(i, pa.int64()), pa.array(c, pa.list_(pa.int64())), pa.array(w, pa.list_(pa.int64()))],
-                names=["item_id", "columns", "words"],
-            )
+def _cut_items(shared):
+    """Every item's passages: weighted features of unit length, and all the item's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            rows = []
+            for slab, hashes, at, which, low, high in _passages(batch.column(1), PASSAGE, PASSAGE // 2):
+                for d, a, b in zip(which.tolist(), low.tolist(), high.tolist(), strict=True):
+                    columns, times = np.unique(_column(hashes[a:b]), return_counts=True)
+                    values = weights[columns].astype(np.float64) * times
+                    values /= max(np.linalg.norm(values), 1e-300)
+                    whole = hashes[at[d] : at[d + 1]].view(np.int64)
+                    rows.append((ids[slab.first + d], columns.tolist(), values.tolist(), whole.tolist()))
+            if rows:
+                i, c, v, w = zip(*rows, strict=True)
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(i, pa.int64()), pa.array(c, longs), pa.array(v, pa.list_(pa.float64())), pa.array(w, longs)],
+                    names=["item_id", "columns", "values", "words"],
+                )
+
+    return run
 
 
 def contaminated(
@@ -279,26 +216,25 @@ def contaminated(
     if weights is None:
         weights = document_weights(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    cut = written(
-        items.mapInArrow(_cut_items, "item_id long, columns array<long>, words array<long>"), "benchmark-passages"
+    cut = items.mapInArrow(
+        _cut_items(spark.sparkContext.broadcast(weights)),
+        "item_id long, columns array<long>, values array<double>, words array<long>",
     )
+    cut = written(cut, "benchmark-passages")
     blocks = max(1, -(-cut.count() // ITEMS))
     dealt = cut.withColumn("block", F.pmod(F.xxhash64("item_id", "columns"), F.lit(blocks)))
     found = None
     for block in range(blocks):  # a block is bounded: about ITEMS passages
         own = dealt.filter(F.col("block") == block).drop("block")
         rows = own.collect()
-        keys, vectors = latent_directions(spark, own, weights, rank)
+        keys, vectors = directions(own, rank)
         if not rows or not len(keys):
             continue
         row_of = {int(k): r for r, k in enumerate(keys)}
         latent = np.zeros((len(rows), vectors.shape[1]), np.float32)
         for r, row in enumerate(rows):
-            columns, times = np.unique(np.array(row["columns"]), return_counts=True)
-            value = weights[columns] * times
-            norm = np.linalg.norm(value)
-            if norm:
-                latent[r] = (value / norm) @ vectors[[row_of[int(c)] for c in columns]]
+            if row["columns"]:
+                latent[r] = np.array(row["values"]) @ vectors[[row_of[c] for c in row["columns"]]]
         listed = [(np.array(row["words"], np.int64).view(np.uint64), row["item_id"]) for row in rows]
         names = {}
         item_of = np.array([names.setdefault((i, w.tobytes()), k) for k, (w, i) in enumerate(listed)])
