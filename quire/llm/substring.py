@@ -9,7 +9,9 @@ windows that overlap or touch join to one maximal span.
 
 Index entries and probes are dealt to buckets by hash. A task sends each distinct probe, and each distinct index
 entry, once, so a passage in very many documents is one entry per chunk of input. A chunk is a bounded slab of
-documents; a task holds one slab or one bucket, never a whole document group.
+documents; a task holds one chunk or one bucket, never a whole document group. What a bucket finds returns to the
+chunk that asked, in one row, and is dealt to its documents there. Chunks are numbered by partition and place, so
+docs must come from a table (or a checkpoint), where a task that runs again reads the same rows in the same order.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ from quire.llm.words import SLAB, gram_hashes, gram_starts, slabs, word_hashes,
 
 WINDOW = 20
 BLOCK = 10
-CHUNK = 8 * SLAB
+CHUNK = 2 * SLAB
 _LEAST = -(1 << 63)
 
 _LOW = np.uint64(0xFFFFFFFF)
@@ -42,14 +45,63 @@ def _cuts(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
-_HIT = pa.schema([("bucket", pa.int32()), ("probes", pa.binary()), ("blocks", pa.binary()), ("doc_id", pa.int64()), ("starts", pa.binary())])
+_PLACES = [("chunk", pa.int64()), ("names", pa.binary()), ("sizes", pa.binary()), ("starts", pa.binary())]
+_PLACES_SQL = "chunk long, names binary, sizes binary, starts binary"
+_ASKED = pa.schema([("bucket", pa.int32()), ("probes", pa.binary()), ("blocks", pa.binary()), *_PLACES])
 _ENTRY = np.dtype([("mark", "<u4"), ("start", "<u4"), ("doc_id", "<i8"), ("many", "u1")])
 
 
+def _places(names: np.ndarray, starts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """names (documents: doc_id, copy; one row per start) and starts as blobs: each run of one document once."""
+    change = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+    runs = np.concatenate([[0], change, [len(names)]])
+    return names[runs[:-1]].astype("<i8").tobytes(), np.diff(runs).astype("<u4").tobytes(), starts.astype("<u4").tobytes()
+
+
+def _unplaced(rows: list[pa.RecordBatch], at: int) -> tuple[np.ndarray, np.ndarray]:
+    """names and starts of the blobs in the columns from `at` on."""
+    blobs = [b"".join(b for r in rows for b in r.column(k).drop_null().to_pylist()) for k in range(at, at + 3)]
+    names = np.frombuffer(blobs[0], "<i8").reshape(-1, 2)
+    return np.repeat(names, np.frombuffer(blobs[1], "<u4"), axis=0), np.frombuffer(blobs[2], "<u4")
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All that came back to one chunk, a row per document."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("starts", pa.binary())])
+    for rows in _groups(batches, 1):
+        names, starts = _unplaced(rows, 1)
+        if not len(names):
+            continue
+        order = np.lexsort((starts, names[:, 1], names[:, 0]))
+        names, starts = names[order], starts[order]
+        runs = np.concatenate([[0], np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1, [len(names)]])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(names[runs[:-1], 0]), pa.array(names[runs[:-1], 1]),
+            pa.array([starts[a:b].tobytes() for a, b in zip(runs[:-1], runs[1:], strict=True)], pa.binary()),
+        ], schema=kinds)
+
+
+def _returned(places: DataFrame) -> DataFrame:
+    back = places.repartition("chunk").sortWithinPartitions("chunk")
+    return back.mapInArrow(_by_document, "doc_id long, copy long, starts binary")
+
+
+class _Chunks:
+    """Numbers for the chunks of a task."""
+
+    def __init__(self):
+        self.next = TaskContext.get().partitionId() << 32
+
+    def take(self) -> int:
+        self.next += 1
+        return self.next
+
+
 def _probe(block: int, buckets: int):
-    """Rows of two kinds: what a bucket needs (probes, blocks) and hits that a chunk finds within itself (doc_id, starts)."""
+    """What each bucket is asked (probes, blocks), and what a chunk finds within itself (names, sizes, starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = _Chunks()
         for batch in batches:
             for slab in slabs(batch.column(1), CHUNK):
                 doc_ids = batch.column(0).slice(slab.first, slab.last - slab.first).to_numpy(zero_copy_only=False)
@@ -67,59 +119,61 @@ def _probe(block: int, buckets: int):
                 runs = _cuts(entry)
                 many = np.diff(runs) > 1
                 first = runs[:-1]
-                yield _to_buckets(probes, entry[first], own[first], doc_ids[found.doc[at[first]]], many, buckets)
-                inside = np.repeat(many, np.diff(runs)) | np.isin(entry, probes)
-                if inside.any():
-                    yield _by_document(doc_ids[found.doc[at[inside]]], own[inside], buckets)
+                inside = np.sort(at[np.repeat(many, np.diff(runs)) | np.isin(entry, probes)])
+                doc = found.doc[inside]
+                names = np.stack([doc_ids[doc], np.zeros(len(doc), np.int64)], axis=1)
+                known = _places(names, inside - found.at[doc]) if len(inside) else None
+                yield _to_buckets(
+                    probes, entry[first], own[first], doc_ids[found.doc[at[first]]], many, buckets, chunks.take(), known
+                )
 
     return run
 
 
-def _to_buckets(probes, entry, start, doc_id, many, buckets) -> pa.RecordBatch:
+def _to_buckets(probes, entry, start, doc_id, many, buckets, chunk, known) -> pa.RecordBatch:
     packed = np.empty(len(entry), _ENTRY)
     packed["mark"], packed["start"], packed["doc_id"], packed["many"] = entry & _LOW, start, doc_id, many
     marks = (probes & _LOW).astype("<u4")
     edges = np.arange(buckets + 1, dtype=np.uint64) << _32
     p, e = np.searchsorted(probes, edges), np.searchsorted(entry, edges)
-    used = [b for b in range(buckets) if p[b] < p[b + 1] or e[b] < e[b + 1]]
-    n = len(used)
-    return pa.RecordBatch.from_arrays([
-        pa.array(used, pa.int32()),
-        pa.array([marks[p[b] : p[b + 1]].tobytes() for b in used], pa.binary()),
-        pa.array([packed[e[b] : e[b + 1]].tobytes() for b in used], pa.binary()),
-        pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
-    ], schema=_HIT)
-
-
-def _by_document(doc_id: np.ndarray, start: np.ndarray, buckets: int = 1) -> pa.RecordBatch:
-    order = np.lexsort((start, doc_id))
-    doc_id, start = doc_id[order], start[order].astype("<u4")
-    runs = _cuts(doc_id)
-    n = len(runs) - 1
-    return pa.RecordBatch.from_arrays([
-        pa.array(doc_id[runs[:-1]] % buckets, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
-        pa.array(doc_id[runs[:-1]]),
-        pa.array([start[a:b].tobytes() for a, b in zip(runs[:-1], runs[1:], strict=True)], pa.binary()),
-    ], schema=_HIT)
+    rows = [
+        (b, marks[p[b] : p[b + 1]].tobytes(), packed[e[b] : e[b + 1]].tobytes(), chunk, None, None, None)
+        for b in range(buckets) if p[b] < p[b + 1] or e[b] < e[b + 1]
+    ]
+    if known:
+        rows.append((chunk % buckets, None, None, chunk, *known))
+    columns = zip(*rows, strict=True) if rows else [()] * len(_ASKED)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ASKED, strict=True)], schema=_ASKED)
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket per group of rows: index entries that a probe or another entry meets; hits known before pass."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary())])
+    """One bucket per group of rows: index entries that a probe or another entry meets, a row for each chunk."""
+    kinds = pa.schema(_PLACES)
     for rows in _groups(batches, 1):
         for r in rows:
-            known = r.filter(pc.is_valid(r.column(3)))
+            known = r.filter(pc.is_valid(r.column(4)))
             if known.num_rows:
-                yield pa.RecordBatch.from_arrays([known.column(3), known.column(4)], schema=kinds)
-        entries = np.frombuffer(b"".join(b for r in rows for b in r.column(2).drop_null().to_pylist()), _ENTRY)
+                yield pa.RecordBatch.from_arrays(known.columns[3:], schema=kinds)
+        blobs = [(c, b) for r in rows for c, b in zip(r.column(3).to_pylist(), r.column(2).to_pylist(), strict=True) if b]
+        entries = np.frombuffer(b"".join(b for _, b in blobs), _ENTRY)
+        chunk = np.repeat([c for c, _ in blobs], [len(b) // _ENTRY.itemsize for _, b in blobs]).astype(np.int64)
         marks = np.frombuffer(b"".join(b for r in rows for b in r.column(1).drop_null().to_pylist()), "<u4")
         values, times = np.unique(entries["mark"], return_counts=True)
         met = np.isin(values, marks) | (times > 1)
         met[np.searchsorted(values, entries["mark"][entries["many"] > 0])] = True
-        hits = entries[met[np.searchsorted(values, entries["mark"])]]
-        if len(hits):
-            out = _by_document(hits["doc_id"], hits["start"])
-            yield pa.RecordBatch.from_arrays([out.column(3), out.column(4)], schema=kinds)
+        hit = met[np.searchsorted(values, entries["mark"])]
+        entries, chunk = entries[hit], chunk[hit]
+        order = np.lexsort((entries["start"], entries["doc_id"], chunk))
+        entries, chunk = entries[order], chunk[order]
+        out = []
+        for a, b in zip((cuts := _cuts(chunk))[:-1], cuts[1:], strict=True):
+            own = entries[a:b]
+            names = np.stack([own["doc_id"], np.zeros(len(own), np.int64)], axis=1)
+            out.append((int(chunk[a]), *_places(names, own["start"])))
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds
+            )
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
@@ -147,11 +201,10 @@ _DONE = [
     ("kept_sha256", pa.string()), ("kept_text", pa.large_binary()), ("spans", pa.list_(pa.int64())),
 ]
 _OPEN = pa.schema([
-    *_DONE, ("source", pa.large_binary()), ("local", pa.binary()), ("bucket", pa.int32()), ("names", pa.binary()),
-    ("sizes", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary()),
+    *_DONE, ("source", pa.large_binary()), ("local", pa.binary()), ("bucket", pa.int32()), *_PLACES, ("keys", pa.binary()),
 ])
 _DONE_SQL = "doc_id long, copy long, n_words long, n_removed long, kept_sha256 string, kept_text binary, spans array<long>"
-_OPEN_SQL = f"{_DONE_SQL}, source binary, local binary, bucket int, names binary, sizes binary, keys binary, starts binary"
+_OPEN_SQL = f"{_DONE_SQL}, source binary, local binary, bucket int, {_PLACES_SQL}, keys binary"
 
 
 def _finish(text: bytes, starts: np.ndarray, window: int, with_text: bool) -> tuple:
@@ -186,15 +239,16 @@ def _extend(window: int, block: int, buckets: int, with_text: bool):
     """Documents without candidate windows are finished; the others go on with their windows' hashes by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = _Chunks()
         for batch in batches:
             for slab in slabs(batch.column(2), CHUNK):
                 cut = batch.slice(slab.first, slab.last - slab.first)
-                yield from _extend_slab(cut, slab, window, block, buckets, with_text)
+                yield from _extend_slab(cut, slab, window, block, buckets, with_text, chunks.take())
 
     return run
 
 
-def _extend_slab(batch, slab, window, block, buckets, with_text):
+def _extend_slab(batch, slab, window, block, buckets, with_text, chunk):
     n = batch.num_rows
     hits = batch.column(3).to_pylist()
     names = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1)
@@ -233,21 +287,18 @@ def _extend_slab(batch, slab, window, block, buckets, with_text):
     for d in range(n):
         text = raw[slab.bounds[d] : slab.bounds[d + 1]].tobytes()
         if open_docs[d]:
-            rows.append((*names[d].tolist(), None, None, None, None, None, text, local[d], None, None, None, None, None))
+            rows.append((*names[d].tolist(), None, None, None, None, None, text, local[d], *[None] * 6))
         else:
             none = np.zeros(0, np.int64)
-            rows.append((*names[d].tolist(), *_finish(text, none, window, with_text), *[None] * 7))
+            rows.append((*names[d].tolist(), *_finish(text, none, window, with_text), *[None] * 8))
     if len(candidate):
         bucket = (keys % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         bucket, doc, keys, place = bucket[order], doc[order], keys[order], place[order]
         cuts = _cuts(bucket)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            runs = _cuts(doc[a:b])
-            rows.append((
-                *[None] * 9, int(bucket[a]), names[doc[a:b][runs[:-1]]].astype("<i8").tobytes(),
-                np.diff(runs).astype("<u4").tobytes(), keys[a:b].tobytes(), place[a:b].astype("<u4").tobytes(),
-            ))
+            places = _places(names[doc[a:b]], place[a:b])
+            rows.append((*[None] * 9, int(bucket[a]), chunk, *places, keys[a:b].tobytes()))
     for k in range(0, len(rows), 2000):
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 2000], strict=True), _OPEN, strict=True)], schema=_OPEN
@@ -255,25 +306,24 @@ def _extend_slab(batch, slab, window, block, buckets, with_text):
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket per group of rows: windows whose words also begin earlier, by document."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("starts", pa.binary())])
+    """One bucket per group of rows: windows whose words also begin earlier, a row for each chunk."""
+    kinds = pa.schema(_PLACES)
     for rows in _groups(batches, 1):
-        blob = lambda k: b"".join(b for r in rows for b in r.column(k).to_pylist())  # noqa: E731, B023
-        names = np.frombuffer(blob(1), "<i8").reshape(-1, 2)
-        which = np.repeat(np.arange(len(names)), np.frombuffer(blob(2), "<u4"))
-        keys, start = np.frombuffer(blob(3), "<u8"), np.frombuffer(blob(4), "<u4")
-        order = np.lexsort((start, names[which, 1], names[which, 0], keys))
+        names, start = _unplaced(rows, 2)
+        blobs = [(c, b) for r in rows for c, b in zip(r.column(1).to_pylist(), r.column(5).to_pylist(), strict=True)]
+        keys = np.frombuffer(b"".join(b for _, b in blobs), "<u8")
+        chunk = np.repeat([c for c, _ in blobs], [len(b) // 8 for _, b in blobs]).astype(np.int64)
+        order = np.lexsort((start, names[:, 1], names[:, 0], keys))
         again = np.zeros(len(order), bool)
         again[1:] = keys[order][1:] == keys[order][:-1]
-        later = np.sort(order[again])
-        if not len(later):
-            continue
-        runs = _cuts(which[later])
-        out = start[later]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(names[which[later[runs[:-1]]], 0]), pa.array(names[which[later[runs[:-1]]], 1]),
-            pa.array([out[a:b].tobytes() for a, b in zip(runs[:-1], runs[1:], strict=True)], pa.binary()),
-        ], schema=kinds)
+        later = np.sort(order[again])  # in the order of the blobs: by chunk, then by document
+        out = []
+        for a, b in zip((cuts := _cuts(chunk[later]))[:-1], cuts[1:], strict=True):
+            out.append((int(chunk[later[a]]), *_places(names[later[a:b]], start[later[a:b]])))
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds
+            )
 
 
 def _close(window: int, with_text: bool):
@@ -306,20 +356,17 @@ def _judged(named: DataFrame, window: int, block: int, with_text: bool) -> DataF
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it begins: window >= 2 * block - 1")
     buckets = shuffle_parts(named)
-    probed = named.select("doc_id", "text").mapInArrow(
-        _probe(block, buckets), "bucket int, probes binary, blocks binary, doc_id long, starts binary"
+    asked = named.select("doc_id", "text").mapInArrow(
+        _probe(block, buckets), f"bucket int, probes binary, blocks binary, {_PLACES_SQL}"
     )
-    hits = probed.repartitionById(buckets, F.col("bucket")).mapInArrow(_match, "doc_id long, starts binary")
+    hits = _returned(asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_match, _PLACES_SQL))
     hits = written(hits.groupBy("doc_id").agg(F.collect_list("starts").alias("hits")), "hits")  # bounded by a document
 
     single = named.groupBy("doc_id", "copy").agg(F.first("text").alias("text"))
     extended = single.join(hits, "doc_id", "left").select("doc_id", "copy", "text", "hits")
     extended = written(extended.mapInArrow(_extend(window, block, buckets, with_text), _OPEN_SQL), "windows")
-    later = (
-        extended.filter("bucket IS NOT NULL").select("bucket", "names", "sizes", "keys", "starts")
-        .repartitionById(buckets, F.col("bucket"))
-        .mapInArrow(_later, "doc_id long, copy long, starts binary")
-    )
+    windows = extended.filter("bucket IS NOT NULL").select("bucket", "chunk", "names", "sizes", "starts", "keys")
+    later = _returned(windows.repartitionById(buckets, F.col("bucket")).mapInArrow(_later, _PLACES_SQL))
     later = later.groupBy("doc_id", "copy").agg(F.collect_list("starts").alias("gone"))  # bounded by a document
     closed = (
         extended.filter("source IS NOT NULL").select("doc_id", "copy", "source", "local")
