@@ -256,4 +256,4 @@ def contaminated(
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no benchmark item; rows without doc_id stay."""
     found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    return docs.join(found, docs["doc_id"].cast("long") == found["_id"], "left_anti")

@@ -347,7 +347,8 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that near_duplicates keeps; of several rows with one doc_id, one. Rows without doc_id stay."""
     found = near_duplicates(docs, **options).select(F.col("doc_id").alias("_id"), "kept")
     found = written(found.filter("_id IS NOT NULL").groupBy("_id").agg(F.first("kept").alias("kept"), F.count("*").alias("n")), "kept")
-    left = docs.join(found.filter("NOT kept"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    gone = found.filter("NOT kept").select(F.col("_id"))
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
     if found.filter("kept AND n > 1").isEmpty():
         return left
     named = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
