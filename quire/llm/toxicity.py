@@ -29,6 +29,8 @@ FIT_DOCUMENTS = 20_000
 LEXICON = 1 << 16
 #: Weight of the prior share of toxic texts in a feature's share; about this many texts must support a feature.
 PRIOR_TEXTS = 6.0
+#: A feature must tell toxic texts from others by this likelihood ratio (chance gives as much to one in 100,000).
+LEAST_RATIO = 20.0
 PREFIXES = (4, 5, 6)
 PATHS = 4
 LONGEST = 64  # characters of a word in the channel; a longer token isn't a disguised word
@@ -287,8 +289,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = FIT_DOCU
     toxic, clean = (total["toxic"], total["clean"]) if total else (0, 0)
     prior = (toxic + 0.5) / (toxic + clean + 1.0)
     share = (F.col("toxic") + PRIOR_TEXTS * prior) / (F.col("toxic") + F.col("clean") + PRIOR_TEXTS)
+    n = F.col("toxic") + F.col("clean")
+    ratio = 2 * (
+        F.when(F.col("toxic") > 0, F.col("toxic") * F.log(F.col("toxic") / (n * prior))).otherwise(0)
+        + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - prior)))).otherwise(0)
+    )
     chosen = (
-        sums.filter("kind = 1").select("key", "toxic", share.alias("share")).filter("share >= 0.5")
+        sums.filter("kind = 1").filter(ratio >= LEAST_RATIO).select("key", "toxic", share.alias("share")).filter("share >= 0.5")
         .orderBy(F.desc("toxic"), F.desc("share"), "key").limit(LEXICON).collect()
     )
     chosen.sort(key=lambda r: r["key"] & (2**64 - 1))
