@@ -56,7 +56,7 @@ def _column(hashes: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, texts = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
-        for slab in slabs(batch.column(0), 4 * SLAB):
+        for slab in slabs(batch.column(0), 2 * SLAB):
             hashes, doc, at = _features(slab)
             both = np.unique(doc * FEATURES + _column(hashes))
             counts += np.bincount(both % FEATURES, minlength=FEATURES)

@@ -28,7 +28,7 @@ from quire.llm.words import SLAB, Slab, slabs, word_hashes, words
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 64 * 2048
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 #: Sequences per task that fit the id space of one task (2 ** SEQUENCE_BITS).
 SEQUENCE_BITS = 36
 
@@ -71,11 +71,11 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
         self.cache_words = cache_words
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.place: dict[int, int] = {}
-        self.pieces: dict[bytes, array] = {}
+        self.pieces: dict[bytes, bytes] = {}
         self.ids = array("H")
         self.begins = array("q", [0])
 
@@ -91,7 +91,7 @@ class WordEncoder:
         found = words(low)
         hashes, first, which = np.unique(word_hashes(low, found), return_index=True, return_inverse=True)
         if len(self.place) > self.cache_words:
-            self._forget()
+            self.forget()
         keys = hashes.tolist()
         place = self.place
         data = low.data.tobytes()
@@ -127,19 +127,19 @@ class WordEncoder:
         """Ids of a word between white space: letters, letters and one more character, or the general pattern."""
         head = word[:-1]
         if word.isascii() and word.isalpha():
-            self.ids.extend(self._piece(word))
+            self.ids.frombytes(self._piece(word))
         elif head.isascii() and head.isalpha() and word[-1] != 39 and word[-1] < 128:
-            self.ids.extend(self._piece(head))
-            self.ids.extend(self._piece(word[-1:]))
+            self.ids.frombytes(self._piece(head))
+            self.ids.frombytes(self._piece(word[-1:]))
         else:
             for piece in _PIECE.findall(word.decode("utf-8", "replace").lower()):
-                self.ids.extend(self._piece(piece.encode()))
+                self.ids.frombytes(self._piece(piece.encode()))
         self.begins.append(len(self.ids))
 
-    def _piece(self, piece: bytes) -> array:
+    def _piece(self, piece: bytes) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.pieces[piece] = array("H", self.merge._encode_single_piece(piece + _WORD_END))
+            ids = self.pieces[piece] = array("H", self.merge._encode_single_piece(piece + _WORD_END)).tobytes()
         return ids
 
 
@@ -259,6 +259,7 @@ def pack(
                 packer.add(doc_id, np.concatenate([ids, end]))
                 if len(packer.rows) >= 500:
                     yield _rows(packer.take(), kinds)
+        encoder.forget()  # the worker goes on to other tasks
         packer.finish()
         if packer.rows:
             yield _rows(packer.take(), kinds)

@@ -248,7 +248,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         label = batch.column(1).to_numpy()
-        for slab in slabs(batch.column(0), 8 * SLAB):
+        for slab in slabs(batch.column(0), SLAB):
             low = slab.lowered()
             found = words(low)
             toxic = label[slab.first : slab.last] > 0
