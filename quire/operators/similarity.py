@@ -1,4 +1,4 @@
-"""Exact word-set similarity joins and greedy first-wins selection."""
+"""Exact word-set similarity joins."""
 
 from __future__ import annotations
 
@@ -7,12 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.text import jaccard
-from quire.session import shared_dir
-
-# Largest document decided inside one row: a page test rules out almost all pairs of the
-# conflict rule, the title rule compares word sets of all pairs.
-CONFLICT_FOLD_LIMIT = 5000
-TITLE_FOLD_LIMIT = 2000
 
 
 def prefix_length(n: Column, t: float) -> Column:
@@ -20,79 +14,57 @@ def prefix_length(n: Column, t: float) -> Column:
     return (n - F.ceil(n * t - 1e-9) + 1).cast("int")
 
 
-def _with_prefix(sets: DataFrame, freq: DataFrame, keys: list[str], name: str, t: float) -> DataFrame:
-    """Rarest-first prefix words of each set, one row per prefix word."""
-    ident, words = f"{name}_id", f"{name}_words"
-    ranked = (
-        sets.select(*keys, ident, F.explode(words).alias("_w"))
+def index_prefix_length(n: Column, t: float) -> Column:
+    """The same for the shorter set of a pair, which shares at least 2t / (1 + t) of its own words."""
+    return (n - F.ceil(n * (2 * t / (1 + t)) - 1e-9) + 1).cast("int")
+
+
+def _ranked(sets: DataFrame, freq: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, id, words: the words of each set from the rarest on."""
+    return (
+        sets.select(*keys, "id", F.explode("words").alias("_w"))
         .join(freq, [*keys, "_w"])
-        .groupBy(*keys, ident)
+        .groupBy(*keys, "id")
         .agg(F.sort_array(F.collect_list(F.struct("_n", "_w"))).alias("_r"))
-        .select(*keys, ident, F.transform("_r", lambda r: r["_w"]).alias(words))
-        .withColumn(f"_{name}p", F.slice(words, F.lit(1), prefix_length(F.size(words), t)))
+        .select(*keys, "id", F.transform("_r", lambda r: r["_w"]).alias("words"))
     )
-    return ranked.withColumn("_w", F.explode(f"_{name}p"))
 
 
-def similar_pairs(a: DataFrame, b: DataFrame | None, keys: Sequence[str], t: float) -> DataFrame:
-    """All (a_id, b_id) within ``keys`` whose word sets have Jaccard similarity >= t.
-
-    ``a`` holds keys, a_id, a_words and ``b`` keys, b_id, b_words (None: ``a`` with itself). Sets meet on shared
-    prefix words only, rarest first, so frequent words do not pair up whole groups; each
-    pair is tested once, at its first common prefix word.
-    """
-    keys = list(keys)
-    words = a.select(*keys, F.explode("a_words").alias("_w"))
-    if b is not None:
-        words = words.unionByName(b.select(*keys, F.explode("b_words").alias("_w")))
-    freq = words.groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_n"))
-    pa = _with_prefix(a, freq, keys, "a", t)
-    if b is None:
-        renames = {"a_id": "b_id", "a_words": "b_words", "_ap": "_bp"}
-        pb = pa.withColumnsRenamed(renames)
-    else:
-        pb = _with_prefix(b, freq, keys, "b", t)
-    na, nb = F.size("a_words"), F.size("b_words")
-    joined = pa.join(pb, [*keys, "_w"]).filter((na >= nb * t) & (nb >= na * t))
+def _meet(longer: DataFrame, shorter: DataFrame, keys: list[str], t: float, ties: bool) -> DataFrame:
+    """Pairs (p_id, i_id, similarity) of a longer set, probing, and a shorter one, indexed; of equal length if ties."""
+    p = longer.select(*keys, F.col("id").alias("p_id"), F.col("words").alias("p_words")).withColumn(
+        "_pp", F.slice("p_words", F.lit(1), prefix_length(F.size("p_words"), t))
+    )
+    i = shorter.select(*keys, F.col("id").alias("i_id"), F.col("words").alias("i_words")).withColumn(
+        "_ip", F.slice("i_words", F.lit(1), index_prefix_length(F.size("i_words"), t))
+    )
+    np, ni = F.size("p_words"), F.size("i_words")
+    size = (ni >= np * t) & ((np >= ni) if ties else (np > ni))
+    joined = p.withColumn("_w", F.explode("_pp")).join(i.withColumn("_w", F.explode("_ip")), [*keys, "_w"]).filter(size)
     return (
-        joined.filter(F.array_intersect("_ap", "_bp")[0] == F.col("_w"))
-        .withColumn("similarity", jaccard(F.col("a_words"), F.col("b_words")))
+        joined.filter(F.array_intersect("_pp", "_ip")[0] == F.col("_w"))
+        .withColumn("similarity", jaccard(F.col("p_words"), F.col("i_words")))
         .filter(F.col("similarity") >= t)
-        .select(*keys, "a_id", "b_id", "similarity")
+        .select(*keys, "p_id", "i_id", "similarity")
     )
 
 
-def first_wins(nodes: DataFrame, edges: DataFrame, ident: Sequence[str]) -> DataFrame:
-    """Greedy selection in order: a node stays unless an earlier node that stayed has an
-    edge to it. ``edges`` has ``src.*``/``dst.*`` structs of ``ident``, src before dst.
+def similar_pairs(a: DataFrame, b: DataFrame | None, keys: Sequence[str], t: float) -> DataFrame:
+    """All (a_id, b_id) within ``keys`` whose word sets have Jaccard similarity >= t.
 
-    Each round decides every node whose earlier neighbours are all decided, so their number
-    is that of the longest chain of nodes that hang on one another. Rounds are cut by
-    reliable checkpoints, so lineage stays short and lost executors only redo one.
+    ``a`` holds keys, a_id, a_words and ``b`` keys, b_id, b_words (None: ``a`` with itself). The longer set of a pair
+    probes with its prefix words, the shorter is indexed under fewer of them, rarest first, so a word that very many
+    short sets share indexes none of them; each pair is tested once, at its first common prefix word.
     """
-    shared_dir(nodes.sparkSession)
-    ident = list(ident)
-    node = F.struct(*ident)
-    left = edges.select("src", "dst").distinct().checkpoint()
-    undecided = nodes.select(node.alias("node")).distinct().checkpoint()
-    kept: DataFrame | None = None
-    while not undecided.isEmpty():
-        blocked = left.select(F.col("dst").alias("node")).distinct()
-        now_kept = undecided.join(blocked, "node", "left_anti").checkpoint()
-        dropped = (
-            left.join(now_kept.withColumnRenamed("node", "src"), "src", "left_semi")
-            .select(F.col("dst").alias("node")).distinct().checkpoint()
-        )
-        kept = now_kept if kept is None else kept.unionByName(now_kept)
-        undecided = (
-            undecided.join(now_kept, "node", "left_anti").join(dropped, "node", "left_anti").checkpoint()
-        )
-        alive = undecided.select("node")
-        left = (
-            left.join(alive.withColumnRenamed("node", "src"), "src", "left_semi")
-            .join(alive.withColumnRenamed("node", "dst"), "dst", "left_semi")
-            .checkpoint()
-        )
-    if kept is None:
-        kept = nodes.select(node.alias("node")).limit(0)
-    return kept.select("node.*")
+    keys = list(keys)
+    left = a.select(*keys, F.col("a_id").alias("id"), F.col("a_words").alias("words"))
+    right = left if b is None else b.select(*keys, F.col("b_id").alias("id"), F.col("b_words").alias("words"))
+    words = left.select(*keys, F.explode("words").alias("_w"))
+    if b is not None:
+        words = words.unionByName(right.select(*keys, F.explode("words").alias("_w")))
+    freq = words.groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_n"))
+    left = _ranked(left, freq, keys)
+    right = left if b is None else _ranked(right, freq, keys)
+    first = _meet(left, right, keys, t, True).withColumnsRenamed({"p_id": "a_id", "i_id": "b_id"})
+    second = _meet(right, left, keys, t, False).withColumnsRenamed({"p_id": "b_id", "i_id": "a_id"})
+    return first.unionByName(second).select(*keys, "a_id", "b_id", "similarity")

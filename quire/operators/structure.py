@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import text as T, values as V
+from quire.operators.greedy import DocumentTitles, PageTitles, select
 from quire.operators.ordered import assemble_text, first_row, number_rows, top_rows
-from quire.operators.similarity import CONFLICT_FOLD_LIMIT, TITLE_FOLD_LIMIT, first_wins, similar_pairs
-from quire.session import shared_dir
+from quire.operators.similarity import similar_pairs
 
 PAGES_PER_SLICE = 64
 BLOCKS_PER_SLICE = 1000
@@ -102,32 +102,6 @@ def detector_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
 
 # --- greedy selection --------------------------------------------------------
 
-def _split_by_size(df: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary documents, and rows of documents with more than ``limit`` (None if
-    there are none). Candidates are few next to the blocks they come from, so they are
-    checkpointed here instead of being detected again for every use."""
-    shared_dir(df.sparkSession)
-    df = df.checkpoint()
-    large = df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select("doc_id")
-    if large.isEmpty():
-        return df, None
-    return df.join(large, "doc_id", "left_anti"), df.join(large, "doc_id", "left_semi")
-
-
-def _fold(df: DataFrame, order: list[str], clash) -> DataFrame:
-    """Per document, rows in order, keeping a row unless it clashes with a kept one."""
-    cols = [c for c in df.columns if c != "doc_id"]
-    rest = [c for c in cols if c not in order]
-    rows = F.sort_array(F.collect_list(F.struct(*order, *rest)))
-    grouped = df.repartition("doc_id").groupBy("doc_id").agg(rows.alias("_rows"))
-    empty = F.slice("_rows", F.lit(1), F.lit(0))
-
-    def step(kept, row):
-        return F.when(F.exists(kept, lambda k: clash(k, row)), kept).otherwise(F.concat(kept, F.array(row)))
-
-    return grouped.select("doc_id", F.explode(F.aggregate("_rows", empty, step)).alias("r")).select("doc_id", "r.*")
-
-
 def _prepared(candidates: DataFrame) -> DataFrame:
     key = T.title_key("title")
     clean = T.clean_title("title")
@@ -136,92 +110,22 @@ def _prepared(candidates: DataFrame) -> DataFrame:
     })
 
 
-def chapter_conflicts(candidates: DataFrame, near: int = 2, t: float = 0.8,
-                      fold_limit: int = CONFLICT_FOLD_LIMIT) -> DataFrame:
+def chapter_conflicts(candidates: DataFrame, near: int = 2, t: float = 0.8) -> DataFrame:
     """Drop a candidate when an accepted one before it (by detector, then detector order)
-    lies within ``near`` pages under a similar title. Outline entries are all accepted.
-
-    Ordinary documents are folded in one row each. Larger ones go through a similarity
-    join on (page, rare word) and rounds of greedy selection, spread over all tasks.
-    """
+    lies within ``near`` pages under a similar title. Outline entries are all accepted; so are rows without page or title."""
     work = candidates.withColumn("words", T.title_words(T.title_key("title")))
-    small, large = _split_by_size(work, fold_limit)
-
-    def clash(k: Column, c: Column) -> Column:
-        close = F.abs(k["page_num"] - c["page_num"]) <= near
-        return (c["priority"] > 0) & close & (T.jaccard(k["words"], c["words"]) >= t)
-
-    kept = _fold(small, ["priority", "seq", "page_num", "title"], clash)
-    if large is not None:
-        kept = kept.unionByName(_conflicts_large(large, near, t))
-    return kept.drop("words")
-
-
-def _conflicts_large(work: DataFrame, near: int, t: float) -> DataFrame:
-    # equal word sets on one page: after the first, the others can never be the deciding one
-    at = F.struct("priority", "seq", "page_num", "title")
-    spots = work.groupBy("doc_id", "page_num", "words").agg(F.min(at).alias("at"))
-    reach = F.explode(F.sequence(F.col("page_num") - near, F.col("page_num") + near)).alias("page")
-    a = spots.select("doc_id", F.col("page_num").alias("page"), F.struct("doc_id", "at").alias("a_id"), F.col("words").alias("a_words"))
-    b = spots.select("doc_id", reach, F.struct("doc_id", "at").alias("b_id"), F.col("words").alias("b_words"))
-    edges = (
-        similar_pairs(a, b, ["doc_id", "page"], t)
-        .filter((F.col("a_id.at") < F.col("b_id.at")) & (F.col("b_id.at.priority") > 0))
-        .select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
-    )
-    nodes = spots.select("doc_id", "at")
-    firsts = first_wins(nodes, edges, ["doc_id", "at"])
-    rows = work.withColumn("at", at)
-    # a repeat on the same page survives only if it is an outline entry
-    chosen = rows.join(firsts, ["doc_id", "at"], "left_semi")
-    more = rows.filter("priority = 0").join(firsts, ["doc_id", "at"], "left_anti")
-    return chosen.unionByName(more).drop("at")
+    return select(work, "doc_id", ["priority", "seq", "page_num", "title"], lambda: PageTitles(near, t)).drop("words")
 
 
-def dedupe_titles(candidates: DataFrame, t: float = 0.9, fold_limit: int = TITLE_FOLD_LIMIT) -> DataFrame:
+def dedupe_titles(candidates: DataFrame, t: float = 0.9) -> DataFrame:
     """In page order, drop a title similar to one kept before; kept titles are cleaned.
 
     A kept title counts in its cleaned form, a new one in its raw form.
     """
-    work = _prepared(candidates)
-    small, large = _split_by_size(work, fold_limit)
-
-    def clash(k: Column, c: Column) -> Column:
-        return T.jaccard(k["clean_words"], c["words"]) >= t
-
-    order = ["page_num", "priority", "seq", "title"]
-    kept = _fold(small, order, clash)
-    if large is not None:
-        kept = kept.unionByName(_dedupe_large(large, order, t).select(*kept.columns))
-    return kept.withColumn("title", F.col("clean")).drop("words", "clean", "clean_words")
-
-
-def _dedupe_large(work: DataFrame, order: list[str], t: float) -> DataFrame:
-    """Decide once per distinct (raw words, cleaned words) form: its first row competes with
-    the forms before it; a later row falls exactly if a similar kept form came before it."""
-    at = F.struct(*order)
-    rows = work.withColumn("at", at)
-    forms = rows.groupBy("doc_id", "words", "clean_words").agg(F.min("at").alias("first_at"))
-    seen = forms.select("doc_id", F.col("first_at").alias("a_id"), F.col("clean_words").alias("a_words"))
-    new = forms.select("doc_id", F.col("first_at").alias("b_id"), F.col("words").alias("b_words"))
-    pairs = similar_pairs(seen, new, ["doc_id"], t).checkpoint()
-    edges = pairs.filter(F.col("a_id") < F.col("b_id")).select(
-        F.struct("doc_id", F.col("a_id").alias("first_at")).alias("src"),
-        F.struct("doc_id", F.col("b_id").alias("first_at")).alias("dst"),
-    )
-    kept_forms = first_wins(forms.select("doc_id", "first_at"), edges, ["doc_id", "first_at"])
-    blockers = kept_forms.withColumnRenamed("first_at", "a_id")
-    until = (
-        pairs.join(blockers, ["doc_id", "a_id"])
-        .groupBy("doc_id", F.col("b_id").alias("first_at"))
-        .agg(F.min("a_id").alias("until"))
-    )
-    limits = forms.join(until, ["doc_id", "first_at"], "left")
-    return (
-        rows.join(limits, ["doc_id", "words", "clean_words"])
-        .filter(F.col("until").isNull() | (F.col("at") <= F.col("until")))
-        .drop("at", "until", "first_at")
+    kept = select(
+        _prepared(candidates), "doc_id", ["page_num", "priority", "seq", "title"], lambda: DocumentTitles(t)
     )
+    return kept.withColumn("title", F.col("clean")).drop("words", "clean", "clean_words")
 
 
 def detect_chapters(outline: DataFrame, blocks: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
@@ -238,12 +142,7 @@ def title_similarity_join(titles: DataFrame, t: float = 0.5) -> DataFrame:
     Titles with equal word sets are one entry with a count, so a title shared by very many
     rows pairs up once.
     """
-    shared_dir(titles.sparkSession)
-    sets = (
-        titles.select(T.title_words(T.title_key("title")).alias("w"))
-        .groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        .checkpoint()  # read five times below; far smaller than the titles it comes from
-    )
+    sets = titles.select(T.title_words(T.title_key("title")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     key = F.array_join("w", " ")
     a = sets.select(key.alias("a_id"), F.col("w").alias("a_words"))
     pairs = similar_pairs(a, None, [], t).filter(F.col("a_id") < F.col("b_id"))
@@ -260,8 +159,8 @@ def title_similarity_join(titles: DataFrame, t: float = 0.5) -> DataFrame:
 def chapter_ranges(boundaries: DataFrame, blocks: DataFrame) -> DataFrame:
     """Numbered chapters with first and last page: up to the page before the next
     boundary, the last one to the document's last page. Two boundaries on a page leave
-    the first with an empty range."""
-    order = [F.col("page_num"), F.col("seq")]
+    the first with an empty range; they follow in order of their detectors' priority."""
+    order = [F.col("page_num"), F.col("priority"), F.col("seq")]
     slices = [F.floor(F.col("page_num") / PAGES_PER_SLICE)]
     ahead = number_rows(boundaries, ["doc_id"], order, slices, "chapter_no", ahead=("page_num", "next_page"))
     last = blocks.groupBy("doc_id").agg(F.max("page_num").alias("last_page"))
@@ -295,12 +194,18 @@ def chapter_content(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
-def whole_document_chapter(blocks: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """Documents without any boundary: one chapter with all their text."""
+def whole_document_chapter(blocks: DataFrame, boundaries: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """Documents without any boundary: one chapter with all their text, under the document's title (doc_id, title) or,
+    without one, ``Document``."""
     rest = blocks.join(boundaries.select("doc_id").distinct(), "doc_id", "left_anti")
     slices = [F.floor(F.col("page_num") / PAGES_PER_SLICE), F.floor(F.col("block_id") / BLOCKS_PER_SLICE)]
-    return assemble_text(rest, ["doc_id"], ["page_num", "block_id"], "text", slices, out="content").select(
-        "doc_id", "part", F.lit("chapter_001").alias("chapter_id"), F.lit("Document").alias("title"), "content",
+    texts = assemble_text(rest, ["doc_id"], ["page_num", "block_id"], "text", slices, out="content")
+    title = F.lit("Document")
+    if titles is not None:
+        texts = texts.join(titles.select("doc_id", F.col("title").alias("_title")), "doc_id", "left")
+        title = F.coalesce(F.col("_title"), title)
+    return texts.select(
+        "doc_id", "part", F.lit("chapter_001").alias("chapter_id"), title.alias("title"), "content",
         F.lit("chapter_001.xhtml").alias("file_name"),
     )
 

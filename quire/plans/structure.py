@@ -90,23 +90,60 @@ def detector_counts(t):
     return counts.withColumn("methods_used", F.array_join("methods_used", ","))
 
 
-@query("chapter_conflicts")
+_SAME = """(CASE WHEN x.w = c.w THEN 1.0 ELSE len(list_intersect(x.w, c.w)) / (len(x.w) + len(c.w) - len(list_intersect(x.w, c.w))) END)"""
+
+
+def _walk(rows: str, name: str, order: str, clash: str, kept: str) -> dict[str, str]:
+    """Steps of greedy selection: candidates numbered per document, then one after the other with the list of those kept."""
+    return {
+        f"{name}_n": f"SELECT *, {S.title_words('title')} AS w, {S.title_words(S.clean_title('title'))} AS cw,"
+        f" row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS n FROM {rows}",
+        f"{name}_w": f"SELECT doc_id, n, true AS k, [{kept}] AS kept FROM {name}_n c WHERE n = 1 UNION ALL"
+        f" SELECT doc_id, n, k, CASE WHEN k THEN list_append(kept, {kept}) ELSE kept END FROM ("
+        f" SELECT c.*, kept, {clash} AS k FROM {name}_w v JOIN {name}_n c ON c.doc_id = v.doc_id AND c.n = v.n + 1) c",
+        name: f"SELECT doc_id, page_num, title, confidence, method, level, seq, priority FROM {name}_n JOIN (SELECT doc_id, n, k FROM {name}_w) USING (doc_id, n) WHERE k",
+    }
+
+
+def _conflict_steps(rows: str) -> dict[str, str]:
+    return _walk(
+        rows, "kc", "priority, seq, page_num, title",
+        f"(c.priority = 0 OR len(list_filter(kept, lambda x: abs(x.p - c.page_num) <= 2 AND {_SAME} >= 0.8)) = 0)",
+        "{'p': c.page_num, 'w': c.w}",
+    )
+
+
+def _title_steps(rows: str) -> dict[str, str]:
+    return _walk(
+        rows, "kt", "page_num, priority, seq, title",
+        f"(len(list_filter(kept, lambda x: {_SAME} >= 0.9)) = 0)", "{'w': c.cw}",
+    )
+
+
+CHAPTER_COLS = f"doc_id, page_num, {S.clean_title('title')} AS title, round(CAST(confidence AS DOUBLE), 6) AS confidence, method, level, seq, priority"
+MERGE_STEPS = {**DETECTORS, "mc": MERGED}
+CHAPTER_STEPS = {**MERGE_STEPS, **_conflict_steps("mc"), **_title_steps("kc")}
+
+
+@query("chapter_conflicts", check_sql(VIEWS, f"SELECT {COLS}, priority FROM kc", **MERGE_STEPS, **_conflict_steps("mc")))
 def chapter_conflicts(t):
-    """Greedy selection; checked against brute force in the tests."""
-    return ops.chapter_conflicts(_candidates(t))
+    return ops.chapter_conflicts(_candidates(t)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("dedupe_titles")
+@query("dedupe_titles", check_sql(VIEWS, f"SELECT {CHAPTER_COLS} FROM kt", **MERGE_STEPS, **_title_steps("mc")))
 def dedupe_titles(t):
-    """Greedy selection; checked against brute force in the tests."""
-    return ops.dedupe_titles(_candidates(t))
+    return ops.dedupe_titles(_candidates(t)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("detect_chapters")
-def detect_chapters(t):
+def _chapters(t):
     return ops.dedupe_titles(ops.chapter_conflicts(_candidates(t)))
 
 
+@query("detect_chapters", check_sql(VIEWS, f"SELECT {CHAPTER_COLS} FROM kt", **CHAPTER_STEPS))
+def detect_chapters(t):
+    return _chapters(t).withColumn("confidence", F.round("confidence", 6))
+
+
 @query("title_similarity_join", check_sql(
     "v_blocks",
     """SELECT a_id, b_id, round(c / (a.k + b.k - c), 6) AS similarity, a.n AS n_a, b.n AS n_b FROM (
@@ -119,19 +156,18 @@ def title_similarity_join(t):
     return ops.title_similarity_join(lines, 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
-# boundaries for the range jobs: the font headings, plus outline entries of the same documents
-BOUNDS = "SELECT doc_id, page_num, title, level, seq FROM fo UNION ALL SELECT doc_id, page_num, title, level, seq + 1000000 FROM ol"
+# boundaries for the range jobs: outline entries and font headings
+BOUNDS = "SELECT doc_id, page_num, title, level, seq, 1 AS priority FROM fo UNION ALL SELECT doc_id, page_num, title, level, seq, 0 FROM ol"
 RANGES = """SELECT doc_id, chapter_no, title, level, page_num AS start_page, coalesce(nxt - 1, last_page) AS end_page FROM (SELECT b.*, m.last_page,
-    row_number() OVER (PARTITION BY b.doc_id ORDER BY page_num, seq) AS chapter_no, lead(page_num) OVER (PARTITION BY b.doc_id ORDER BY page_num, seq) AS nxt
+    row_number() OVER (PARTITION BY b.doc_id ORDER BY page_num, priority, seq) AS chapter_no, lead(page_num) OVER (PARTITION BY b.doc_id ORDER BY page_num, priority, seq) AS nxt
     FROM bo b JOIN (SELECT doc_id, max(page_num) AS last_page FROM v_blocks GROUP BY doc_id) m ON m.doc_id = b.doc_id)"""
 RANGE_STEPS = {"fs": FONT_STATS, "ol": OUTLINE, "fo": FONT, "bo": BOUNDS, "ra": RANGES}
 
 
 def _bounds(t):
     blocks = t.v_blocks
-    cols = ["doc_id", "page_num", "title", "level", "seq"]
-    outline = ops.outline_filter(t.v_outline).withColumn("seq", F.col("seq") + 1_000_000)
-    return ops.font_headings(blocks, ops.font_stats(blocks)).select(*cols).unionByName(outline.select(*cols))
+    found = ops.merge_candidates(ops.outline_filter(t.v_outline), ops.font_headings(blocks, ops.font_stats(blocks)))
+    return found.select("doc_id", "page_num", "title", "level", "seq", "priority")
 
 
 @query("chapter_ranges", check_sql("v_blocks v_outline", "SELECT doc_id, chapter_no, title, start_page, end_page FROM ra", **RANGE_STEPS))
@@ -149,11 +185,26 @@ def chapter_content(t):
 
 
 @query("whole_document_chapter", check_sql(
-    "v_blocks v_outline",
-    """SELECT doc_id, 0 AS part, 'chapter_001' AS chapter_id, 'Document' AS title, string_agg(text, ' ' ORDER BY page_num, block_id) AS content, 'chapter_001.xhtml' AS file_name
-    FROM v_blocks WHERE doc_id NOT IN (SELECT doc_id FROM bo) GROUP BY doc_id""", **RANGE_STEPS))
+    "v_blocks v_outline v_meta",
+    """SELECT b.doc_id, 0 AS part, 'chapter_001' AS chapter_id, coalesce(any_value(m.title), 'Document') AS title, string_agg(text, ' ' ORDER BY page_num, block_id) AS content, 'chapter_001.xhtml' AS file_name
+    FROM v_blocks b LEFT JOIN v_meta m ON m.doc_id = b.doc_id WHERE b.doc_id NOT IN (SELECT doc_id FROM bo) GROUP BY b.doc_id""", **RANGE_STEPS))
 def whole_document_chapter(t):
-    return ops.whole_document_chapter(t.v_blocks, _bounds(t))
+    return ops.whole_document_chapter(t.v_blocks, _bounds(t), t.v_meta.select("doc_id", "title"))
+
+
+# from blocks to chapters with their text: every detector, merging, ranges, content
+BOOK_RANGES = RANGES.replace("FROM bo b", "FROM kt2 b")
+
+
+@query("book_chapters", check_sql(
+    VIEWS,
+    """SELECT r.doc_id, r.chapter_no, 0 AS part, printf('chapter_%03d', r.chapter_no) AS chapter_id, r.title, coalesce(string_agg(b.text, ' ' ORDER BY b.page_num, b.block_id), '') AS content,
+    printf('chapter_%03d.xhtml', r.chapter_no) AS file_name, r.level, r.start_page, r.end_page FROM ra r LEFT JOIN v_blocks b ON b.doc_id = r.doc_id AND b.page_num BETWEEN r.start_page AND r.end_page
+    GROUP BY r.doc_id, r.chapter_no, r.title, r.level, r.start_page, r.end_page""",
+    **CHAPTER_STEPS, kt2=f"SELECT * REPLACE ({S.clean_title('title')} AS title) FROM kt", ra=BOOK_RANGES))
+def book_chapters(t):
+    """The whole chain: detected chapters, their ranges, their content."""
+    return ops.chapter_content(ops.chapter_ranges(_chapters(t), t.v_blocks), t.v_blocks)
 
 
 CONFIDENCE = """SELECT d.doc_id, count(m.doc_id) AS n_chapters, round(CAST(coalesce(sum(confidence * w) / sum(w), 0) AS DOUBLE), 6) AS total_confidence FROM documents d

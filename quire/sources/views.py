@@ -358,4 +358,4 @@ def check_sql(views: str, final: str, **steps: str) -> str:
     """SQL over the given tables: views as CTEs, then the named steps, then ``final``."""
     ctes = [f"{v} AS ({duck_view(v)})" for v in views.split()]
     ctes += [f"{name} AS ({body})" for name, body in steps.items()]
-    return f"WITH {', '.join(ctes)} {final}" if ctes else final
+    return f"WITH RECURSIVE {', '.join(ctes)} {final}" if ctes else final
