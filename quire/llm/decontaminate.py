@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.latent import directions, sum_by_slice
-from quire.llm.store import written
+from quire.llm.store import small_enough, written
 from quire.llm.toxicity import cores
 from quire.llm.words import SLAB, Slab, slabs, span_hashes, words
 
@@ -256,4 +256,5 @@ def contaminated(
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no benchmark item; rows without doc_id stay."""
     found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).distinct()
+    found = small_enough(written(found, "contaminated"))
     return docs.join(found, docs["doc_id"].cast("long") == found["_id"], "left_anti")

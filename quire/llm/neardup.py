@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.graph import components
-from quire.llm.store import written
+from quire.llm.store import small_enough, written
 from quire.llm.words import Slab, gram_hashes, gram_starts, mix, slabs, word_hashes, words
 
 SHINGLE = 5
@@ -314,7 +314,7 @@ def near_duplicates(
     classes = written(grouped, "classes")
     lists = written(postings(classes, coordinates, matches), "lists")
 
-    nodes = lists.select(F.col("node").alias("doc_id")).distinct()
+    nodes = small_enough(written(lists.select(F.col("node").alias("doc_id")).distinct(), "nodes"))
     firsts = docs.join(nodes, "doc_id").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     texts = written(firsts.select(F.col("doc_id").alias("node"), "text"), "texts")
 
@@ -347,7 +347,7 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that near_duplicates keeps; of several rows with one doc_id, one. Rows without doc_id stay."""
     found = near_duplicates(docs, **options).select(F.col("doc_id").alias("_id"), "kept")
     found = written(found.filter("_id IS NOT NULL").groupBy("_id").agg(F.first("kept").alias("kept"), F.count("*").alias("n")), "kept")
-    gone = found.filter("NOT kept").select(F.col("_id"))
+    gone = small_enough(written(found.filter("NOT kept").select("_id"), "gone"))
     left = docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
     if found.filter("kept AND n > 1").isEmpty():
         return left

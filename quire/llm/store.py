@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quire.session import work_path
 
@@ -24,3 +25,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Ids that may be broadcast: as a hash table of long keys, some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_enough(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of ids, marked for broadcast if its counted rows are within the bound; else joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= rows else ids

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.store import shuffle_parts, written
+from quire.llm.store import shuffle_parts, small_enough, written
 from quire.llm.words import SLAB, gram_hashes, gram_starts, slabs, word_hashes, words
 
 WINDOW = 20
@@ -305,6 +305,24 @@ def _extend_slab(batch, slab, window, block, buckets, with_text, chunk):
         )
 
 
+def _plain(with_text: bool):
+    kinds = pa.schema(_DONE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                rows = [
+                    (doc_id, copy, *_finish(text, none, 1, with_text))
+                    for doc_id, copy, text in zip(*(c.to_pylist() for c in batch.slice(k, 1000).columns), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds
+                )
+
+    return run
+
+
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bucket per group of rows: windows whose words also begin earlier, a row for each chunk."""
     kinds = pa.schema(_PLACES)
@@ -362,8 +380,9 @@ def _judged(named: DataFrame, window: int, block: int, with_text: bool) -> DataF
     hits = _returned(asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_match, _PLACES_SQL))
     hits = written(hits.groupBy("doc_id").agg(F.collect_list("starts").alias("hits")), "hits")  # bounded by a document
 
-    single = named.groupBy("doc_id", "copy").agg(F.first("text").alias("text"))
-    extended = single.join(hits, "doc_id", "left").select("doc_id", "copy", "text", "hits")
+    met = small_enough(hits.select("doc_id"))  # documents without a hit need no shuffle of their texts
+    single = named.join(met, "doc_id", "left_semi").groupBy("doc_id", "copy").agg(F.first("text").alias("text"))
+    extended = single.join(hits, "doc_id").select("doc_id", "copy", "text", "hits")
     extended = written(extended.mapInArrow(_extend(window, block, buckets, with_text), _OPEN_SQL), "windows")
     windows = extended.filter("bucket IS NOT NULL").select("bucket", "chunk", "names", "sizes", "starts", "keys")
     later = _returned(windows.repartitionById(buckets, F.col("bucket")).mapInArrow(_later, _PLACES_SQL))
@@ -375,7 +394,9 @@ def _judged(named: DataFrame, window: int, block: int, with_text: bool) -> DataF
         .mapInArrow(_close(window, with_text), _DONE_SQL)
     )
     done = extended.filter("n_words IS NOT NULL").select(*(f[0] for f in _DONE))
-    return written(done.unionByName(closed), "repeats")
+    plain = named.join(met, "doc_id", "left_anti").mapInArrow(_plain(with_text), _DONE_SQL)
+    plain = plain.dropDuplicates(["doc_id", "copy"])  # short rows that repeat
+    return written(done.unionByName(closed).unionByName(plain), "repeats")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, with_text: bool = True) -> DataFrame:
@@ -402,10 +423,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -
     changed = _judged(_named(docs), window, block, True).filter("n_removed > 0").select(
         F.col("doc_id").alias("_name"), F.col("copy").alias("_copy"), F.col("kept_text").alias("_kept")
     )
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)) == changed["_name"]) & (
-        F.xxhash64(text) == changed["_copy"]
+    names = small_enough(written(changed.select("_name", "_copy"), "changed"))
+    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST))
+    copy = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))
+    unchanged = (own == names["_name"]) & (copy == names["_copy"])
+    some = docs.join(names, unchanged, "left_semi")
+    same = (F.coalesce(some["doc_id"].cast("long"), F.lit(_LEAST)) == changed["_name"]) & (
+        F.xxhash64(F.coalesce(some["text"].cast("string"), F.lit("")).cast("binary")) == changed["_copy"]
+    )
+    cut = some.join(changed, same).select(
+        *(changed["_kept"].cast("string").alias("text") if c == "text" else some[c] for c in docs.columns)
     )
-    joined = docs.join(changed, same, "left")
-    kept = F.coalesce(changed["_kept"].cast("string"), docs["text"].cast("string"))
-    return joined.select(*(kept.alias("text") if c == "text" else docs[c] for c in docs.columns))
+    return docs.join(names, unchanged, "left_anti").withColumn("text", F.col("text").cast("string")).unionByName(cut)
