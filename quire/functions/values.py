@@ -137,6 +137,7 @@ APPLICATION_ERRORS = {
     "SecurityError": ("SECURITY_ERROR", 403),
     "FileProcessingError": ("FILE_PROCESSING_ERROR", 400),
     "ConversionTimeoutError": ("CONVERSION_TIMEOUT", 503),
+    "BatchConversionError": ("BATCH_CONVERSION_ERROR", 500),
     "ConversionError": ("CONVERSION_ERROR", 500),
     "AIServiceError": ("AI_SERVICE_ERROR", 500),
     "ConfigurationError": ("CONFIGURATION_ERROR", 500),
@@ -145,6 +146,7 @@ BUILTIN_ERRORS = {
     "FileNotFoundError": ("RESOURCE_NOT_FOUND", 404),
     "PermissionError": ("SECURITY_ERROR", 403),
     "ValueError": ("VALIDATION_ERROR", 422),
+    "TimeoutError": ("CONVERSION_TIMEOUT", 503),
 }
 ERROR_TEMPLATES = {
     "FILE_NOT_FOUND": (

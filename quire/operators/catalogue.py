@@ -78,17 +78,20 @@ def search(files: DataFrame, text: str = "", fmt: str | None = None, order: str
 
 
 def validate_uploads(uploads: DataFrame, max_bytes: int = V.MAX_FILE_BYTES) -> DataFrame:
-    """First failing rule per upload with its HTTP status; null reason means accepted."""
-    name = T.base_name(F.col("filename"))
-    ext = T.suffix(name)
-    target = F.concat(F.lit("."), F.lower("target_format"))
+    """First failing rule per upload with its HTTP status; null reason means accepted.
+
+    A null file name, target format or size fails like an empty one.
+    """
+    name = T.base_name(F.coalesce("filename", F.lit("")))
+    ext = F.coalesce(T.suffix(name), F.lit(""))
+    target = F.concat(F.lit("."), F.lower(F.coalesce("target_format", F.lit(""))))
     reason = (
         F.when(F.coalesce(F.col("filename"), F.lit("")) == "", "No filename provided")
         .when((name == "") | name.startswith("."), "Invalid filename")
         .when(~ext.isin(V.ALLOWED_EXTENSIONS), "Unsupported file format")
         .when(~target.isin(V.ALLOWED_EXTENSIONS), "Unsupported target format")
         .when(F.col("size_bytes") > max_bytes, f"File too large. Maximum size: {max_bytes // MB}MB")
-        .when(F.col("size_bytes") == 0, "Empty file uploaded")
+        .when(F.coalesce("size_bytes", F.lit(0)) == 0, "Empty file uploaded")
     )
     return uploads.withColumn("reason", reason).withColumn(
         "http_status",
@@ -110,7 +113,7 @@ def enforce_batch_limit(batches: DataFrame, files: DataFrame, limit: int = V.MAX
 
 
 def validate_conversion(requests: DataFrame) -> DataFrame:
-    source, target = F.col("source_format"), F.col("target_format")
+    source, target = F.coalesce("source_format", F.lit("")), F.coalesce("target_format", F.lit(""))
     dotted = F.concat(F.lit("."), target)
     return requests.withColumn(
         "reason",
@@ -122,15 +125,15 @@ def validate_conversion(requests: DataFrame) -> DataFrame:
 
 def route_conversion(requests: DataFrame) -> DataFrame:
     """Handler of a (source, target) pair from the fixed route table."""
-    source = F.replace(F.col("source_format"), F.lit("."), F.lit(""))
+    given, target = F.coalesce("source_format", F.lit("")), F.coalesce("target_format", F.lit(""))
+    source = F.replace(given, F.lit("."), F.lit(""))
     table = {f"{a}>{b}": r for (a, b), r in V.ROUTES.items()}
-    route = T.lookup(F.concat(source, F.lit(">"), F.col("target_format")), table)
+    route = T.lookup(F.concat(source, F.lit(">"), target), table)
     return requests.withColumns({
         "route": route,
         "error": F.when(
             route.isNull(),
-            F.concat(F.lit("Conversion from "), F.col("source_format"), F.lit(" to "), F.col("target_format"),
-                     F.lit(" not supported")),
+            F.concat(F.lit("Conversion from "), given, F.lit(" to "), target, F.lit(" not supported")),
         ),
     })
 
@@ -189,7 +192,9 @@ def _task_inputs(files: DataFrame) -> DataFrame:
 
 def task_file_status(tasks: DataFrame, files: DataFrame) -> DataFrame:
     """completed / failed / not_found from the presence of files named after the task."""
-    outputs = _task_outputs(files).groupBy("task_id").agg(F.count(F.lit(1)).alias("n_outputs"))
+    outputs = _task_outputs(files).groupBy("task_id").agg(
+        F.count(F.lit(1)).alias("n_outputs"), F.sort_array(F.collect_list("name")).alias("_names")  # a task's own files
+    )
     inputs = _task_inputs(files).select("task_id").distinct().withColumn("_has_input", F.lit(True))
     joined = tasks.join(outputs, "task_id", "left").join(inputs, "task_id", "left")
     status = (
@@ -202,6 +207,7 @@ def task_file_status(tasks: DataFrame, files: DataFrame) -> DataFrame:
         *tasks.columns,
         "status",
         F.when(F.col("status") == "completed", F.col("n_outputs")).otherwise(0).alias("n_outputs"),
+        F.when(F.col("status") == "completed", F.col("_names")).otherwise(F.array().cast("array<string>")).alias("output_files"),
         F.when(F.col("status") == "invalid", "Invalid task ID format")
         .when(F.col("status") == "completed", "Conversion completed successfully")
         .when(F.col("status") == "failed", "Conversion failed or file not found")

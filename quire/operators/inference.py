@@ -109,16 +109,16 @@ def extractive_summary(docs: DataFrame, n: int = 300) -> DataFrame:
 
 
 def ai_cache_join(texts: DataFrame, cache: DataFrame, infer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Cached answers by md5 of ``text:provider``; each missing key is inferred once."""
+    """Cached answers by md5 of ``text:provider``; each missing key is inferred once, and a failed one carries its error."""
     keyed = texts.withColumn("cache_key", F.md5(F.concat_ws(":", "text", "provider")))
     known = cache.groupBy("cache_key").agg(F.min("content").alias("content"))
     missing = (
         keyed.groupBy("cache_key").agg(F.min("text").alias("text"), F.min("provider").alias("provider"))
         .join(known, "cache_key", "left_anti")
     )
-    answers = known.withColumn("from_cache", F.lit(True)).unionByName(
-        infer(missing).select("cache_key", "content").withColumn("from_cache", F.lit(False))
-    )
+    answers = known.select(
+        "*", F.lit(True).alias("from_cache"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error")
+    ).unionByName(infer(missing).select("cache_key", "content", F.lit(False).alias("from_cache"), "success", "error"))
     return keyed.drop("text").join(answers, "cache_key")
 
 

@@ -248,6 +248,7 @@ def error_messages(errors: DataFrame) -> DataFrame:
         F.when(validation, F.col("value")).alias("value"),
         F.when(conversion, F.col("source_format")).alias("source_format"),
         F.when(conversion, F.col("target_format")).alias("target_format"),
+        F.when(code == "FILE_PROCESSING_ERROR", F.col("file_type")).alias("file_type"),
     )
 
 

@@ -20,6 +20,13 @@ def _slice_names(slices: Sequence[Column]) -> list[str]:
     return [f"_s{i}" for i in range(len(slices))]
 
 
+def _same_keys(rows: DataFrame, other: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Inner join on equal names, where null equals null."""
+    renamed = other.withColumnsRenamed({n: f"_o{i}" for i, n in enumerate(names)})
+    same = [rows[n].eqNullSafe(renamed[f"_o{i}"]) for i, n in enumerate(names)]
+    return rows.join(renamed, same).drop(*(f"_o{i}" for i in range(len(names))))
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: Sequence[Column], out: str,
     ahead: tuple[str, str] | None = None,
@@ -44,7 +51,7 @@ def number_rows(
     if ahead:
         offsets = offsets.withColumn("_edge", F.lead("_first").over(per_key)).drop("_first")
     inner = W.partitionBy(*keys, *names).orderBy(*order)
-    placed = cut.join(offsets.drop("_n"), [*keys, *names])
+    placed = _same_keys(cut, offsets.drop("_n"), [*keys, *names])
     numbered = placed.withColumn(out, F.col("_before") + F.row_number().over(inner))
     if ahead:
         numbered = numbered.withColumn(ahead[1], F.coalesce(F.lead(ahead[0]).over(inner), F.col("_edge"))).drop("_edge")
@@ -63,41 +70,24 @@ def assemble_text(
 ) -> DataFrame:
     """Join the texts of a key in order, as ``keys, part, out``.
 
-    Slices are joined first, each in its own task, then packed in order into
-    parts of about ``part_chars`` characters. A key of ordinary size has the
-    single part 0; a larger one has more, and the parts joined by ``sep`` are its
-    whole text. No task holds more than one part.
+    The characters of each slice are summed first (numbers only), a running sum per key packs
+    slices in order into parts of about ``part_chars`` characters, and texts are gathered once,
+    by key and part. A key of ordinary size has the single part 0; the parts of a larger one,
+    joined by ``sep``, are its whole text. A task holds ``part_chars`` characters and one slice
+    at most, so slices must be small next to ``part_chars``.
     """
     keys = list(keys)
     names = _slice_names(slices)
-    pieces = (
-        df.withColumns(dict(zip(names, slices)))
-        .repartition(*keys, *names)  # gathering does not shrink the data: do it after the shuffle only
-        .groupBy(*keys, *names)
-        .agg(
-            F.array_join(
-                F.transform(
-                    F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_t")))),
-                    lambda r: r["_t"],
-                ),
-                sep,
-            ).alias("_piece")
-        )
-    )
-    before = F.sum(F.length("_piece")).over(
-        W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
-    )
+    cut = df.withColumns(dict(zip(names, slices)))
+    sizes = cut.groupBy(*keys, *names).agg(F.sum(F.coalesce(F.length(text), F.lit(0)) + len(sep)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1))
+    parts = sizes.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / part_chars).cast("int")).drop("_n")
+    placed = _same_keys(cut, parts, [*keys, *names])
+    rows = F.sort_array(F.collect_list(F.struct(*names, *order, F.col(text).alias("_t"))))
     return (
-        pieces.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / part_chars).cast("int"))
+        placed.repartition(*keys, "part")  # gathering does not shrink the data: do it after the shuffle only
         .groupBy(*keys, "part")
-        .agg(
-            F.array_join(
-                F.transform(
-                    F.sort_array(F.collect_list(F.struct(*names, "_piece"))), lambda r: r["_piece"]
-                ),
-                sep,
-            ).alias(out)
-        )
+        .agg(F.array_join(F.transform(rows, lambda r: r["_t"]), sep).alias(out))
     )
 
 

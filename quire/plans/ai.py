@@ -77,7 +77,7 @@ def extractive_summary(t):
 @query("ai_cache_join", check_sql(
     "v_ai_texts v_ai_cache",
     """SELECT k.doc_id, k.provider, k.key AS cache_key, coalesce(c.content, CASE WHEN NOT contains(prompt, '***') THEN concat(length(prompt), ' chars') END) AS content,
-    c.content IS NOT NULL AS from_cache FROM (SELECT doc_id, provider, md5(concat(text, ':', provider)) AS key FROM v_ai_texts) k JOIN s ON s.doc_id = k.doc_id
+    c.content IS NOT NULL AS from_cache, c.content IS NOT NULL OR NOT contains(prompt, '***') AS success, CASE WHEN c.content IS NULL AND contains(prompt, '***') THEN 'refused' END AS error FROM (SELECT doc_id, provider, md5(concat(text, ':', provider)) AS key FROM v_ai_texts) k JOIN s ON s.doc_id = k.doc_id
     LEFT JOIN (SELECT cache_key, min(content) AS content FROM v_ai_cache GROUP BY 1) c ON c.cache_key = k.key""", s=SUMMARY))
 def ai_cache_join(t):
     def infer(missing):

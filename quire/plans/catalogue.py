@@ -57,10 +57,10 @@ def file_enrich(t):
 @query("validate_uploads", check_sql(
     "v_uploads",
     """SELECT upload_id, reason, CASE WHEN reason IS NULL THEN 200 WHEN reason LIKE 'File too large%' THEN 413 ELSE 400 END AS http_status FROM (
-    SELECT upload_id, CASE WHEN filename = '' THEN 'No filename provided' WHEN base LIKE '.%' THEN 'Invalid filename'
+    SELECT upload_id, CASE WHEN coalesce(filename, '') = '' THEN 'No filename provided' WHEN base LIKE '.%' THEN 'Invalid filename'
     WHEN ext NOT IN ('epub','pdf','txt','mobi','azw3') THEN 'Unsupported file format'
-    WHEN lower(target_format) NOT IN ('epub','pdf','txt','mobi','azw3') THEN 'Unsupported target format'
-    WHEN size_bytes > 52428800 THEN 'File too large. Maximum size: 50MB' WHEN size_bytes = 0 THEN 'Empty file uploaded' END AS reason
+    WHEN target_format IS NULL OR lower(target_format) NOT IN ('epub','pdf','txt','mobi','azw3') THEN 'Unsupported target format'
+    WHEN size_bytes > 52428800 THEN 'File too large. Maximum size: 50MB' WHEN size_bytes = 0 OR size_bytes IS NULL THEN 'Empty file uploaded' END AS reason
     FROM (SELECT *, regexp_extract(filename, '([^/]*)$', 1) AS base, lower(regexp_extract(filename, '\\.([^.]+)$', 1)) AS ext FROM v_uploads))"""))
 def validate_uploads(t):
     return ops.validate_uploads(t.v_uploads).select("upload_id", "reason", "http_status")
@@ -77,8 +77,8 @@ def enforce_batch_limit(t):
 
 @query("validate_conversion", check_sql(
     "v_conversions",
-    """SELECT request_id, CASE WHEN source_format NOT IN ('.epub','.pdf','.txt','.mobi','.azw3') THEN concat('Unsupported source format: ', source_format)
-    WHEN target_format NOT IN ('epub','pdf','txt','mobi','azw3') THEN concat('Unsupported target format: ', target_format)
+    """SELECT request_id, CASE WHEN source_format IS NULL OR source_format NOT IN ('.epub','.pdf','.txt','.mobi','.azw3') THEN concat('Unsupported source format: ', source_format)
+    WHEN target_format IS NULL OR target_format NOT IN ('epub','pdf','txt','mobi','azw3') THEN concat('Unsupported target format: ', target_format)
     WHEN source_format = concat('.', target_format) THEN 'Source and target formats cannot be the same' END AS reason FROM v_conversions"""))
 def validate_conversion(t):
     return ops.validate_conversion(t.v_conversions).select("request_id", "reason")
@@ -126,13 +126,14 @@ _NAMED = """SELECT regexp_extract(name, '^([0-9a-f]{32})_', 1) AS task_id, name,
 
 @query("task_file_status", check_sql(
     "v_tasks v_task_files",
-    """SELECT request_id, task_id, status, CASE WHEN status = 'completed' THEN o ELSE 0 END AS n_outputs, CASE status WHEN 'invalid' THEN 'Invalid task ID format'
+    """SELECT request_id, task_id, status, CASE WHEN status = 'completed' THEN o ELSE 0 END AS n_outputs, CASE WHEN status = 'completed' THEN f ELSE '' END AS output_files, CASE status WHEN 'invalid' THEN 'Invalid task ID format'
     WHEN 'completed' THEN 'Conversion completed successfully' WHEN 'failed' THEN 'Conversion failed or file not found' ELSE 'Task not found' END AS message FROM (
-    SELECT request_id, t.task_id, o, CASE WHEN length(t.task_id) <> 32 THEN 'invalid' WHEN o > 0 THEN 'completed' WHEN i > 0 THEN 'failed' ELSE 'not_found' END AS status
-    FROM v_tasks t LEFT JOIN (SELECT task_id, count_if(cleaned LIKE 'output/%') AS o, count_if(cleaned LIKE 'input/%') AS i FROM n GROUP BY task_id) n ON n.task_id = t.task_id)""",
+    SELECT request_id, t.task_id, o, f, CASE WHEN length(t.task_id) <> 32 THEN 'invalid' WHEN o > 0 THEN 'completed' WHEN i > 0 THEN 'failed' ELSE 'not_found' END AS status
+    FROM v_tasks t LEFT JOIN (SELECT task_id, count_if(cleaned LIKE 'output/%') AS o, count_if(cleaned LIKE 'input/%') AS i, string_agg(name, ',' ORDER BY name) FILTER (cleaned LIKE 'output/%') AS f FROM n GROUP BY task_id) n ON n.task_id = t.task_id)""",
     n=_NAMED))
 def task_file_status(t):
-    return ops.task_file_status(t.v_tasks, t.v_task_files)
+    status = ops.task_file_status(t.v_tasks, t.v_task_files)
+    return status.withColumn("output_files", F.array_join("output_files", ","))
 
 
 @query("task_file_cleanup", check_sql("v_tasks v_task_files", "SELECT task_id, cleaned AS cleaned_file FROM n WHERE task_id IN (SELECT task_id FROM w)", n=_NAMED, w=_WANTED))

@@ -214,8 +214,10 @@ def parse_subscriptions(t):
     return metrics.parse_subscriptions(t.v_messages)
 
 
-_KNOWN = {**V.APPLICATION_ERRORS, **V.BUILTIN_ERRORS}
-CODES = f"""SELECT *, CASE {' '.join(f"WHEN exception_type = '{k}' THEN '{c}'" for k, (c, _) in _KNOWN.items())} WHEN contains(lower(message), 'timeout') THEN 'CONVERSION_TIMEOUT'
+CODES = """SELECT *, CASE WHEN exception_type IN ('ValidationError', 'ValueError') THEN 'VALIDATION_ERROR' WHEN exception_type IN ('ResourceNotFoundError', 'FileNotFoundError') THEN 'RESOURCE_NOT_FOUND'
+    WHEN exception_type IN ('SecurityError', 'PermissionError') THEN 'SECURITY_ERROR' WHEN exception_type = 'FileProcessingError' THEN 'FILE_PROCESSING_ERROR'
+    WHEN exception_type IN ('ConversionTimeoutError', 'TimeoutError') THEN 'CONVERSION_TIMEOUT' WHEN exception_type = 'BatchConversionError' THEN 'BATCH_CONVERSION_ERROR'
+    WHEN exception_type = 'ConversionError' THEN 'CONVERSION_ERROR' WHEN exception_type = 'AIServiceError' THEN 'AI_SERVICE_ERROR' WHEN exception_type = 'ConfigurationError' THEN 'CONFIGURATION_ERROR' WHEN contains(lower(message), 'timeout') THEN 'CONVERSION_TIMEOUT'
     WHEN contains(lower(operation), 'conversion') THEN 'CONVERSION_ERROR' WHEN contains(lower(operation), 'ai') THEN 'AI_SERVICE_ERROR' ELSE 'OPERATION_ERROR' END AS code FROM v_errors"""
 STATUSES = """SELECT *, CASE code WHEN 'VALIDATION_ERROR' THEN 422 WHEN 'RESOURCE_NOT_FOUND' THEN 404 WHEN 'SECURITY_ERROR' THEN 403 WHEN 'FILE_PROCESSING_ERROR' THEN 400
     WHEN 'CONVERSION_TIMEOUT' THEN 503 ELSE 500 END AS http_status FROM c"""
@@ -242,7 +244,7 @@ _TEMPLATES = ", ".join(f"('{c}', '{a}', '{b}', '{'|'.join(s)}')" for c, (a, b, s
     f"""SELECT error_id, st.code, coalesce(m.title, d.title) AS title, CASE WHEN st.code = 'CONVERSION_TIMEOUT' THEN concat('文件转换超时（', timeout_seconds, '秒），请尝试较小的文件或稍后重试。')
     WHEN st.code = 'AI_SERVICE_ERROR' AND provider IS NOT NULL THEN concat(provider, ' AI服务暂时不可用，请稍后再试。') ELSE coalesce(m.message, d.message) END AS user_message,
     coalesce(m.tips, d.tips) AS suggestions, CASE WHEN st.code = 'VALIDATION_ERROR' THEN field END AS field, CASE WHEN st.code = 'VALIDATION_ERROR' THEN value END AS value,
-    CASE WHEN st.code = 'CONVERSION_ERROR' THEN source_format END AS source_format, CASE WHEN st.code = 'CONVERSION_ERROR' THEN target_format END AS target_format
+    CASE WHEN st.code = 'CONVERSION_ERROR' THEN source_format END AS source_format, CASE WHEN st.code = 'CONVERSION_ERROR' THEN target_format END AS target_format, CASE WHEN st.code = 'FILE_PROCESSING_ERROR' THEN file_type END AS file_type
     FROM st LEFT JOIN m ON m.code = st.code JOIN m d ON d.code = 'INTERNAL_ERROR'""",
     c=CODES, st=STATUSES, m=f"SELECT * FROM (VALUES {_TEMPLATES}) x(code, title, message, tips)"))
 def error_messages(t):

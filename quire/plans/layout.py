@@ -38,7 +38,7 @@ STATS = {
 
 
 def recursive(views, final, **steps):
-    return check_sql(views, final, **steps).replace("WITH ", "WITH RECURSIVE ", 1)
+    return check_sql(views, final, **steps)
 
 
 @query("detect_columns", check_sql("v_words", "SELECT page_id, column_number, x_start, x_end, round(x_end - x_start, 6) AS width FROM cols", **column_steps("v_words")))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import quality as ops, structure, text as textops
 from quire.plans.registry import query
-from quire.plans.structure import CONFIDENCE, DETECTORS, MERGED, _candidates
+from quire.plans.structure import CHAPTER_STEPS, CONFIDENCE, DETECTORS, MERGED, _candidates
 from quire.sources.views import check_sql
 
 SCAN = """SELECT m.doc_id, CASE WHEN page_count = 0 THEN 1.0 WHEN c / page_count < 50 THEN 0.9 WHEN c / page_count < 100 THEN 0.6 WHEN c / page_count < 200 THEN 0.3 ELSE 0.1 END::DOUBLE AS scan_probability
@@ -105,7 +105,9 @@ def quality_score(t):
     return ops.quality_score(t.v_meta, ops.scan_probability(t.v_blocks, t.v_meta), confidence, t.v_images)
 
 
-@query("document_quality")
+@query("document_quality", check_sql(
+    "v_blocks v_outline v_responses v_meta v_images", f"SELECT s.*, cf.n_chapters, cf.total_confidence FROM ({SCORE}) s JOIN cf ON cf.doc_id = s.doc_id",
+    **CHAPTER_STEPS, cf=CONFIDENCE.replace("FROM mc)", "FROM kt)"), sc=SCAN))
 def document_quality(t):
     """Flagship: blocks and outline -> detectors -> greedy merge -> confidence -> score."""
     chapters = structure.dedupe_titles(structure.chapter_conflicts(_candidates(t)))

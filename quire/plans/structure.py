@@ -145,15 +145,15 @@ def detect_chapters(t):
 
 
 @query("title_similarity_join", check_sql(
-    "v_blocks",
+    VIEWS,
     """SELECT a_id, b_id, round(c / (a.k + b.k - c), 6) AS similarity, a.n AS n_a, b.n AS n_b FROM (
     SELECT x.id AS a_id, y.id AS b_id, count(*) AS c FROM tok x JOIN tok y ON x.w = y.w AND x.id < y.id GROUP BY 1, 2) p
-    JOIN s a ON a.id = a_id JOIN s b ON b.id = b_id WHERE c / (a.k + b.k - c) >= 0.5""",
-    s=f"SELECT array_to_string(w, ' ') AS id, w, len(w) AS k, sum(n)::BIGINT AS n FROM (SELECT {S.title_words('text')} AS w, count(*) AS n FROM v_blocks GROUP BY 1) GROUP BY 1, 2, 3",
+    JOIN s a ON a.id = a_id JOIN s b ON b.id = b_id WHERE c / (a.k + b.k - c) >= 0.5""", **DETECTORS, mc=MERGED,
+    s=f"SELECT array_to_string(w, ' ') AS id, w, len(w) AS k, sum(n)::BIGINT AS n FROM (SELECT {S.title_words('title')} AS w, count(*) AS n FROM mc GROUP BY 1) GROUP BY 1, 2, 3",
     tok="SELECT id, unnest(w) AS w FROM s"))
 def title_similarity_join(t):
-    lines = t.v_blocks.select(F.col("text").alias("title"))
-    return ops.title_similarity_join(lines, 0.5).withColumn("similarity", F.round("similarity", 6))
+    """Titles of all detected candidates."""
+    return ops.title_similarity_join(_candidates(t).select("title"), 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
 # boundaries for the range jobs: outline entries and font headings

@@ -46,15 +46,15 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     ]),
     "v_uploads": ("documents", [
         "doc_id AS upload_id",
-        f"CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 13 = 0 THEN concat('.hidden', doc_id, '.pdf')"
+        f"CASE WHEN doc_id % 23 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 13 = 0 THEN concat('.hidden', doc_id, '.pdf')"
         f" WHEN doc_id % 11 = 0 THEN concat('dir/book_', doc_id, '.PDF') ELSE {NAME} END AS filename",
-        "CASE doc_id % 9 WHEN 0 THEN 'docx' WHEN 1 THEN 'EPUB' ELSE 'pdf' END AS target_format",
-        "CASE WHEN doc_id % 19 = 0 THEN 0 ELSE n_chars * 9973 END AS size_bytes",
+        "CASE doc_id % 9 WHEN 0 THEN 'docx' WHEN 1 THEN 'EPUB' WHEN 2 THEN NULL ELSE 'pdf' END AS target_format",
+        "CASE WHEN doc_id % 19 = 0 THEN 0 WHEN doc_id % 7 <> 3 THEN n_chars * 9973 END AS size_bytes",
         "CAST(floor(doc_id * doc_id / 100000) AS BIGINT) AS batch_id",
     ]),
     "v_conversions": ("documents", [
-        "doc_id AS request_id", f"concat('.', {FORMAT_CASE}) AS source_format",
-        f"{EXT6} AS target_format",
+        "doc_id AS request_id", f"CASE WHEN doc_id % 29 <> 0 THEN concat('.', {FORMAT_CASE}) END AS source_format",
+        f"CASE WHEN doc_id % 31 <> 0 THEN {EXT6} END AS target_format",
     ]),
     # input and output files named after their task
     "v_task_files": ("documents", [
@@ -168,13 +168,14 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE event_id % 13 WHEN 0 THEN 'ValidationError' WHEN 1 THEN 'ResourceNotFoundError' WHEN 2 THEN"
         " 'SecurityError' WHEN 3 THEN 'FileProcessingError' WHEN 4 THEN 'ConversionTimeoutError' WHEN 5 THEN"
         " 'ConversionError' WHEN 6 THEN 'AIServiceError' WHEN 7 THEN 'ConfigurationError' WHEN 8 THEN"
-        " 'FileNotFoundError' WHEN 9 THEN 'PermissionError' WHEN 10 THEN 'ValueError' ELSE 'RuntimeError' END"
+        " 'FileNotFoundError' WHEN 9 THEN 'PermissionError' WHEN 10 THEN 'ValueError' WHEN 11 THEN"
+        " CASE WHEN event_id % 2 = 0 THEN 'BatchConversionError' ELSE 'TimeoutError' END ELSE 'RuntimeError' END"
         " AS exception_type",
         "CASE WHEN event_id % 7 = 0 THEN 'Read Timeout' ELSE 'boom' END AS message",
         "CASE event_id % 5 WHEN 0 THEN 'Conversion of book' WHEN 1 THEN 'AI summary' ELSE 'listing' END AS operation",
         "CASE WHEN event_id % 2 = 0 THEN concat('prov', event_id % 3) END AS provider",
         "concat('field_', event_id % 4) AS field", "event_type AS value",
-        "concat('.', event_type) AS source_format", "'pdf' AS target_format", "300 AS timeout_seconds",
+        "concat('.', event_type) AS source_format", "'pdf' AS target_format", "300 AS timeout_seconds", "concat('type', event_id % 3) AS file_type",
     ]),
     "v_ops": ("events", [
         "event_id AS op_id",
@@ -189,7 +190,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "l_returnflag <> 'N' AS done",
     ]),
     "v_images": ("part", [
-        "p_partkey AS image_id", "p_partkey % 200 AS doc_id", "CAST(p_partkey % 7 AS INT) AS page_num",
+        "p_partkey AS image_id", "CAST(floor(p_partkey / 2) AS BIGINT) AS doc_id", "CAST(p_partkey % 7 AS INT) AS page_num",
         "CAST(p_size * 30 AS INT) AS width", "CAST(p_size * 20 AS INT) AS height",
         "CASE WHEN p_size > 25 THEN 'jpeg' ELSE 'png' END AS final_format",
         "CASE p_partkey % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'standard' ELSE 'high' END AS quality_level",
@@ -203,7 +204,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     ]),
     "v_image_paths": ("part", [
         "p_partkey + CASE WHEN p_partkey % 10 = 0 THEN 90000000 ELSE 0 END AS image_id",
-        "concat('/out/', p_partkey % 200, '/', p_partkey, '.', CASE WHEN p_size > 25 THEN 'jpeg' ELSE 'png' END) AS path",
+        "concat('/out/', CAST(floor(p_partkey / 2) AS BIGINT), '/', p_partkey, '.', CASE WHEN p_size > 25 THEN 'jpeg' ELSE 'png' END) AS path",
     ]),
     "v_ocr_words": ("lineitem", [
         "l_orderkey AS page_id", "l_partkey AS word_id",
@@ -213,11 +214,11 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "v_outline": ("conversations", [
         "conv_id AS doc_id", "turn AS ord", "turn * 3 + 1 AS page", "CAST(1 + turn % 4 AS INT) AS level",
         "CASE WHEN turn % 5 = 3 THEN CAST(turn AS VARCHAR(20)) WHEN turn % 5 = 0 THEN concat('Chapter ', turn + 1)"
-        " ELSE substring(text, 1, 30) END AS title",
+        " ELSE text END AS title",
     ]),
     "v_responses": ("conversations", [
         "conv_id AS doc_id", "turn AS ord",
-        "concat('Page ', turn % 5 + 1, ': ', CASE WHEN turn % 3 = 0 THEN 'Chapter' ELSE substring(text, 1, 12) END,"
+        "concat('Page ', turn % 5 + 1, ': ', CASE WHEN turn % 3 = 0 THEN 'Chapter' ELSE text END,"
         " chr(10), '  page', turn % 40 + 2, ':x', chr(10), chr(10), 'noise') AS response",
     ]),
     "v_history": ("orders", [
@@ -256,7 +257,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "v_toc": ("conversations", [
         "conv_id AS doc_id", "turn AS ord",
         "CASE WHEN turn % 4 = 3 THEN 'note' ELSE 'chapter' END AS type",
-        "CASE WHEN turn % 3 = 0 THEN 'Chapter 1' ELSE substring(text, 1, 30) END AS title",
+        "CASE WHEN turn % 3 = 0 THEN 'Chapter 1' ELSE text END AS title",
     ]),
     "v_page_texts": ("conversations", [
         "conv_id AS doc_id", "turn AS page_num",
@@ -278,7 +279,7 @@ BLOCKS_DUCK = (
     " CAST(10 + (length(line) * 7 + block_id) % 13 AS DOUBLE) AS font_size,"
     " (length(line) + block_id) % 2 = 0 AS is_bold,"
     " CASE WHEN block_id % 5 = 0 AND doc_id % 2 = 0 THEN concat('Chapter ', CAST(floor(block_id / 10) AS INT) + 1)"
-    " ELSE regexp_replace(substring(line, 1, 60), '[.!?,;]+$', '') END AS text"
+    " ELSE line END AS text"
     " FROM (SELECT doc_id, CAST(i - 1 AS BIGINT) AS block_id, ls[i] AS line FROM"
     " (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) d, unnest(range(1, len(ls) + 1)) AS u(i)) t"
 )
@@ -327,7 +328,7 @@ class Tables:
                 (b % 5 == 0) & (F.col("doc_id") % 2 == 0),
                 F.concat(F.lit("Chapter "), F.floor(b / 10).cast("int") + 1),
             )
-            .otherwise(F.regexp_replace(F.substring("line", 1, 60), r"[.!?,;]+$", ""))
+            .otherwise(F.col("line"))
             .alias("text"),
         )
 

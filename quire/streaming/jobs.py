@@ -7,7 +7,6 @@ time take a watermark, so their state ends; the others hold one row per live key
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -40,19 +39,6 @@ def with_event_time(df: DataFrame, ts: str = "ts", lateness: str = LATENESS) ->
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
 
 
-@contextmanager
-def state_partitions(spark: SparkSession):
-    """Bound the state stores of a query by twice the task slots while it starts. A large
-    cluster keeps its own setting; a small one does not open hundreds of idle stores."""
-    key = "spark.sql.shuffle.partitions"
-    configured = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(configured), 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, configured)
-
-
 def drain(stream: DataFrame, label: str, mode: str, transform=None) -> DataFrame:
     """Run a stream over all it has now into a table in the shared folder and read it.
 
@@ -68,14 +54,14 @@ def drain(stream: DataFrame, label: str, mode: str, transform=None) -> DataFrame
         out = transform(batch) if transform else batch
         out.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    with state_partitions(spark):
-        query = (
-            stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-            .foreachBatch(write).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    if not written and transform is None:  # nothing has arrived yet
-        return spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0))
+    query = (
+        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+        .foreachBatch(write).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    if not written:  # nothing has arrived yet
+        empty = spark.createDataFrame([], stream.schema)
+        return (transform(empty) if transform else empty).limit(0).withColumn("batch", F.lit(0))
     return spark.read.parquet(table)
 
 

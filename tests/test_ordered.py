@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quire.operators.ordered import first_row, number_rows, top_rows
+from quire.operators.ordered import assemble_text, first_row, number_rows, top_rows
 
 
 def rows(n=3000):
@@ -47,3 +47,30 @@ def test_first_and_top(spark):
 def test_top_rows_prune_before_the_shuffle(spark):
     plan = top_rows(frame(spark, rows(50)), ["k"], [F.col("v"), F.col("id")], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and plan.count("WindowGroupLimit") >= 2
+
+
+def test_numbers_of_rows_with_null_keys(spark):
+    data = [(None, 1, 0), (None, None, 1), (1, None, 2), (1, 4, 3), (1, 90, 4)]
+    got = number_rows(frame(spark, data), ["k"], [F.col("v")], [F.floor(F.col("v") / 16)], "n", ahead=("v", "nxt")).collect()
+    assert sorted((r.id, r.n, r.nxt) for r in got) == [(0, 2, None), (1, 1, 1), (2, 1, 4), (3, 2, 90), (4, 3, None)]
+
+
+def test_parts_of_a_large_key_join_to_its_text(spark):
+    data = rows()
+    texts = frame(spark, data).withColumn("t", F.concat(F.lit("t"), "id"))
+    got = {}
+    slices = [F.floor(F.col("v") / 16)]
+    for r in assemble_text(texts, ["k"], ["v", "id"], "t", slices, part_chars=500).collect():
+        got.setdefault(r.k, []).append((r.part, r.text))
+        assert len(r.text) < 1500
+    assert {k: " ".join(t for _, t in sorted(v)) for k, v in got.items()} == {
+        k: " ".join(f"t{i}" for _, i in x) for k, x in by_key(data).items()
+    }
+    assert len(got[0]) > 10
+
+
+def test_no_key_wide_exchange_or_window_holds_text(spark):
+    texts = frame(spark, rows(50)).withColumn("t", F.concat(F.lit("t"), "id"))
+    plan = assemble_text(texts, ["k"], ["v", "id"], "t", [F.floor(F.col("v") / 16)])._jdf.queryExecution().optimizedPlan()
+    lines = [x for x in plan.toString().splitlines() if "Window" in x]
+    assert lines and all(" t#" not in x and "_t" not in x for x in lines)

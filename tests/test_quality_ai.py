@@ -96,7 +96,7 @@ def test_missing_cache_keys_are_inferred_once(spark):
 
     def infer(missing):
         asked.append(missing.count())
-        return missing.withColumn("content", F.upper("text"))
+        return missing.select("*", F.upper("text").alias("content"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
 
     got = {r.doc_id: (r.content, r.from_cache) for r in ai.ai_cache_join(texts, cache, infer).collect()}
     assert asked == [10] and len(got) == 60

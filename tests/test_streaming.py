@@ -114,10 +114,11 @@ def test_a_stream_without_files_is_empty(spark, tmp_path):
     assert table.columns == ["task_id", "seq", "batch"] and table.count() == 0
 
 
-def test_partition_setting_is_restored(spark):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1000")
-    with ops.state_partitions(spark):
-        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 2 * spark.sparkContext.defaultParallelism
-    assert spark.conf.get("spark.sql.shuffle.partitions") == "1000"
-    spark.conf.set("spark.sql.shuffle.partitions", before)
+def test_jobs_on_empty_streams(spark, tmp_path):
+    schema = spark.createDataFrame([], EVENT).schema
+    events = ops.read_stream(spark, str(tmp_path / "none"), schema)
+    subscriptions = spark.createDataFrame([(1, 1)], "connection_id long, task_id long")
+    assert ops.publish_latest(events, subscriptions).count() == 0
+    ticks = ops.read_stream(spark, str(tmp_path / "nothing"), spark.createDataFrame([], "now_s long").schema)
+    files = spark.createDataFrame([], "file_id long, area string, name string, modified_s double, size_bytes long, access_error string, rel_path string")
+    assert ops.retention_sweep(ticks, files).count() == 0
