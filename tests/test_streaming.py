@@ -116,6 +116,8 @@ def test_a_stream_without_files_is_empty(spark, tmp_path):
 
 def test_jobs_on_empty_streams(spark, tmp_path):
     schema = spark.createDataFrame([], EVENT).schema
+    for name in ("none", "nothing"):
+        (tmp_path / name).mkdir()
     events = ops.read_stream(spark, str(tmp_path / "none"), schema)
     subscriptions = spark.createDataFrame([(1, 1)], "connection_id long, task_id long")
     assert ops.publish_latest(events, subscriptions).count() == 0
