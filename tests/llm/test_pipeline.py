@@ -58,7 +58,7 @@ def planted(spark, table, tmp_path_factory):
     item = make_text(rng, 40, 4000)
     rows.append((500, make_text(rng, 50, 4000) + " " + item + " " + make_text(rng, 50, 4000), "en", "src0", 0))
     rows.append((501, rows[1][1], "en", "src0", 0))
-    near = rows[2][1].split()
+    near = max((r[1] for r in rows[:150] if r[0] % 5), key=len).split()
     near[5] = "changed"
     rows.append((502, " ".join(near) + " and a tail", "en", "src0", 0))
     rows.append((503, make_text(rng, 90, 4000) + " " + rows[3][1], "en", "src0", 0))
