@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -53,12 +54,15 @@ def ai_map(
     parallelism: int | None = None,
     retries: int = 3,
     backoff: float = 2.0,
+    at_once: int = 3,
+    limit_s: float = 60.0,
 ) -> DataFrame:
     """Call ``model(prompt, max_tokens)`` for every row; a failing row carries its error.
 
     ``model`` returns a dict with content and optionally model and token_usage. One callable
-    lives per partition; ``parallelism`` bounds the calls in flight. Rows with an ``error``
-    or without a prompt are not sent.
+    lives per partition and must allow calls from ``at_once`` threads; a row that has no answer
+    after ``limit_s`` seconds, retries included, carries an error. ``parallelism`` bounds the
+    partitions. Rows with an ``error`` or without a prompt are not sent.
     """
     keep = [c for c in requests.columns if c not in ("prompt", "max_tokens", "error", "provider")]
     full = requests
@@ -90,11 +94,27 @@ def ai_map(
             return (False, None, provider, None, None, None, str(e))
         return (True, answer["content"], provider, answer.get("model"), time.time() - start, answer.get("token_usage"), None)
 
+    def group(rows: list[tuple]) -> list[tuple]:
+        answers: list[tuple | None] = [None] * len(rows)
+
+        def work(k: int) -> None:
+            answers[k] = one(*rows[k])
+
+        threads = [threading.Thread(target=work, args=(k,), daemon=True) for k in range(len(rows))]
+        for t in threads:
+            t.start()
+        end = time.monotonic() + limit_s
+        for t in threads:
+            t.join(max(0.0, end - time.monotonic()))
+        late = f"no answer within {limit_s:g} s"
+        return [a or (False, None, r[2], None, None, None, late) for a, r in zip(list(answers), rows, strict=True)]
+
     names = ["success", "content", "provider", "model", "processing_time", "token_usage", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [one(*r) for r in zip(batch["prompt"], batch["max_tokens"], batch["provider"], batch["error"])]
+            asked = list(zip(batch["prompt"], batch["max_tokens"], batch["provider"], batch["error"], strict=True))
+            rows = [a for k in range(0, len(asked), at_once) for a in group(asked[k : k + at_once])]
             out = pd.DataFrame(rows, columns=names, index=batch.index)
             yield pd.concat([batch[keep], out], axis=1)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import values as V
+from quire.operators.ordered import number_rows
 
 
 def latest_progress(events: DataFrame) -> DataFrame:
@@ -131,16 +132,15 @@ def batch_status_v2(jobs: DataFrame) -> DataFrame:
 
 
 def batch_nested(tasks: DataFrame, max_tasks: int = V.MAX_BATCH_FILES) -> DataFrame:
-    """Batches with their tasks as a nested array, sorted by task id.
+    """Batches with their tasks as nested arrays, in order of task id: parts of ``max_tasks`` tasks each, part 0 first.
 
-    A batch within the size limit is one row (part 0). An oversized one is spread by
-    task hash over as many parts as it needs, so no row or task holds it whole.
+    The last part of a batch may be shorter; a batch within the size limit has one part, and no row holds more.
     """
-    sizes = tasks.groupBy("batch_id").agg(F.ceil(F.count(F.lit(1)) / max_tasks).alias("_parts"))
+    rows = tasks.select("batch_id", "task_id", "status")
+    order = [F.col("task_id"), F.col("status")]
+    numbered = number_rows(rows, ["batch_id"], order, [F.substring("task_id", 1, 8)], "_no")
     return (
-        tasks.select("batch_id", "task_id", "status")
-        .join(sizes, "batch_id")
-        .withColumn("part", F.pmod(F.xxhash64("task_id"), F.col("_parts")).cast("int"))
+        numbered.withColumn("part", F.floor((F.col("_no") - 1) / max_tasks).cast("int"))
         .groupBy("batch_id", "part")
         .agg(F.sort_array(F.collect_list(F.struct("task_id", "status"))).alias("tasks"))
     )

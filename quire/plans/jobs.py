@@ -95,9 +95,10 @@ def batch_status_v2(t):
 
 @query("batch_nested", check_sql(
     "v_batch_tasks",
-    "SELECT batch_id, 0 AS part, count(*) AS n_tasks, string_agg(concat(task_id, '=', status), ',' ORDER BY task_id) AS tasks FROM v_batch_tasks GROUP BY batch_id"))
+    """SELECT batch_id, part, count(*) AS n_tasks, string_agg(concat(task_id, '=', status), ',' ORDER BY task_id, status) AS tasks FROM (SELECT *,
+    CAST((row_number() OVER (PARTITION BY batch_id ORDER BY task_id, status) - 1) // 4 AS INT) AS part FROM v_batch_tasks) GROUP BY batch_id, part"""))
 def batch_nested(t):
-    return ops.batch_nested(t.v_batch_tasks).select(
+    return ops.batch_nested(t.v_batch_tasks, max_tasks=4).select(
         "batch_id", "part", F.size("tasks").alias("n_tasks"),
         F.array_join(F.transform("tasks", lambda x: F.concat(x["task_id"], F.lit("="), x["status"])), ",").alias("tasks"),
     )

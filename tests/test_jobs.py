@@ -75,7 +75,8 @@ def test_oversized_batch_is_nested_in_parts(spark):
                                "batch_id int, task_id string, status string")
     nested = ops.batch_nested(df, 50)
     parts = nested.filter("batch_id = 1").collect()
-    assert len(parts) == 5 and sorted(t.task_id for r in parts for t in r.tasks) == [f"t{i:03d}" for i in range(230)]
+    assert len(parts) == 5 and [t.task_id for r in sorted(parts, key=lambda r: r.part) for t in r.tasks] == [f"t{i:03d}" for i in range(230)]
+    assert max(len(r.tasks) for r in parts) == 50
     assert nested.filter("batch_id = 2").first().part == 0
     assert ops.task_failures(nested).count() == 116
 

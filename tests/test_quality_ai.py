@@ -120,3 +120,18 @@ def test_text_choice_keeps_all_parts(spark):
     need = spark.createDataFrame([(1, True), (2, True), (3, True), (4, False)], "doc_id int, ocr_needed boolean")
     got = sorted((r.doc_id, r.source, r.part, r.text) for r in ops.text_vs_ocr(extracted, ocr, need).collect())
     assert got == [(1, "ocr", 0, "ab"), (1, "ocr", 1, "c"), (2, "extracted", 0, "longer text"), (3, "ocr", 0, "only"), (4, "extracted", 0, "x")]
+
+
+def test_calls_run_side_by_side_and_end_in_time(spark):
+    import time
+
+    def model(prompt, max_tokens):
+        time.sleep(30 if prompt == "slow" else 0.2)
+        return {"content": prompt.upper()}
+
+    rows = spark.createDataFrame([(i, "slow" if i == 4 else f"p{i}", 5) for i in range(9)], "id int, prompt string, max_tokens int")
+    start = time.time()
+    got = {r.id: (r.success, r.content, r.error) for r in ai.ai_map(rows.coalesce(1), model, limit_s=2.0).collect()}
+    assert time.time() - start < 20
+    assert got.pop(4) == (False, None, "no answer within 2 s")
+    assert got == {i: (True, f"P{i}", None) for i in range(9) if i != 4}
