@@ -227,11 +227,11 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & usable)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = known.count()
     if n > most:
         chosen = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * most / n)
-        known, docs = known.filter(chosen), docs.filter(chosen)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        known, texts = known.filter(chosen), texts.filter(chosen)
     found = texts.filter("text IS NOT NULL").join(known, "doc_id")
     return found.groupBy("text").agg(F.max("label").alias("label"))
 
