@@ -31,7 +31,7 @@ from quire.llm.words import SLAB, gram_hashes, gram_starts, slabs, word_hashes,
 
 WINDOW = 20
 BLOCK = 10
-CHUNK = 2 * SLAB
+CHUNK = SLAB
 _LEAST = -(1 << 63)
 
 _LOW = np.uint64(0xFFFFFFFF)

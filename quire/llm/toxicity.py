@@ -322,7 +322,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            scores = [score_slab(slab, own) for slab in slabs(batch.column("text"), 2 * SLAB)]
+            scores = [score_slab(slab, own) for slab in slabs(batch.column("text"), SLAB)]
             column = pa.array(np.concatenate(scores) if scores else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
