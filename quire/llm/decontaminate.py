@@ -1,15 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Method. Words are hashed to FEATURES columns and weighted by their inverse document frequency over all documents
-(words in more than COMMON of the documents weigh nothing). The benchmark's passages form a TF-IDF matrix whose
-leading RANK directions come from a distributed randomised SVD: random projection, power iterations and a final
-small eigenproblem, with the products summed by Spark. Every document is read as overlapping passages; each is
-folded into the latent space and its cosine with every benchmark passage is computed in blocks. Candidates are
-checked on their words: the longest common subsequence of content words, and, for paraphrases that share less, the
-item's closing words as its answer.
-
-The benchmark is taken in blocks of ITEMS passages, so what is broadcast is bounded: at most ITEMS passages of
-PASSAGE words with their vectors, and one weight for each of the FEATURES columns. Documents are never shuffled.
+(words in more than COMMON of the documents weigh nothing). The benchmark's passages, in blocks of about ITEMS, form
+TF-IDF matrices whose right singular directions come from a distributed randomised SVD: random projection, power
+iterations and a final small eigenproblem, with the products summed by Spark. A block keeps as many directions as it
+has passages, so its passages lie wholly in the latent space and products there are those of the full vectors. Every
+document is read as overlapping windows of WINDOW segments; each is folded into the latent space and its product with
+every benchmark passage is computed in blocks. Candidates are checked on their words: the longest common subsequence
+of content words, and, for paraphrases that share less, the item's closing words as its answer.
+
+The gate follows from that check. Whatever else stands in a window, its product with a passage is at least the sum
+of the squared weights of the words they share, and the check needs a share of the item's content words; so a passage
+becomes a candidate from the least sum that such a share of its words can have (`least_product`). A stretch of
+(WINDOW - 1) * SEGMENT words lies in one window whole, so no copy or paraphrase as long as that is lost before the check.
+
+Documents are read once for GROUP blocks, so what is broadcast is bounded: GROUP * ITEMS passages of PASSAGE words
+with their vectors, and one weight for each of the FEATURES columns (an item's passages stay in one block, so a block
+holds at least its longest item). Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -29,10 +36,12 @@ from quire.llm.words import SLAB, Slab, slabs, span_hashes, words
 FEATURES = 1 << 18
 SLICE = 1 << 10
 COMMON = 0.05
-PASSAGE, STRIDE = 48, 16
-RANK = 128
+#: A passage has at most PASSAGE words; a window has WINDOW segments and begins at every segment.
+PASSAGE = 48
+SEGMENT, WINDOW = 32, 3
+#: Latent cosines of finds lie above this; it decides nothing.
 COSINE = 0.3
-ITEMS = 4096
+ITEMS, GROUP = 256, 16
 #: Shares of an item's content words that must stand in the document in order: alone, and with the answer there too.
 COPIED, PARAPHRASED, ANSWERED = 0.6, 0.35, 0.75
 FEW_WORDS, FEW_SHARE = 6, 0.8
@@ -79,15 +88,23 @@ def document_weights(docs: DataFrame, common: float = COMMON) -> np.ndarray:
     return np.where(df > common * n, 0, idf).clip(0).astype(np.float32)
 
 
-def _passages(column: pa.Array, length: int, stride: int) -> Iterator[tuple]:
-    for slab in slabs(column):
-        hashes, doc, at = _features(slab)
-        n = np.diff(at)
-        count = np.where(n > 0, np.maximum(0, -(-(n - length) // stride)) + 1, 0)
-        which = np.repeat(np.arange(len(n)), count)
-        k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        low = at[which] + k * stride
-        yield slab, hashes, at, which, low, np.minimum(low + length, at[which + 1])
+def _parts(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, low, high) of parts of even size and at most `length` words that make up each text."""
+    n = np.diff(at)
+    count = -(-n // length)
+    which = np.repeat(np.arange(len(n)), count)
+    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return which, at[which] + k * n[which] // count[which], at[which] + (k + 1) * n[which] // count[which]
+
+
+def _segments(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, low, last) of each text's segments of SEGMENT words; last is the last segment of the window begun there."""
+    n = np.diff(at)
+    count = -(-n // SEGMENT)
+    which = np.repeat(np.arange(len(n)), count)
+    ends = np.cumsum(count)
+    k = np.arange(count.sum())
+    return which, at[which] + (k - (ends - count)[which]) * SEGMENT, np.minimum(k + WINDOW, ends[which]) - 1
 
 
 def common_length(item: np.ndarray, text: np.ndarray) -> int:
@@ -126,42 +143,71 @@ _OUT = pa.schema([
 ])
 
 
-def _search(shared, cosine: float):
+def least_product(weight: np.ndarray) -> float:
+    """The least product with its passage that a text can have which judge() takes; weight: of the passage's words.
+
+    A text that holds an item shares PARAPHRASED of its content words or, if these are few, FEW_SHARE of all its
+    words; so it does with one of the item's passages at least.
+    """
+    squares = np.sort(weight[weight > 0].astype(np.float64) ** 2)
+    needed = -(-len(squares) * PARAPHRASED // 1) if len(squares) else 0
+    return float(squares[: int(needed)].sum())
+
+
+def _near(hashes: np.ndarray, weight: np.ndarray, low: np.ndarray, last: np.ndarray, model) -> Iterator[tuple]:
+    """(segments, passages, cosines): the windows, by their first segment, that reach a passage's least product."""
+    keys, vectors, latent, least, _ = model
+    column = _column(hashes)
+    place = np.searchsorted(keys, column).clip(0, len(keys) - 1)
+    known = np.flatnonzero((keys[place] == column) & (weight > 0))
+    segment = np.searchsorted(low, known, "right") - 1
+    norms = np.linalg.norm(latent, axis=1).clip(1e-9)
+    for first in range(0, len(low), 2048):
+        end = min(first + 2048, len(low))
+        stop = int(last[first:end].max()) + 1
+        a, b = np.searchsorted(segment, [first, stop])
+        if a == b:
+            continue
+        own = known[a:b]
+        full, starts = np.unique(segment[a:b], return_index=True)
+        folded = np.zeros((stop - first, vectors.shape[1]), np.float32)
+        folded[full - first] = np.add.reduceat(vectors[place[own]] * weight[own, None], starts, axis=0)
+        window = folded[: end - first].copy()
+        for k in range(1, WINDOW):
+            more = np.flatnonzero(np.arange(first, end) + k <= last[first:end])
+            window[more] += folded[more + k]
+        busy = np.flatnonzero(window.any(axis=1))
+        product = window[busy] @ latent.T
+        p, k = np.nonzero(product >= least)
+        size = np.linalg.norm(window[busy[p]], axis=1).clip(1e-9)
+        yield first + busy[p], k, product[p, k] / size / norms[k]
+
+
+def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, keys, vectors, latent, item_of, items = shared.value
-        row_of = np.full(FEATURES, -1, np.int32)
-        row_of[keys] = np.arange(len(keys))
+        weights, models, items = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for slab, hashes, at, which, low, high in _passages(batch.column(1), PASSAGE, STRIDE):
-                column = _column(hashes)
-                weight = weights[column]
-                norms = np.concatenate([[0], np.cumsum(weight.astype(np.float64) ** 2)])
-                known = np.flatnonzero((row_of[column] >= 0) & (weight > 0))
-                a, b = np.searchsorted(known, low), np.searchsorted(known, high)
-                busy = np.flatnonzero(b > a)
+            for slab in slabs(batch.column(1)):
+                hashes, _, at = _features(slab)
+                weight = weights[_column(hashes)]
+                which, low, last = _segments(at)
+                high = np.minimum(low + SEGMENT, at[which + 1])
                 hits: dict[tuple[int, int], list] = {}
-                for first in range(0, len(busy), 4096):
-                    some = busy[first : first + 4096]
-                    base = a[some[0]]
-                    run_of = known[base : b[some].max()]
-                    sums = np.zeros((len(run_of) + 1, vectors.shape[1]), np.float32)
-                    np.cumsum(vectors[row_of[column[run_of]]] * weight[run_of, None], axis=0, out=sums[1:])
-                    folded = sums[b[some] - base] - sums[a[some] - base]
-                    norm = np.sqrt(norms[high[some]] - norms[low[some]]).clip(1e-9)
-                    close = (folded @ latent.T) / norm[:, None].astype(np.float32)
-                    for p, k in np.argwhere(close >= cosine):
-                        q = some[p]
-                        key = (int(which[q]), int(item_of[k]))
-                        hits.setdefault(key, []).append((int(low[q]), int(high[q]), float(close[p, k])))
+                for model in models:
+                    for segments, passages, cosines in _near(hashes, weight, low, last, model):
+                        for q, k, c in zip(segments.tolist(), passages.tolist(), cosines.tolist(), strict=True):
+                            key = (int(which[q]), int(model[4][k]))
+                            hits.setdefault(key, []).append((int(low[q]), int(high[last[q]]), c))
                 rows = []
                 for (d, k), places in hits.items():
                     words_of = items[k][0]
-                    reach = len(words_of) + STRIDE
+                    words_weight = weights[_column(words_of)]
+                    reach = len(words_of) + SEGMENT
                     best = None
                     for s, e, c in places:
                         s2, e2 = max(at[d], s - reach), min(at[d + 1], e + reach)
-                        n, m, good = judge(words_of, weights[_column(words_of)], hashes[s2:e2], weight[s2:e2])
+                        n, m, good = judge(words_of, words_weight, hashes[s2:e2], weight[s2:e2])
                         if good and (best is None or n > best[4]):
                             best = (ids[slab.first + d], items[k][1], int(s - at[d]), c, n, m)
                     if best:
@@ -175,41 +221,44 @@ def _search(shared, cosine: float):
 
 
 def _cut_items(shared):
-    """Every item's passages: weighted features of unit length, and all the item's words."""
+    """Every item's passages: weighted features of unit length, their least product, and all the item's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows = []
-            for slab, hashes, at, which, low, high in _passages(batch.column(1), PASSAGE, PASSAGE // 2):
-                for d, a, b in zip(which.tolist(), low.tolist(), high.tolist(), strict=True):
+            for slab in slabs(batch.column(1)):
+                hashes, _, at = _features(slab)
+                for d, a, b in zip(*(x.tolist() for x in _parts(at, PASSAGE)), strict=True):
                     columns, times = np.unique(_column(hashes[a:b]), return_counts=True)
                     values = weights[columns].astype(np.float64) * times
-                    values /= max(np.linalg.norm(values), 1e-300)
+                    norm = max(np.linalg.norm(values), 1e-300)
+                    least = least_product(weights[_column(hashes[a:b])]) / norm
                     whole = hashes[at[d] : at[d + 1]].view(np.int64)
-                    rows.append((ids[slab.first + d], columns.tolist(), values.tolist(), whole.tolist()))
+                    rows.append((ids[slab.first + d], columns.tolist(), (values / norm).tolist(), least, whole.tolist()))
             if rows:
-                i, c, v, w = zip(*rows, strict=True)
-                longs = pa.list_(pa.int64())
+                i, c, v, x, w = zip(*rows, strict=True)
+                longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(i, pa.int64()), pa.array(c, longs), pa.array(v, pa.list_(pa.float64())), pa.array(w, longs)],
-                    names=["item_id", "columns", "values", "words"],
+                    [pa.array(i, pa.int64()), pa.array(c, longs), pa.array(v, doubles), pa.array(x, pa.float64()), pa.array(w, longs)],
+                    names=["item_id", "columns", "values", "least", "words"],
                 )
 
     return run
 
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK, weights: np.ndarray | None = None
-) -> DataFrame:
+_FOUND = "doc_id long, item_id long, start long, cosine double, common_words long, item_words long"
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """doc_id, item_id, start, cosine, common_words, item_words: one row for each document and item that it holds.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Words are lower-cased and stripped of
-    punctuation. start is the word at which the passage of the best match begins. Null and empty texts hold nothing
-    and are held by nothing; a null doc_id or item_id stays null in the result; items of equal text each match;
-    repeated documents each come out; an empty table on either side gives no rows. An item with fewer than FEW_WORDS
-    content words is compared by all its words.
+    punctuation. start is the word at which the window of the best match begins, cosine that window's with the
+    passage in the latent space. Null and empty texts hold nothing and are held by nothing; a null doc_id or item_id
+    stays null in the result; items of equal text each match; repeated documents each come out; an empty table on
+    either side gives no rows. An item with fewer than FEW_WORDS content words is compared by all its words.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -218,39 +267,38 @@ def contaminated(
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     cut = items.mapInArrow(
         _cut_items(spark.sparkContext.broadcast(weights)),
-        "item_id long, columns array<long>, values array<double>, words array<long>",
+        "item_id long, columns array<long>, values array<double>, least double, words array<long>",
     )
     cut = written(cut, "benchmark-passages")
     blocks = max(1, -(-cut.count() // ITEMS))
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("item_id", "columns"), F.lit(blocks)))
+    # The passages of an item stay together, so each pass over the documents finds an item once.
+    dealt = cut.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)))
     found = None
-    for block in range(blocks):  # a block is bounded: about ITEMS passages
-        own = dealt.filter(F.col("block") == block).drop("block")
-        rows = own.collect()
-        keys, vectors = directions(own, rank)
-        if not rows or not len(keys):
+    for first in range(0, blocks, GROUP):
+        models, names, listed = [], {}, []
+        for block in range(first, min(first + GROUP, blocks)):  # a block is bounded: about ITEMS passages
+            own = dealt.filter(F.col("block") == block).drop("block")
+            rows = own.collect()
+            keys, vectors = directions(own, len(rows)) if rows else ((), None)
+            if not len(keys) or not vectors.shape[1]:
+                continue
+            latent = np.zeros((len(rows), vectors.shape[1]), np.float32)
+            item_of = np.zeros(len(rows), np.int64)
+            for r, row in enumerate(rows):
+                latent[r] = np.array(row["values"]) @ vectors[np.searchsorted(keys, row["columns"])]
+                words_of = np.array(row["words"], np.int64)
+                item_of[r] = names.setdefault((row["item_id"], words_of.tobytes()), len(listed))
+                if item_of[r] == len(listed):
+                    listed.append((words_of.view(np.uint64), row["item_id"]))
+            least = np.array([0.999 * row["least"] for row in rows], np.float32)  # rounding
+            least[least <= 0] = np.inf  # no word with a weight
+            models.append((keys, vectors, latent, least, item_of))
+        if not models:
             continue
-        row_of = {int(k): r for r, k in enumerate(keys)}
-        latent = np.zeros((len(rows), vectors.shape[1]), np.float32)
-        for r, row in enumerate(rows):
-            if row["columns"]:
-                latent[r] = np.array(row["values"]) @ vectors[[row_of[c] for c in row["columns"]]]
-        listed = [(np.array(row["words"], np.int64).view(np.uint64), row["item_id"]) for row in rows]
-        names = {}
-        item_of = np.array([names.setdefault((i, w.tobytes()), k) for k, (w, i) in enumerate(listed)])
-        shared = spark.sparkContext.broadcast((weights, keys, vectors, latent, item_of, listed))
-        part = docs.mapInArrow(
-            _search(shared, cosine),
-            "doc_id long, item_id long, start long, cosine double, common_words long, item_words long",
-        )
+        shared = spark.sparkContext.broadcast((weights, models, listed))
+        part = docs.mapInArrow(_search(shared), _FOUND)
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame(
-            [], "doc_id long, item_id long, start long, cosine double, common_words long, item_words long"
-        )
-    return found if blocks == 1 else found.groupBy("doc_id", "item_id").agg(
-        *(F.max_by(c, "common_words").alias(c) for c in ("start", "cosine", "common_words", "item_words"))
-    )
+    return spark.createDataFrame([], _FOUND) if found is None else found
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -91,3 +91,24 @@ def test_stage_and_empty_tables(table, leaks):
     assert d.contaminated(table([], SCHEMA), items).count() == 0
     assert d.contaminated(docs, table([], ITEMS)).count() == 0
     assert d.without_contaminated(docs, table([], ITEMS)).count() == docs.count()
+
+
+@pytest.mark.parametrize("n", [200, 1000, 4096])
+def test_copies_in_long_documents_are_found_among_many_items(table, n):
+    """All that the check on words takes, also diluted by rarer words and with a fifth of the words changed."""
+    rng = random.Random(n)
+    items = [(k, make_text(rng, rng.randint(15, 60), 20000)) for k in range(n)]
+    rows, planted = [], set()
+    for k in range(80):
+        words = [f"rare{k}x{j}" for j in range(400)]
+        i = rng.randrange(n)
+        own = items[i][1].split()
+        if k % 2:
+            own = [w if j % 5 else f"other{k}" for j, w in enumerate(own)]
+        at = rng.randint(0, 400)
+        words[at:at] = own
+        planted.add((k, i))
+        rows.append((k, " ".join(words), "", "", 0))
+    docs = table(rows)
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(docs, table(items, ITEMS)).collect()}
+    assert got == planted
