@@ -9,9 +9,14 @@ document is read as overlapping windows of WINDOW segments; each is folded into
 every benchmark passage is computed in blocks. Candidates are checked on their words: the longest common subsequence
 of content words, and, for paraphrases that share less, the item's closing words as its answer.
 
+Frequencies can't tell a stop word from a word of an item that leaked into many documents. So an item with few content
+words, by number or by share, is plain: its passages stand in blocks of their own where every word weighs 1, and it is
+checked on all its words in a stretch of about its own length, whatever their frequencies.
+
 The gate follows from that check. Whatever else stands in a window, its product with a passage is at least the sum
-of the squared weights of the words they share, and the check needs a share of the item's content words; so a passage
-becomes a candidate from the least sum that such a share of its words can have (`least_product`). A stretch of
+of the squared weights of the words they share, and the check needs a share of the item's words; so a passage
+becomes a candidate from the least sum that such a share of its words can have (`least_product`). Of the candidates,
+those go to the check whose window has that share of the passage's words, each as often as in both. A stretch of
 (WINDOW - 1) * SEGMENT words lies in one window whole, so no copy or paraphrase as long as that is lost before the check.
 
 Documents are read once for GROUP blocks, so what is broadcast is bounded: GROUP * ITEMS passages of PASSAGE words
@@ -44,7 +49,9 @@ COSINE = 0.3
 ITEMS, GROUP = 256, 16
 #: Shares of an item's content words that must stand in the document in order: alone, and with the answer there too.
 COPIED, PARAPHRASED, ANSWERED = 0.6, 0.35, 0.75
-FEW_WORDS, FEW_SHARE = 6, 0.8
+#: An item is plain with fewer content words than FEW_WORDS, or a smaller share of them than FEW_CONTENT. Of its words
+#: COPIED must stand in order, FEW_SHARE of an item under SHORT words, in a stretch longer than the item by a quarter.
+FEW_WORDS, FEW_CONTENT, FEW_SHARE, SHORT = 6, 1 / 3, 0.8, 12
 
 
 def _features(slab: Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,12 +129,32 @@ def common_length(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
+def is_plain(item_weight: np.ndarray) -> bool:
+    content = int((item_weight > 0).sum())
+    return content < FEW_WORDS or content < FEW_CONTENT * len(item_weight)
+
+
+def plain_share(words: int) -> float:
+    return FEW_SHARE if words < SHORT else COPIED
+
+
+def judge_plain(item: np.ndarray, text: np.ndarray) -> tuple[int, int, bool]:
+    """(common words, words compared, whether the text holds the item) over all words, in the best short stretch."""
+    span = len(item) + max(2, len(item) // 4)
+    needed = plain_share(len(item)) * len(item)
+    hits = np.isin(text, item)
+    counts = np.concatenate([[0], np.cumsum(hits)])
+    starts = np.flatnonzero(hits)
+    starts = starts[counts[np.minimum(starts + span, len(text))] - counts[starts] >= needed]
+    best = max((common_length(item, text[s : s + span]) for s in starts.tolist()), default=0)
+    return best, len(item), best > 0 and best >= needed
+
+
 def judge(item: np.ndarray, item_weight: np.ndarray, text: np.ndarray, text_weight: np.ndarray) -> tuple[int, int, bool]:
     """(common words, words compared, whether the text holds the item)."""
+    if is_plain(item_weight):
+        return judge_plain(item, text)
     own, other = item[item_weight > 0], text[text_weight > 0]
-    if len(own) < FEW_WORDS:
-        n = common_length(item, text)
-        return n, len(item), n >= FEW_SHARE * len(item)
     n = common_length(own, other)
     if n >= COPIED * len(own):
         return n, len(own), True
@@ -143,20 +170,18 @@ _OUT = pa.schema([
 ])
 
 
-def least_product(weight: np.ndarray) -> float:
-    """The least product with its passage that a text can have which judge() takes; weight: of the passage's words.
+def least_product(weight: np.ndarray, share: float) -> float:
+    """The least product with its passage of a text that shares so many of its words with a weight.
 
-    A text that holds an item shares PARAPHRASED of its content words or, if these are few, FEW_SHARE of all its
-    words; so it does with one of the item's passages at least.
+    weight: of the passage's words. A text with a share of an item's words has it of one of its passages at least.
     """
     squares = np.sort(weight[weight > 0].astype(np.float64) ** 2)
-    needed = -(-len(squares) * PARAPHRASED // 1) if len(squares) else 0
-    return float(squares[: int(needed)].sum())
+    return float(squares[: int(np.ceil(share * len(squares) - 1e-9))].sum())
 
 
 def _near(hashes: np.ndarray, weight: np.ndarray, low: np.ndarray, last: np.ndarray, model) -> Iterator[tuple]:
     """(segments, passages, cosines): the windows, by their first segment, that reach a passage's least product."""
-    keys, vectors, latent, least, _ = model
+    keys, vectors, latent, least, times, needed, _, _ = model
     column = _column(hashes)
     place = np.searchsorted(keys, column).clip(0, len(keys) - 1)
     known = np.flatnonzero((keys[place] == column) & (weight > 0))
@@ -179,6 +204,21 @@ def _near(hashes: np.ndarray, weight: np.ndarray, low: np.ndarray, last: np.ndar
         busy = np.flatnonzero(window.any(axis=1))
         product = window[busy] @ latent.T
         p, k = np.nonzero(product >= least)
+        low_of = np.searchsorted(segment[a:b], first + busy[p])
+        n = np.searchsorted(segment[a:b], last[first + busy[p]], "right") - low_of  # a busy window has known words
+        good = np.zeros(len(p), bool)
+        for c in range(0, len(p), 16384):
+            m, l = n[c : c + 16384], low_of[c : c + 16384]
+            at = np.repeat(l - np.cumsum(m) + m, m) + np.arange(m.sum())
+            own_k, which = k[c : c + 16384], np.repeat(np.arange(len(m)), m)
+            common = times[own_k[which], place[own[at]]] > 0
+            enough = np.bincount(which[common], minlength=len(m)) >= needed[own_k]
+            common &= enough[which]
+            pairs, often = np.unique(which[common] * len(keys) + place[own[at[common]]], return_counts=True)
+            which, found = np.divmod(pairs, len(keys))
+            both = np.minimum(often, times[own_k[which], found])
+            good[c : c + 16384] = np.bincount(which, both, minlength=len(m)) >= needed[own_k]
+        p, k = p[good], k[good]
         size = np.linalg.norm(window[busy[p]], axis=1).clip(1e-9)
         yield first + busy[p], k, product[p, k] / size / norms[k]
 
@@ -195,9 +235,10 @@ def _search(shared):
                 high = np.minimum(low + SEGMENT, at[which + 1])
                 hits: dict[tuple[int, int], list] = {}
                 for model in models:
-                    for segments, passages, cosines in _near(hashes, weight, low, last, model):
+                    given = np.ones_like(weight) if model[-1] else weight
+                    for segments, passages, cosines in _near(hashes, given, low, last, model):
                         for q, k, c in zip(segments.tolist(), passages.tolist(), cosines.tolist(), strict=True):
-                            key = (int(which[q]), int(model[4][k]))
+                            key = (int(which[q]), int(model[-2][k]))
                             hits.setdefault(key, []).append((int(low[q]), int(high[last[q]]), c))
                 rows = []
                 for (d, k), places in hits.items():
@@ -231,18 +272,28 @@ def _cut_items(shared):
             for slab in slabs(batch.column(1)):
                 hashes, _, at = _features(slab)
                 for d, a, b in zip(*(x.tolist() for x in _parts(at, PASSAGE)), strict=True):
+                    whole = hashes[at[d] : at[d + 1]]
+                    plain = is_plain(weights[_column(whole)])
+                    given = np.ones_like(weights) if plain else weights
+                    share = plain_share(len(whole)) if plain else PARAPHRASED
                     columns, times = np.unique(_column(hashes[a:b]), return_counts=True)
-                    values = weights[columns].astype(np.float64) * times
+                    values = given[columns].astype(np.float64) * times
                     norm = max(np.linalg.norm(values), 1e-300)
-                    least = least_product(weights[_column(hashes[a:b])]) / norm
-                    whole = hashes[at[d] : at[d + 1]].view(np.int64)
-                    rows.append((ids[slab.first + d], columns.tolist(), (values / norm).tolist(), least, whole.tolist()))
+                    least = least_product(given[_column(hashes[a:b])], share) / norm
+                    needed = int(np.ceil(share * times[values > 0].sum() - 1e-9))
+                    rows.append((
+                        ids[slab.first + d], plain, columns.tolist(), (values / norm).tolist(), times.tolist(), least, needed,
+                        whole.view(np.int64).tolist(),
+                    ))
             if rows:
-                i, c, v, x, w = zip(*rows, strict=True)
+                i, p, c, v, t, x, m, w = zip(*rows, strict=True)
                 longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(i, pa.int64()), pa.array(c, longs), pa.array(v, doubles), pa.array(x, pa.float64()), pa.array(w, longs)],
-                    names=["item_id", "columns", "values", "least", "words"],
+                    [
+                        pa.array(i, pa.int64()), pa.array(p, pa.bool_()), pa.array(c, longs), pa.array(v, doubles),
+                        pa.array(t, longs), pa.array(x, pa.float64()), pa.array(m, pa.int64()), pa.array(w, longs),
+                    ],
+                    names=["item_id", "plain", "columns", "values", "times", "least", "needed", "words"],
                 )
 
     return run
@@ -258,7 +309,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, weights: np.ndarray | No
     punctuation. start is the word at which the window of the best match begins, cosine that window's with the
     passage in the latent space. Null and empty texts hold nothing and are held by nothing; a null doc_id or item_id
     stays null in the result; items of equal text each match; repeated documents each come out; an empty table on
-    either side gives no rows. An item with fewer than FEW_WORDS content words is compared by all its words.
+    either side gives no rows. Items with few content words are compared by all their words, so an item is found however
+    many documents hold it.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -267,32 +319,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, weights: np.ndarray | No
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     cut = items.mapInArrow(
         _cut_items(spark.sparkContext.broadcast(weights)),
-        "item_id long, columns array<long>, values array<double>, least double, words array<long>",
+        "item_id long, plain boolean, columns array<long>, values array<double>, times array<long>, least double, needed long, "
+        "words array<long>",
     )
     cut = written(cut, "benchmark-passages")
-    blocks = max(1, -(-cut.count() // ITEMS))
-    # The passages of an item stay together, so each pass over the documents finds an item once.
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)))
+    sizes = {r["plain"]: -(-r["count"] // ITEMS) for r in cut.groupBy("plain").count().collect()}
+    blocks = [(plain, block) for plain, size in sorted(sizes.items()) for block in range(size)]
     found = None
-    for first in range(0, blocks, GROUP):
+    for first in range(0, len(blocks), GROUP):
         models, names, listed = [], {}, []
-        for block in range(first, min(first + GROUP, blocks)):  # a block is bounded: about ITEMS passages
-            own = dealt.filter(F.col("block") == block).drop("block")
+        for plain, block in blocks[first : first + GROUP]:
+            # The passages of an item stay together, so each pass over the documents finds an item once.
+            dealt = F.pmod(F.xxhash64("item_id", "words"), F.lit(sizes[plain])) == block
+            own = cut.filter((F.col("plain") == plain) & dealt)
             rows = own.collect()
             keys, vectors = directions(own, len(rows)) if rows else ((), None)
             if not len(keys) or not vectors.shape[1]:
                 continue
             latent = np.zeros((len(rows), vectors.shape[1]), np.float32)
             item_of = np.zeros(len(rows), np.int64)
+            times = np.zeros((len(rows), len(keys)), np.int8)  # at most PASSAGE
             for r, row in enumerate(rows):
-                latent[r] = np.array(row["values"]) @ vectors[np.searchsorted(keys, row["columns"])]
+                at = np.searchsorted(keys, row["columns"])
+                latent[r] = np.array(row["values"]) @ vectors[at]
+                times[r, at] = row["times"]
                 words_of = np.array(row["words"], np.int64)
                 item_of[r] = names.setdefault((row["item_id"], words_of.tobytes()), len(listed))
                 if item_of[r] == len(listed):
                     listed.append((words_of.view(np.uint64), row["item_id"]))
             least = np.array([0.999 * row["least"] for row in rows], np.float32)  # rounding
             least[least <= 0] = np.inf  # no word with a weight
-            models.append((keys, vectors, latent, least, item_of))
+            needed = np.array([row["needed"] for row in rows])
+            models.append((keys, vectors, latent, least, times, needed, item_of, plain))
         if not models:
             continue
         shared = spark.sparkContext.broadcast((weights, models, listed))

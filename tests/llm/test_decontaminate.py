@@ -112,3 +112,25 @@ def test_copies_in_long_documents_are_found_among_many_items(table, n):
     docs = table(rows)
     got = {(r.doc_id, r.item_id) for r in d.contaminated(docs, table(items, ITEMS)).collect()}
     assert got == planted
+
+
+def test_items_in_many_documents_and_items_of_common_words_are_found(table):
+    rng = random.Random(4)
+    stop = [f"s{k}" for k in range(40)]
+    hot = " ".join(f"hot{k}" if k % 3 else rng.choice(stop) for k in range(40))
+    common = " ".join(rng.choice(stop) for _ in range(20))
+    items = [(1, hot), (2, common), (3, make_text(rng, 40, 5000))]
+    rows, planted = [], set()
+    for k in range(200):
+        words = [rng.choice(stop) if rng.random() < 0.5 else f"r{rng.randrange(10**6)}" for _ in range(200)]
+        if k % 10 < 3:  # copies and paraphrases in 30 % of the documents
+            own = hot.split() if k % 10 else [w if j % 5 else f"other{k}" for j, w in enumerate(hot.split())]
+            at = rng.randint(0, len(words))
+            words[at:at] = own
+            planted.add((k, 1))
+        if k % 20 == 7:
+            words[50:50] = common.split()
+            planted.add((k, 2))
+        rows.append((k, " ".join(words), "", "", 0))
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(table(rows), table(items, ITEMS)).collect()}
+    assert got == planted
