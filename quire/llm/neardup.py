@@ -16,6 +16,7 @@ documents) and joins what is surely linked at once, so it returns a spanning for
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,16 @@ SKETCH = 1024
 _FACTORS = np.random.default_rng(48).integers(0, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def matches_for(percent: int, coordinates: int = COORDINATES, missed: float = 1e-8) -> int:
+    """The most coordinates that sets of that similarity share but for a chance of `missed`."""
+    p, below = percent / 100, 0.0
+    for k in range(coordinates + 1):
+        below += math.comb(coordinates, k) * p**k * (1 - p) ** (coordinates - k)
+        if below > missed:
+            return k
+    return coordinates
+
+
 def shingle_sets(slab: Slab, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of the slab's documents, sorted within each, and where each document's begin.
 

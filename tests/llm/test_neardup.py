@@ -2,6 +2,7 @@ import collections
 
 import pytest
 
+import corpus_pipeline
 from quire.llm import graph, neardup
 from tests.llm.conftest import SCHEMA, lowered, split
 
@@ -77,3 +78,13 @@ def test_components_of_chains(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(61)} | {100: 100, 150: 100, 200: 100}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_the_pipeline_drops_near_copies_from_similarity_80_percent(spark, table):
+    base = [f"w{k}" for k in range(304)]  # 300 shingles
+    near = [w if k not in (40, 80, 120, 160, 200, 240) else f"n{k}" for k, w in enumerate(base)]  # 270 / 330
+    rows = [(1, " ".join(base), "en", "src0", 0), (2, " ".join(near), "en", "src0", 0)]
+    assert {c for _, c in brute_force(rows, 80).values()} == {1} and len({c for _, c in brute_force(rows).values()}) == 2
+    left = corpus_pipeline.drop_near_duplicates(spark, table(rows), "")
+    assert [r.doc_id for r in left.collect()] == [1]
+    assert neardup.matches_for(85) >= neardup.MATCHES and neardup.matches_for(80) < neardup.MATCHES
