@@ -1,5 +1,6 @@
 import collections
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -88,3 +89,16 @@ def test_the_pipeline_drops_near_copies_from_similarity_80_percent(spark, table)
     left = corpus_pipeline.drop_near_duplicates(spark, table(rows), "")
     assert [r.doc_id for r in left.collect()] == [1]
     assert neardup.matches_for(85) >= neardup.MATCHES and neardup.matches_for(80) < neardup.MATCHES
+
+
+def test_truncated_copies_over_the_sketch_size_pass_the_estimate():
+    rng = np.random.default_rng(3)
+    signature = np.zeros((2, neardup.COORDINATES), np.int32)
+    for _ in range(400):
+        whole = rng.choice(1 << 32, 20000, replace=False).astype(np.uint32)
+        sketches = [np.sort(x)[: neardup.SKETCH] for x in (whole, whole[:17000])]  # similarity 0.85
+        block = {
+            "node": np.array([1, 2]), "component": np.array([1, 2]), "block": np.array([0, 0]), "mask": np.array([1, 1]),
+            "token": -(1 << 31), "low": 0, "high": 0, "signature": signature, "sketch": sketches,
+        }
+        assert neardup._pairs_of_block(block, neardup.COORDINATES, neardup.MATCHES, 85) == [(1, 2)]
