@@ -236,10 +236,10 @@ def _pairs_of_block(t: dict, coordinates: int, matches: int, percent: int) -> li
             whole = max(sizes[i], sizes[j]) < SKETCH
             slack = 3 * union  # hash collisions
             if not whole:  # the smallest hashes of the union are a random sample of it, whatever the sizes
-                own, other = (ids[ends[x] - sizes[x] : ends[x]] for x in (i, j))
-                sample = np.union1d(own, other)[:SKETCH]
+                mine, other = (ids[ends[x] - sizes[x] : ends[x]] for x in (i, j))
+                sample = np.union1d(mine, other)[:SKETCH]
                 union = len(sample)
-                c = int(np.isin(sample, np.intersect1d(own, other)).sum())
+                c = int(np.isin(sample, np.intersect1d(mine, other)).sum())
                 slack = 3 * union + 600 * np.sqrt(union * percent / 100 * (1 - percent / 100))  # six deviations
             if 100 * c + slack < percent * union:
                 continue

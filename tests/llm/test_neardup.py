@@ -1,11 +1,12 @@
 import collections
+import random
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from quire.llm import graph, neardup
-from tests.llm.conftest import SCHEMA, lowered, split
+from tests.llm.conftest import SCHEMA, lowered, make_text, split
 
 
 def brute_force(rows, percent=85, size=5):
@@ -102,3 +103,30 @@ def test_truncated_copies_over_the_sketch_size_pass_the_estimate():
             "token": -(1 << 31), "low": 0, "high": 0, "signature": signature, "sketch": sketches,
         }
         assert neardup._pairs_of_block(block, neardup.COORDINATES, neardup.MATCHES, 85) == [(1, 2)]
+
+
+def test_a_block_of_several_sets_over_the_sketch_size():
+    rng = np.random.default_rng(5)
+    whole = rng.choice(1 << 32, 5000, replace=False).astype(np.uint32)
+    other = rng.choice(1 << 32, 5000, replace=False).astype(np.uint32)
+    sets = [whole, whole[:4900], other, whole[:4800], other[:4700], other[100:], whole[:2000]]
+    n = len(sets)
+    block = {
+        "node": np.arange(1, n + 1), "component": np.arange(1, n + 1), "block": np.zeros(n, np.int64), "mask": np.ones(n, np.int64),
+        "token": -(1 << 31), "low": 0, "high": 0, "signature": np.zeros((n, neardup.COORDINATES), np.int32),
+        "sketch": [np.sort(x)[: neardup.SKETCH] for x in sets],
+    }
+    found = set(neardup._pairs_of_block(block, neardup.COORDINATES, neardup.MATCHES, 85))
+    assert {(1, 2), (1, 4), (2, 4), (3, 5), (3, 6), (5, 6)} == found
+
+
+def test_long_documents_equal_brute_force(table):
+    rng = random.Random(9)
+    rows = []
+    for k in range(4):  # chains of long texts whose ends are not similar, so that lists stay open after the first pass
+        base = make_text(rng, 4000, 10**6).split()
+        for j in range(7):
+            rows.append((10 * k + j, " ".join(base[j * 130 : j * 130 + 2600]), "en", "src0", 0))
+    got = {r.doc_id: ([r.n_shingles], r.component_id) for r in neardup.near_duplicates(table(rows)).collect()}
+    assert got == brute_force(rows)
+    assert all(n >= neardup.SKETCH for (n,), _ in got.values()) and {c for _, c in got.values()} == {0, 10, 20, 30}
