@@ -23,6 +23,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def generation(df: DataFrame, label: str, before: str | None = None) -> tuple[DataFrame, str]:
+    """df as a compressed table in the shared folder, and its path; the table at `before`, which df was read from, goes."""
+    spark = df.sparkSession
+    path = work_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    if before:
+        old = spark._jvm.org.apache.hadoop.fs.Path(before)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
