@@ -109,9 +109,9 @@ def stream_rate_sliding(t):
 def stream_active_gauge(t):
     marks = (
         _stream(t, "v_op_logs").filter("event <> 'note'")
-        .select(F.col("operation_id").alias("request_id"), "event")
+        .select(F.col("operation_id").alias("request_id"), "ts", "event")
     )
-    return ops.active_gauge(ops.newest(ops.drain(ops.request_states(marks), "gauge", "update"), ["request_id"]))
+    return ops.active_gauge(marks)
 
 
 @query("stream_conversion_pairs", check_sql(

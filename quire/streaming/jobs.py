@@ -1,7 +1,7 @@
 """Streaming forms of the job-tracking and metrics operators.
 
-Aggregates keep one small row per key and combine on the map side. Jobs with an event
-time take a watermark, so their state ends; the others hold one row per live key.
+Windowed aggregates, joins and deduplication take a watermark, so their state ends. Tasks,
+requests and batches are followed by the processors of ``state.py``, which hold live keys only.
 """
 
 from __future__ import annotations
@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quire.operators.catalogue import retention_report
-from quire.operators.jobs import last_events, task_states
+from quire.operators.jobs import KINDS, task_states
 from quire.session import work_path
-
-LATENESS = "10 minutes"
+from quire.streaming.state import LATENESS, batch_counts, last_events, request_changes
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -39,11 +38,11 @@ def with_event_time(df: DataFrame, ts: str = "ts", lateness: str = LATENESS) ->
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
 
 
-def drain(stream: DataFrame, label: str, mode: str, transform=None) -> DataFrame:
+def drain(stream: DataFrame, label: str, mode: str, transform=None, progress: list | None = None) -> DataFrame:
     """Run a stream over all it has now into a table in the shared folder and read it.
 
     Each micro-batch overwrites its own folder, so a replayed batch does not double rows.
-    Rows carry their batch number in ``batch``.
+    Rows carry their batch number in ``batch``; ``progress`` takes the reports of the micro-batches.
     """
     spark = stream.sparkSession
     table, checkpoint = work_path(spark, label), work_path(spark, label + "-offsets")
@@ -59,6 +58,8 @@ def drain(stream: DataFrame, label: str, mode: str, transform=None) -> DataFrame
         .foreachBatch(write).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     if not written:  # nothing has arrived yet
         empty = spark.createDataFrame([], stream.schema)
         return (transform(empty) if transform else empty).limit(0).withColumn("batch", F.lit(0))
@@ -73,25 +74,33 @@ def newest(table: DataFrame, keys: list[str]) -> DataFrame:
 
 # --- jobs --------------------------------------------------------------------
 
-def latest_progress(events: DataFrame) -> DataFrame:
-    """Latest snapshot per task (update mode)."""
-    row = F.struct("seq", "ts", "kind", "percent", "step_index")
-    return events.groupBy("task_id").agg(F.max_by(row, F.struct("ts", "seq")).alias("r")).select("task_id", "r.*")
+def latest_progress(events: DataFrame, hours: float = 24, lateness: str = LATENESS) -> DataFrame:
+    """Latest snapshot per task (update mode); finished tasks leave the state after ``hours``."""
+    entry = ("at", "seq", "kind", "percent", "step_index")
+    newest = F.array_max(F.transform("events", lambda e: F.struct(*(e[c].alias(c) for c in entry))))
+    row = last_events(events, hours, lateness).select("task_id", newest.alias("r"))
+    ts = F.timestamp_micros("r.at").cast(events.schema["ts"].dataType).alias("ts")
+    return row.select("task_id", "r.seq", ts, "r.kind", "r.percent", "r.step_index")
+
 
+def task_state(events: DataFrame, hours: float = 24, lateness: str = LATENESS) -> DataFrame:
+    """Task state machine (update mode): the batch job's second step over the last event of each
+    kind; finished tasks leave the state after ``hours``."""
+    kind = events.schema["ts"].dataType
 
-def task_state(events: DataFrame) -> DataFrame:
-    """Task state machine (update mode): the same two steps as the batch job."""
-    return task_states(last_events(events))
+    def slot(name: str):
+        one = F.get(F.filter("events", lambda e: e["kind"] == name), F.lit(0))
+        fields = [one[c].alias(c) for c in ("seq", "percent", "step_index", "total_steps")]
+        row = F.struct(F.timestamp_micros(one["at"]).cast(kind).alias("ts"), *fields)
+        return F.when(one.isNotNull(), row).alias(name)
+
+    return task_states(last_events(events, hours, lateness).select("task_id", *(slot(k) for k in KINDS)))
 
 
 def batch_progress(tasks: DataFrame, totals: DataFrame) -> DataFrame:
-    """Running completed + failed counts per batch (update mode), joined to static totals."""
-    done = tasks.groupBy("batch_id").agg(
-        F.count_if(F.col("status") == "completed").alias("completed_files"),
-        F.count_if(F.col("status") == "failed").alias("failed_files"),
-    )
+    """Running completed + failed counts per batch (update mode); full batches leave the state."""
     share = (F.col("completed_files") + F.col("failed_files")) / F.col("total_files") * 100
-    return done.join(totals, "batch_id").withColumn("progress_percent", share.cast("int"))
+    return batch_counts(tasks, totals).withColumn("progress_percent", share.cast("int"))
 
 
 def request_windows(requests: DataFrame, size: str = "5 minutes", lateness: str = LATENESS) -> DataFrame:
@@ -120,22 +129,18 @@ def rate_sliding(calls: DataFrame, size: str = "60 seconds", slide: str = "10 se
     )
 
 
-def request_states(marks: DataFrame) -> DataFrame:
-    """Started / finished flags per request (update mode)."""
-    return marks.groupBy("request_id").agg(
-        F.max(F.when(F.col("event") == "start", 1).otherwise(0)).alias("started"),
-        F.max(F.when(F.col("event") != "start", 1).otherwise(0)).alias("finished"),
-    )
+def active_gauge(marks: DataFrame, label: str = "gauge", progress: list | None = None) -> DataFrame:
+    """Active requests = starts without an end; ends without a start are ignored.
+
+    The state holds active requests only; each micro-batch adds its changes up to one row, and
+    the gauge is the sum of those rows.
+    """
+    names = ("started", "finished", "active")
 
+    def total(rows: DataFrame) -> DataFrame:
+        return rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
 
-def active_gauge(states: DataFrame) -> DataFrame:
-    """Active requests = starts without an end; ends without a start are ignored."""
-    started = F.col("started") == 1
-    return states.agg(
-        F.count_if(started).alias("started"),
-        F.count_if(started & (F.col("finished") == 1)).alias("finished"),
-        F.count_if(started & (F.col("finished") == 0)).alias("active"),
-    )
+    return total(drain(request_changes(marks), label, "append", total, progress))
 
 
 def conversion_pairs(starts: DataFrame, ends: DataFrame, within: str = "1 hour", lateness: str = LATENESS) -> DataFrame:

@@ -75,16 +75,87 @@ def test_sweep_reports_per_tick(spark, tmp_path):
     assert out == {(90_000, "uploads"): 1, (90_000, "total"): 1, (200_000, "uploads"): 1, (200_000, "outputs"): 1, (200_000, "total"): 2}
 
 
-def test_batch_progress_and_gauge(spark, tmp_path):
+def test_batch_progress(spark, tmp_path):
     chunks = [[(1, "a", "completed")], [(1, "b", "failed"), (2, "c", "completed")]]
     stream = stream_of(spark, tmp_path / "in", chunks, "batch_id int, task_id string, status string")
     totals = spark.createDataFrame([(1, 3), (2, 1)], "batch_id int, total_files int")
     got = {r.batch_id: r.progress_percent for r in ops.newest(ops.drain(ops.batch_progress(stream, totals), "b", "update"), ["batch_id"]).collect()}
     assert got == {1: 66, 2: 100}
-    marks = [[(1, "start"), (2, "start")], [(1, "end"), (9, "end")]]
-    stream = stream_of(spark, tmp_path / "m", marks, "request_id int, event string")
-    r = ops.active_gauge(ops.newest(ops.drain(ops.request_states(stream), "g", "update"), ["request_id"])).first()
-    assert (r.started, r.finished, r.active) == (2, 1, 1)
+
+
+def held(progress):
+    """Keys in the state after each micro-batch."""
+    return [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+
+
+def test_closed_batches_leave_the_state(spark, tmp_path):
+    chunks = [
+        [(b, f"{b}-{k}", "completed") for b in range(20) for k in range(2)] + [(50, "x", "failed"), (None, "n", "failed")],
+        [(b, f"{b}-2", "failed") for b in range(17)], [(60, "no total", "completed")],
+    ]
+    stream = stream_of(spark, tmp_path / "in", chunks, "batch_id int, task_id string, status string")
+    totals = spark.createDataFrame([(b, 3) for b in range(20)] + [(50, 1)], "batch_id int, total_files int")
+    progress = []
+    table = ops.drain(ops.batch_progress(stream, totals), "b", "update", progress=progress)
+    got = {r.batch_id: (r.completed_files, r.failed_files, r.progress_percent) for r in ops.newest(table, ["batch_id"]).collect()}
+    assert got == {b: (2, 1, 100) if b < 17 else (2, 0, 66) for b in range(20)} | {50: (0, 1, 100)}
+    assert held(progress) == [20, 3, 3]  # batch 50 was full at once
+
+
+def test_the_gauge_holds_active_requests_only(spark, tmp_path):
+    minute = 60 * SECOND
+    marks = [
+        [(r, T0, "start") for r in range(10)] + [(r, T0 + minute, "end") for r in range(4)] + [(90, T0, "end"), (91, T0, "error")],
+        [(r, T0 + 2 * minute, "end") for r in range(4, 8)] + [(91, T0, "start"), (20, T0 + 2 * minute, "start")],
+        [(21, T0 + dt.timedelta(hours=3), "start")], [(22, T0 + dt.timedelta(hours=4), "start"), (22, T0 + dt.timedelta(hours=4), "end")],
+    ]
+    progress = []
+    stream = stream_of(spark, tmp_path / "m", marks, "request_id int, ts timestamp_ntz, event string")
+    r = ops.active_gauge(stream, progress=progress).first()
+    # 0-9, 20, 21, 22 and 91 began; 0-7, 22 and 91 ended; 90 never began
+    assert (r.started, r.finished, r.active) == (14, 10, 4)
+    assert held(progress)[-1] == r.active
+
+
+def test_finished_tasks_leave_the_state_and_live_ones_stay(spark, tmp_path):
+    def row(task, hours, seq, kind):
+        return (task, T0 + dt.timedelta(hours=hours), seq, kind, None, 0, 5)
+
+    chunks = [
+        [row(t, 0, t, "start") for t in range(12)] + [row(t, 1, 100 + t, "complete") for t in range(8)],
+        [row(0, 2, 200, "start"), row(1, 2, 201, "fail"), row(8, 3, 202, "update")],  # 0 begins again
+        [row(9, 40, 300, "update")], [row(10, 41, 301, "fail")], [row(11, 42, 302, "update"), row(2, 1, 303, "start")],
+    ]
+    stream = stream_of(spark, tmp_path / "in", chunks, EVENT)
+    progress = []
+    table = ops.drain(ops.task_state(stream), "t", "update", progress=progress)
+    got = {r.task_id: r.status for r in ops.newest(table, ["task_id"]).collect()}
+    assert got == replayed([r for c in chunks for r in c][:-1])  # the last row is older than the watermark
+    live = {t for t, s in got.items() if s not in ("completed", "failed")}
+    assert live == {0, 8, 9, 11} and held(progress)[:2] == [12, 12]
+    assert held(progress)[-1] == len(live) + 1  # and 10, which ended an hour ago
+    table = ops.drain(ops.latest_progress(stream), "l", "update")
+    assert {r.task_id: r.kind for r in ops.newest(table, ["task_id"]).collect()} == {
+        0: "start", 1: "fail", 8: "update", 9: "update", 10: "fail", 11: "update"} | {t: "complete" for t in range(2, 8)}
+
+
+def replayed(rows):
+    return {t: s[0] for t, s in replay(rows).items()}
+
+
+def test_rows_are_combined_before_the_shuffle(spark):
+    import pyarrow as pa
+
+    from quire.streaming.state import _last_of_each
+
+    rows = [(k % 3, k // 7, k, ["start", "update"][k % 2], None, 0, 5) for k in range(1000)]
+    names = ["task_id", "at", "seq", "kind", "percent", "step_index", "total_steps"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+    out = [r for b in _last_of_each([batch]) for r in b.to_pylist()]
+    want = {}
+    for r in rows:
+        want[r[0], r[3]] = max(want.get((r[0], r[3]), (0, 0)), (r[1], r[2]))
+    assert {(r["task_id"], r["kind"]): (r["at"], r["seq"]) for r in out} == want and len(out) == 6
 
 
 def test_pairs_within_the_bound(spark, tmp_path):
