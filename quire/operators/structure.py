@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions import text as T, values as V
 from quire.operators.greedy import DocumentTitles, PageTitles, select
@@ -112,9 +112,17 @@ def _prepared(candidates: DataFrame) -> DataFrame:
 
 def chapter_conflicts(candidates: DataFrame, near: int = 2, t: float = 0.8) -> DataFrame:
     """Drop a candidate when an accepted one before it (by detector, then detector order)
-    lies within ``near`` pages under a similar title. Outline entries are all accepted; so are rows without page or title."""
+    lies within ``near`` pages under a similar title. Outline entries are all accepted; so are rows without page or title.
+
+    A document is cut where no candidate stands on more than ``near`` pages; the stretches are decided apart.
+    """
     work = candidates.withColumn("words", T.title_words(T.title_key("title")))
-    return select(work, "doc_id", ["priority", "seq", "page_num", "title"], lambda: PageTitles(near, t)).drop("words")
+    in_order = W.partitionBy("doc_id").orderBy("page_num")
+    gap = F.coalesce(F.col("page_num") - F.lag("page_num").over(in_order) > near, F.lit(True))
+    begun = work.withColumn("_begin", F.when(gap, F.col("page_num")))
+    cut = begun.withColumn("_stretch", F.max("_begin").over(in_order)).drop("_begin")
+    order = ["priority", "seq", "page_num", "title"]
+    return select(cut, ["doc_id", "_stretch"], order, lambda: PageTitles(near, t)).drop("words", "_stretch")
 
 
 def dedupe_titles(candidates: DataFrame, t: float = 0.9) -> DataFrame:
@@ -123,7 +131,7 @@ def dedupe_titles(candidates: DataFrame, t: float = 0.9) -> DataFrame:
     A kept title counts in its cleaned form, a new one in its raw form.
     """
     kept = select(
-        _prepared(candidates), "doc_id", ["page_num", "priority", "seq", "title"], lambda: DocumentTitles(t)
+        _prepared(candidates), ["doc_id"], ["page_num", "priority", "seq", "title"], lambda: DocumentTitles(t)
     )
     return kept.withColumn("title", F.col("clean")).drop("words", "clean", "clean_words")
 

@@ -1,7 +1,9 @@
 import random
+import time
 
 import pytest
 
+from quire.operators import greedy
 from quire.operators import structure as ops
 from quire.operators.similarity import similar_pairs
 
@@ -103,6 +105,43 @@ def test_rows_without_page_or_title_stay(spark):
     assert ops.chapter_conflicts(df).count() == 3
 
 
+HEAD = "running head of this long book here about many things and others".split()
+
+
+@pytest.mark.parametrize("common, own", [(5, 1), (9, 1), (8, 2)])
+def test_one_document_with_many_titles_under_one_running_head(spark, common, own):
+    """100,000 different titles that share most of their words, on one page after the other."""
+    rows = [(1, p // 10, " ".join([*HEAD[:common], f"a{p % 331}", f"b{p}"][: common + own]), 60.0, "page_pattern", 1, p, 2) for p in range(100_000)]
+    if own == 1:
+        rows = [(*r[:2], " ".join([*HEAD[:common], f"b{r[6]}"]), *r[3:]) for r in rows]
+    df = spark.createDataFrame(rows, SCHEMA)
+    begun = time.time()
+    assert ops.dedupe_titles(df).count() == 100_000
+    assert ops.chapter_conflicts(df).count() > 1000
+    assert time.time() - begun < 60
+
+
+@pytest.mark.parametrize("t, words, longest", [(0.5, 8, 5), (0.6, 15, 14), (0.8, 40, 25), (0.8, 12, 9), (0.9, 15, 25), (0.9, 200, 4)])
+def test_word_sets_equal_brute_force(t, words, longest):
+    rnd = random.Random(words)
+    sets = [frozenset(f"w{rnd.randrange(words)}" for _ in range(rnd.randint(0, longest))) for _ in range(600)]
+    index, kept = greedy.WordSets(t), []
+    for s in sets:
+        clash = any(s == o or (len(s & o) and len(s & o) / len(s | o) >= t) for o in kept)
+        assert index.has_similar(s) == clash
+        if not clash:
+            kept.append(s)
+            index.add(s)
+    assert len(kept) > greedy.FEW or words == 8
+
+
+def test_stretches_of_pages_are_decided_apart(spark):
+    rows = [(d, p, "One head", 60.0, "page_pattern", 1, p, 2) for d in (1, 2) for p in (1, 2, 3, 5, 8, 10, 13)]
+    rows += [(1, None, "One head", 60.0, "page_pattern", 1, 99, 2), (None, 4, "One head", 60.0, "page_pattern", 1, 1, 2), (None, 5, "One head", 60.0, "page_pattern", 1, 2, 2)]
+    got = sorted((r.doc_id or 0, r.page_num or 0) for r in ops.chapter_conflicts(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(0, 4), (1, 0), (1, 1), (1, 5), (1, 8), (1, 13), (2, 1), (2, 5), (2, 8), (2, 13)]
+
+
 def test_hot_words_do_not_pair_up(spark):
     n = 20_000
     sets = spark.range(n).selectExpr("id as a_id", "array('chapter', cast(id as string)) as a_words")
