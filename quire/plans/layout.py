@@ -69,7 +69,7 @@ def region_type(t):
     "v_dense_words",
     """SELECT page_id, line_number, column_number, 0 AS part, text, x0, y0, x1, y1, x1 - x0 AS width, y1 - y0 AS height, n_words, region_type FROM ty""", **PLACED, **STATS))
 def line_regions(t):
-    return ops.line_regions(ops.place_words(t.v_dense_words)).drop("mean_size")
+    return ops.line_regions(ops.place_words(t.v_dense_words)).drop("mean_size", "n_columns")
 
 
 @query("reading_order", recursive(
@@ -77,18 +77,30 @@ def line_regions(t):
     """SELECT page_id, line_number, column_number, text, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN n > 1 THEN column_number END, y0, x0, line_number) - 1 AS reading_order
     FROM (SELECT ty.*, (SELECT count(*) FROM cols c WHERE c.page_id = ty.page_id) AS n FROM ty)""", **PLACED, **STATS))
 def reading_order(t):
-    words = t.v_dense_words
-    columns = ops.detect_columns(words)
-    regions = ops.line_regions(ops.place_words(words, columns))
-    return ops.reading_order(regions, columns).select(*ops.REGION, "text", "reading_order")
+    regions = ops.line_regions(ops.place_words(t.v_dense_words))
+    return ops.reading_order(regions).select(*ops.REGION, "text", "reading_order")
+
+
+PROFILE = {
+    **column_steps("v_dense_words"),
+    "wide": "SELECT page_id, count(*) AS n_columns FROM cols GROUP BY page_id",
+    "held": """SELECT CAST(floor(page_id / 8) AS BIGINT) + 5 AS page_id, count(*) AS n_tables FROM v_tables
+        WHERE len(list_filter(cells, lambda r: len(list_filter(r, lambda c: trim(c) <> '')) > 0)) >= 2 GROUP BY 1""",
+    "profile": """SELECT coalesce(w.page_id, h.page_id) // 16 AS doc_id, coalesce(n_columns, 0) AS n_columns, coalesce(n_tables, 0) AS n_tables
+        FROM wide w FULL OUTER JOIN held h ON h.page_id = w.page_id""",
+}
 
 
 @query("structure_analysis", check_sql(
-    "v_page_layout",
+    "v_dense_words v_tables",
     """SELECT doc_id, count(*) AS total_pages, count_if(n_columns > 1) AS multi_column_pages, count_if(n_columns <= 1) AS single_column_pages, count_if(n_tables > 0) AS pages_with_tables,
-    CAST(sum(n_tables) AS BIGINT) AS total_tables, round(avg(n_columns), 6) AS average_columns, count(DISTINCT n_columns) <= 2 AS column_consistency FROM v_page_layout GROUP BY doc_id"""))
+    CAST(sum(n_tables) AS BIGINT) AS total_tables, round(avg(n_columns), 6) AS average_columns, count(DISTINCT n_columns) <= 2 AS column_consistency FROM profile GROUP BY doc_id""", **PROFILE))
 def structure_analysis(t):
-    return ops.structure_analysis(t.v_page_layout)
+    """Detected columns and filtered tables, whose pages overlap but differ, profiled per document of sixteen pages."""
+    place = (F.floor(F.col("page_id") / 8) + 5).cast("bigint")
+    tables = ops.table_rows_filter(t.v_tables).withColumn("page_id", place)
+    pages = ops.page_profile(ops.detect_columns(t.v_dense_words), tables)
+    return ops.structure_analysis(pages.withColumn("doc_id", F.floor(F.col("page_id") / 16).cast("bigint")))
 
 
 @query("table_rows_filter", check_sql(

@@ -250,10 +250,6 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         " WHEN doc_id % 2 = 0 THEN 'broken' ELSE 'utf8' END AS kind",
     ]),
     # layout summary of a page
-    "v_page_layout": ("lineitem", [
-        "l_orderkey AS doc_id", "l_linenumber AS page_num", "CAST(1 + l_partkey % 3 AS INT) AS n_columns",
-        "CASE WHEN l_suppkey % 4 = 0 THEN CAST(l_suppkey % 3 AS INT) ELSE 0 END AS n_tables",
-    ]),
     "v_toc": ("conversations", [
         "conv_id AS doc_id", "turn AS ord",
         "CASE WHEN turn % 4 = 3 THEN 'note' ELSE 'chapter' END AS type",

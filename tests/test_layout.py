@@ -1,5 +1,9 @@
 import random
 
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 from quire.operators import layout as ops
 
 WORD = "page_id long, word_id long, text string, x0 double, x1 double, top double, bottom double, size int"
@@ -107,3 +111,70 @@ def test_table_rows(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "page_id int, cells array<array<string>>")
     got = [(r.page_id, r.n_rows, r.n_columns) for r in ops.table_rows_filter(df).collect()]
     assert got == [(0, 2, 2)]
+
+
+def folded(tops, tol=5):
+    anchors = []
+    for t in tops:
+        if not anchors or t - anchors[-1] > tol:
+            anchors.append(t)
+    return anchors
+
+
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+def test_frames_do_not_depend_on_batches(batch):
+    rnd = random.Random(batch)
+    rows = []
+    for page in range(12):
+        for axis in (0, 1):
+            size = rnd.choice([1, 3, 40, 200])
+            if rnd.random() < 0.9:
+                rows += [(page, axis, v / 10, v / 10 + 3 if rnd.random() < 0.9 else None) for v in sorted(rnd.sample(range(4000), size))]
+    arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int32(), pa.float64(), pa.float64()])]
+    table = pa.RecordBatch.from_arrays(arrays, names=["page_id", "axis", "v", "end"])
+    out = [r for b in ops._walk(20.0, 5.0)(table.slice(k, batch) for k in range(0, len(rows), batch)) for r in b.to_pylist()]
+    assert [r["page_id"] for r in out] == sorted({r[0] for r in rows})
+    for r in out:
+        assert r["anchors"] == folded([x[2] for x in rows if x[:2] == (r["page_id"], 1)])
+        spans, last = [], None
+        for _, _, v, end in (x for x in rows if x[:2] == (r["page_id"], 0)):
+            if last is None or v - last > 20:
+                spans.append([v, end])
+            elif end is not None:
+                spans[-1][1] = end if spans[-1][1] is None else max(spans[-1][1], end)
+            last = v
+        assert [[s["x_start"], None if s["x_end"] != s["x_end"] else s["x_end"]] for s in r["spans"]] == spans
+
+
+def test_a_page_of_a_million_distinct_tops(spark):
+    df = spark.range(1_000_000).selectExpr("7L as page_id", "id as word_id", "'w' as text", "0D as x0", "5D as x1", "id / 1000 as top", "id / 1000 + 8 as bottom", "10 as size")
+    (row,) = ops.page_frames(df, axes="y").collect()
+    assert row.anchors == folded([k / 1000 for k in range(1_000_000)])
+    lines = {r.line_number: r.n for r in ops.group_lines(df).groupBy("line_number").agg(F.count("*").alias("n")).collect()}
+    assert len(lines) == len(row.anchors) and sum(lines.values()) == 1_000_000
+
+
+def test_one_crowded_region_spreads_over_strips(spark):
+    words = [word(1, i, (i * 37) % 2000 / 2, 0) for i in range(4000)]  # 1,000 points wide, starts at half points
+    parts = sorted(regions(spark, words, part_chars=3000).collect(), key=lambda r: r.part)
+    ordered = sorted(words, key=lambda w: (w[3], w[5], w[1]))
+    assert len(parts) > 3 and " ".join(r.text for r in parts) == " ".join(w[2] for w in ordered)
+    starts = [w[3] for w in ordered]
+    gaps = [b - a for a, b in zip(starts, starts[1:])]
+    (s,) = ops.region_stats(ops.place_words(spark.createDataFrame(words, WORD))).collect()
+    assert abs(s.mean_gap - sum(gaps) / len(gaps)) < 1e-9 and abs(s.mean_gap2 - sum(g * g for g in gaps) / len(gaps)) < 1e-9
+    assert {(r.n_words, r.x0, r.x1, r.mean_size) for r in parts} == {(4000, 0.0, 1004.5, 12.0)}
+
+
+def test_regions_and_order_take_two_scans(spark, tmp_path):
+    spark.createDataFrame([word(p, i, i * 9, i * 7) for p in range(5) for i in range(9)], WORD).write.parquet(str(tmp_path / "w"))
+    words = spark.read.parquet(str(tmp_path / "w"))
+    plan = ops.reading_order(ops.line_regions(ops.place_words(words)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2
+
+
+def test_page_profile_keeps_pages_of_either_side(spark):
+    columns = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "page_id long, column_number int")
+    tables = spark.createDataFrame([(2, 5), (3, 5), (3, 6)], "page_id long, n_rows int")
+    got = sorted(tuple(r) for r in ops.page_profile(columns, tables).collect())
+    assert got == [(1, 2, 0), (2, 1, 1), (3, 0, 2)]
