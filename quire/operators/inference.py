@@ -48,6 +48,59 @@ def request_options(requests: DataFrame) -> DataFrame:
     })
 
 
+class _Window:
+    """Calls in order, at most `at_once` open at a time, those that outlive their limit included."""
+
+    def __init__(self, one: Callable[[tuple, threading.Event], tuple], at_once: int, limit_s: float):
+        self.one, self.at_once, self.limit_s = one, at_once, limit_s
+        self.changed = threading.Condition()
+        self.open = 0
+
+    def _work(self, k: int, row: tuple, answers: list, given_up: threading.Event) -> None:
+        answer = self.one(row, given_up)
+        with self.changed:
+            if not given_up.is_set():
+                answers[k] = answer
+            self.open -= 1
+            self.changed.notify()
+
+    def answers(self, rows: list[tuple]) -> list[tuple]:
+        answers: list[tuple | None] = [None] * len(rows)
+        waiting: dict[int, tuple[float, threading.Event]] = {}  # calls with an answer to come: their deadline
+        late, busy = f"no answer within {self.limit_s:g} s", f"no call came free within {self.limit_s:g} s"
+        k, since = 0, time.monotonic()
+        with self.changed:
+            while k < len(rows) or waiting:
+                now = time.monotonic()
+                for i, (end, given_up) in list(waiting.items()):
+                    if answers[i] is None and now >= end:
+                        given_up.set()
+                        answers[i] = (False, None, rows[i][2], None, None, None, late)
+                    if answers[i] is not None:
+                        del waiting[i]
+                if k < len(rows):
+                    prompt, _, provider, error = rows[k]
+                    if isinstance(error, str) or not isinstance(prompt, str):
+                        answers[k] = (False, None, provider, None, None, None, error if isinstance(error, str) else "no prompt")
+                        k, since = k + 1, now
+                        continue
+                    if self.open < self.at_once:
+                        given_up = threading.Event()
+                        waiting[k] = (now + self.limit_s, given_up)
+                        self.open += 1
+                        threading.Thread(target=self._work, args=(k, rows[k], answers, given_up), daemon=True).start()
+                        k, since = k + 1, now
+                        continue
+                    if not waiting and now >= since + self.limit_s:  # only calls that have outlived their limit are open
+                        answers[k] = (False, None, provider, None, None, None, busy)
+                        k += 1
+                        continue
+                if waiting or k < len(rows):
+                    ends = [end for end, _ in waiting.values()] or [since + self.limit_s]
+                    self.changed.wait(max(0.0, min(ends) - now))
+        return answers
+
+
 def ai_map(
     requests: DataFrame,
     model: Callable[[str, int], dict],
@@ -60,9 +113,11 @@ def ai_map(
     """Call ``model(prompt, max_tokens)`` for every row; a failing row carries its error.
 
     ``model`` returns a dict with content and optionally model and token_usage. One callable
-    lives per partition and must allow calls from ``at_once`` threads; a row that has no answer
-    after ``limit_s`` seconds, retries included, carries an error. ``parallelism`` bounds the
-    partitions. Rows with an ``error`` or without a prompt are not sent.
+    lives per partition and is called from at most ``at_once`` threads: the next row's call begins
+    when one of them is free. A row without an answer after ``limit_s`` seconds, retries included,
+    carries an error; its call can't be stopped, isn't repeated, and keeps its thread until it
+    returns. A row for which no thread comes free within ``limit_s`` carries an error, too.
+    ``parallelism`` bounds the partitions. Rows with an ``error`` or without a prompt are not sent.
     """
     keep = [c for c in requests.columns if c not in ("prompt", "max_tokens", "error", "provider")]
     full = requests
@@ -74,47 +129,32 @@ def ai_map(
         full = full.repartition(parallelism)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.select(*keep).schema.fields)
 
-    def call(prompt, max_tokens) -> dict:
+    def call(prompt, max_tokens, given_up: threading.Event) -> dict:
         for attempt in range(retries):
             try:
                 return model(prompt, int(max_tokens))
             except RateLimited:
-                if attempt == retries - 1:
+                if attempt == retries - 1 or given_up.wait(backoff**attempt):
                     raise
-                time.sleep(backoff**attempt)
         raise RuntimeError("no attempt allowed")
 
-    def one(prompt, max_tokens, provider, error) -> tuple:
-        if isinstance(error, str) or not isinstance(prompt, str):
-            return (False, None, provider, None, None, None, error if isinstance(error, str) else "no prompt")
+    def one(row: tuple, given_up: threading.Event) -> tuple:
+        prompt, max_tokens, provider, _ = row
         start = time.time()
         try:
-            answer = call(prompt, max_tokens)
+            answer = call(prompt, max_tokens, given_up)
+            found = answer["content"], provider, answer.get("model"), time.time() - start, answer.get("token_usage"), None
         except Exception as e:
             return (False, None, provider, None, None, None, str(e))
-        return (True, answer["content"], provider, answer.get("model"), time.time() - start, answer.get("token_usage"), None)
-
-    def group(rows: list[tuple]) -> list[tuple]:
-        answers: list[tuple | None] = [None] * len(rows)
-
-        def work(k: int) -> None:
-            answers[k] = one(*rows[k])
-
-        threads = [threading.Thread(target=work, args=(k,), daemon=True) for k in range(len(rows))]
-        for t in threads:
-            t.start()
-        end = time.monotonic() + limit_s
-        for t in threads:
-            t.join(max(0.0, end - time.monotonic()))
-        late = f"no answer within {limit_s:g} s"
-        return [a or (False, None, r[2], None, None, None, late) for a, r in zip(list(answers), rows, strict=True)]
+        return (True, *found)
 
     names = ["success", "content", "provider", "model", "processing_time", "token_usage", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        window = _Window(one, at_once, limit_s)
         for batch in batches:
-            asked = list(zip(batch["prompt"], batch["max_tokens"], batch["provider"], batch["error"], strict=True))
-            rows = [a for k in range(0, len(asked), at_once) for a in group(asked[k : k + at_once])]
+            asked = zip(batch["prompt"], batch["max_tokens"], batch["provider"], batch["error"], strict=True)
+            rows = window.answers(list(asked))
             out = pd.DataFrame(rows, columns=names, index=batch.index)
             yield pd.concat([batch[keep], out], axis=1)
 

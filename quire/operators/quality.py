@@ -19,7 +19,9 @@ def scan_probability_of(chars: Column, pages: Column) -> Column:
 
 
 def scan_probability(blocks: DataFrame, meta: DataFrame) -> DataFrame:
-    chars = blocks.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"))
+    """From text blocks, or from page summaries with their counts of characters."""
+    length = F.col("n_chars") if "n_chars" in blocks.columns else F.length("text")
+    chars = blocks.groupBy("doc_id").agg(F.sum(length).alias("chars"))
     return meta.join(chars, "doc_id", "left").select(
         "doc_id", scan_probability_of(F.coalesce("chars", F.lit(0)), F.col("page_count")).alias("scan_probability")
     )

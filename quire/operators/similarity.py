@@ -30,8 +30,8 @@ def _ranked(sets: DataFrame, freq: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _meet(longer: DataFrame, shorter: DataFrame, keys: list[str], t: float, ties: bool) -> DataFrame:
-    """Pairs (p_id, i_id, similarity) of a longer set, probing, and a shorter one, indexed; of equal length if ties."""
+def _meet(longer: DataFrame, shorter: DataFrame, keys: list[str], t: float, ties: Column) -> DataFrame:
+    """Pairs (p_id, i_id, similarity) of a longer set, probing, and a shorter one, indexed; of equal length where ties."""
     p = longer.select(*keys, F.col("id").alias("p_id"), F.col("words").alias("p_words")).withColumn(
         "_pp", F.slice("p_words", F.lit(1), prefix_length(F.size("p_words"), t))
     )
@@ -39,7 +39,7 @@ def _meet(longer: DataFrame, shorter: DataFrame, keys: list[str], t: float, ties
         "_ip", F.slice("i_words", F.lit(1), index_prefix_length(F.size("i_words"), t))
     )
     np, ni = F.size("p_words"), F.size("i_words")
-    size = (ni >= np * t) & ((np >= ni) if ties else (np > ni))
+    size = (ni >= np * t) & ((np > ni) | ((np == ni) & ties))
     joined = p.withColumn("_w", F.explode("_pp")).join(i.withColumn("_w", F.explode("_ip")), [*keys, "_w"]).filter(size)
     return (
         joined.filter(F.array_intersect("_pp", "_ip")[0] == F.col("_w"))
@@ -52,19 +52,25 @@ def _meet(longer: DataFrame, shorter: DataFrame, keys: list[str], t: float, ties
 def similar_pairs(a: DataFrame, b: DataFrame | None, keys: Sequence[str], t: float) -> DataFrame:
     """All (a_id, b_id) within ``keys`` whose word sets have Jaccard similarity >= t.
 
-    ``a`` holds keys, a_id, a_words and ``b`` keys, b_id, b_words (None: ``a`` with itself). The longer set of a pair
+    ``a`` holds keys, a_id, a_words and ``b`` keys, b_id, b_words. With None for ``b``, ``a`` meets itself, and each pair
+    of different ids comes once, a_id < b_id. Pairs are the result: where very many sets share most of their words, their
+    number is quadratic. The longer set of a pair
     probes with its prefix words, the shorter is indexed under fewer of them, rarest first, so a word that very many
     short sets share indexes none of them; each pair is tested once, at its first common prefix word.
     """
     keys = list(keys)
     left = a.select(*keys, F.col("a_id").alias("id"), F.col("a_words").alias("words"))
-    right = left if b is None else b.select(*keys, F.col("b_id").alias("id"), F.col("b_words").alias("words"))
     words = left.select(*keys, F.explode("words").alias("_w"))
-    if b is not None:
-        words = words.unionByName(right.select(*keys, F.explode("words").alias("_w")))
+    if b is None:
+        sets = _ranked(left, words.groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_n")), keys)
+        met = _meet(sets, sets, keys, t, F.col("p_id") < F.col("i_id")).filter(F.col("p_id") != F.col("i_id"))
+        ends = F.least("p_id", "i_id").alias("a_id"), F.greatest("p_id", "i_id").alias("b_id")
+        return met.select(*keys, *ends, "similarity")
+    right = b.select(*keys, F.col("b_id").alias("id"), F.col("b_words").alias("words"))
+    words = words.unionByName(right.select(*keys, F.explode("words").alias("_w")))
     freq = words.groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_n"))
     left = _ranked(left, freq, keys)
-    right = left if b is None else _ranked(right, freq, keys)
-    first = _meet(left, right, keys, t, True).withColumnsRenamed({"p_id": "a_id", "i_id": "b_id"})
-    second = _meet(right, left, keys, t, False).withColumnsRenamed({"p_id": "b_id", "i_id": "a_id"})
+    right = _ranked(right, freq, keys)
+    first = _meet(left, right, keys, t, F.lit(True)).withColumnsRenamed({"p_id": "a_id", "i_id": "b_id"})
+    second = _meet(right, left, keys, t, F.lit(False)).withColumnsRenamed({"p_id": "b_id", "i_id": "a_id"})
     return first.unionByName(second).select(*keys, "a_id", "b_id", "similarity")

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from quire.functions import text as T, values as V
 from quire.operators.greedy import DocumentTitles, PageTitles, select
 from quire.operators.ordered import assemble_text, first_row, number_rows, top_rows
+from quire.operators.pages import BLOCKS_PER_SLICE, page_starts, page_summary, saved
 from quire.operators.similarity import similar_pairs
 
 PAGES_PER_SLICE = 64
-BLOCKS_PER_SLICE = 1000
 CANDIDATE = ["doc_id", "page_num", "title", "confidence", "method", "level"]
 
 
@@ -37,11 +37,12 @@ def outline_filter(outline: DataFrame) -> DataFrame:
 def font_stats(blocks: DataFrame) -> DataFrame:
     """Mean and largest positive font size of a document and its heading threshold."""
     size = F.when(F.col("font_size") > 0, F.col("font_size"))
-    return (
-        blocks.groupBy("doc_id")
-        .agg(F.avg(size).alias("avg_size"), F.max(size).alias("max_size"))
-        .filter(F.col("avg_size").isNotNull())
-        .withColumn("threshold", F.col("avg_size") + (F.col("max_size") - F.col("avg_size")) * 0.3)
+    return _with_threshold(blocks.groupBy("doc_id").agg(F.avg(size).alias("avg_size"), F.max(size).alias("max_size")))
+
+
+def _with_threshold(sizes: DataFrame) -> DataFrame:
+    return sizes.filter(F.col("avg_size").isNotNull()).withColumn(
+        "threshold", F.col("avg_size") + (F.col("max_size") - F.col("avg_size")) * 0.3
     )
 
 
@@ -56,6 +57,10 @@ def font_headings(blocks: DataFrame, stats: DataFrame) -> DataFrame:
         F.col("is_bold") & (F.length(T.ustrip("text")) > 2) & T.heading_likely("text")
     ).join(stats, "doc_id").filter(F.col("font_size") >= F.col("threshold"))
     best = _largest_per_page(likely.select("doc_id", "page_num", "block_id", "text", "font_size", "avg_size", "max_size"))
+    return _font_candidates(best)
+
+
+def _font_candidates(best: DataFrame) -> DataFrame:
     return best.select(
         "doc_id",
         F.col("page_num").cast("bigint").alias("page_num"),
@@ -72,6 +77,10 @@ def page_top_headings(blocks: DataFrame, top: float = 200, size: float = 14) ->
     best = _largest_per_page(
         blocks.filter(F.col("y0") < top).select("doc_id", "page_num", "block_id", "text", "font_size")
     )
+    return _top_candidates(best, size)
+
+
+def _top_candidates(best: DataFrame, size: float) -> DataFrame:
     return best.filter((F.col("font_size") > size) & T.heading_likely("text")).select(
         "doc_id",
         F.col("page_num").cast("bigint").alias("page_num"),
@@ -83,6 +92,18 @@ def page_top_headings(blocks: DataFrame, top: float = 200, size: float = 14) ->
     )
 
 
+def candidates_of_pages(pages: DataFrame, size: float = 14) -> list[DataFrame]:
+    """The candidates that font_headings and page_top_headings find, from a table of page summaries."""
+    sizes = pages.groupBy("doc_id").agg(
+        (F.sum("size_sum") / F.sum("n_sizes")).alias("avg_size"), F.max("max_size").alias("max_size"), F.sum("n_sizes").alias("n")
+    )
+    stats = _with_threshold(sizes.filter("n > 0").drop("n"))
+    headings = pages.filter("heading IS NOT NULL").select("doc_id", "page_num", "heading.*")
+    above = headings.join(stats, "doc_id").filter(F.col("font_size") >= F.col("threshold"))
+    tops = pages.filter("top_block IS NOT NULL").select("doc_id", "page_num", "top_block.*")
+    return [_font_candidates(above), _top_candidates(tops, size)]
+
+
 def merge_candidates(*detected: DataFrame) -> DataFrame:
     """All candidates of all detectors with their priority (bookmark first)."""
     rank = {m: i for i, m in enumerate(V.DETECTORS)}
@@ -137,8 +158,9 @@ def dedupe_titles(candidates: DataFrame, t: float = 0.9) -> DataFrame:
 
 
 def detect_chapters(outline: DataFrame, blocks: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
-    """Chapters of every document from all detectors, merged and de-duplicated."""
-    found = [outline_filter(outline), font_headings(blocks, font_stats(blocks)), page_top_headings(blocks)]
+    """Chapters of every document from all detectors, merged and de-duplicated. Blocks are read once, for a table of
+    page summaries in the shared folder."""
+    found = [outline_filter(outline), *candidates_of_pages(saved(page_summary(blocks), "pages"))]
     if proposals is not None:
         found.append(proposals)
     return dedupe_titles(chapter_conflicts(merge_candidates(*found)))
@@ -153,7 +175,7 @@ def title_similarity_join(titles: DataFrame, t: float = 0.5) -> DataFrame:
     sets = titles.select(T.title_words(T.title_key("title")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     key = F.array_join("w", " ")
     a = sets.select(key.alias("a_id"), F.col("w").alias("a_words"))
-    pairs = similar_pairs(a, None, [], t).filter(F.col("a_id") < F.col("b_id"))
+    pairs = similar_pairs(a, None, [], t)
     counts = sets.select(key.alias("k"), "n")
     return (
         pairs.join(counts.select(F.col("k").alias("a_id"), F.col("n").alias("n_a")), "a_id")
@@ -234,14 +256,9 @@ def structure_confidence(docs: DataFrame, chapters: DataFrame) -> DataFrame:
 
 def sample_first_pages(blocks: DataFrame, pages: int = 20, chars: int = 200, minimum: int = 3) -> DataFrame:
     """Start of the first ``pages`` pages as one prompt sample per document."""
-    numbered = blocks.select("doc_id", "page_num").distinct()
-    first = top_rows(numbered, ["doc_id"], [F.col("page_num")], pages)
-    texts = assemble_text(
-        blocks.join(first, ["doc_id", "page_num"]), ["doc_id", "page_num"], ["block_id"], "text",
-        [F.floor(F.col("block_id") / BLOCKS_PER_SLICE)],
-    ).filter("part = 0")
+    texts = top_rows(page_starts(blocks, chars), ["doc_id"], [F.col("page_num")], pages)
     line = F.concat(
-        F.lit("Page "), (F.col("page_num") + 1).cast("string"), F.lit(":\n"), F.substring("text", 1, chars), F.lit("...\n\n")
+        F.lit("Page "), (F.col("page_num") + 1).cast("string"), F.lit(":\n"), F.col("start"), F.lit("...\n\n")
     )
     return (
         texts.groupBy("doc_id")
@@ -253,10 +270,7 @@ def sample_first_pages(blocks: DataFrame, pages: int = 20, chars: int = 200, min
 
 def page_heads(blocks: DataFrame, chars: int = 100) -> DataFrame:
     """First characters of each page's text."""
-    texts = assemble_text(
-        blocks, ["doc_id", "page_num"], ["block_id"], "text", [F.floor(F.col("block_id") / BLOCKS_PER_SLICE)]
-    ).filter("part = 0")
-    return texts.select("doc_id", F.col("page_num").cast("bigint").alias("page_num"), F.substring("text", 1, chars).alias("head"))
+    return page_starts(blocks, chars).select("doc_id", F.col("page_num").cast("bigint").alias("page_num"), F.col("start").alias("head"))
 
 
 def ai_chapter_verify(responses: DataFrame, heads: DataFrame) -> DataFrame:

@@ -120,18 +120,21 @@ def clean_titles(chapters: DataFrame, title: str = "title") -> DataFrame:
 
 
 def chunk_chapters(docs: DataFrame, doc: str = "doc_id", text: str = "text", n: int = 5000) -> DataFrame:
-    """Chapters of ``n`` characters; blank ones are dropped but keep their number."""
-    starts = F.sequence(F.lit(0), F.length(text) - 1, F.lit(n))
-    number = (F.col("at") / n).cast("int") + 1
+    """Chapters of ``n`` characters; blank ones are dropped but keep their number.
+
+    One pass over a text cuts it, and a row carries its own characters only.
+    """
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
+    number = F.col("at") + 1
     return (
         docs.filter(F.length(text) > 0)
-        .select(doc, text, F.explode(starts).alias("at"))
+        .select(doc, F.posexplode(pieces).alias("at", "content"))
         .select(
             doc,
             number.alias("chapter_no"),
             F.concat(F.lit("第"), number.cast("string"), F.lit("章")).alias("title"),
             F.format_string("chap_%03d.xhtml", number).alias("file_name"),
-            F.substr(F.col(text), F.col("at") + 1, F.lit(n)).alias("content"),
+            "content",
         )
         .filter(~T.is_blank("content"))
     )

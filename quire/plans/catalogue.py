@@ -5,16 +5,42 @@ from pyspark.sql import functions as F
 from quire.functions import values as V
 from quire.operators import catalogue as ops
 from quire.plans.registry import query
-from quire.sources.views import check_sql
+from quire.session import work_path
+from quire.sources import files as src
+from quire.sources.views import NAME, VIEWS, check_sql
 
 NOW = 1704067200 + 500_000  # fixed clock for retention
 FMT = "CASE WHEN regexp_extract(name, '\\.([^.]+)$', 1) IN ('epub','pdf','txt','mobi','azw3','docx','html','md') THEN regexp_extract(name, '\\.([^.]+)$', 1) END"
 UUID = "^([0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32})$"
 
 
-@query("scan_file_catalogue", check_sql("v_files", "SELECT file_id, name, size_bytes, modified_s FROM v_files WHERE area = 'outputs'"))
+FOLDERS = 60  # folders the document texts are written to, as files of their own names
+
+
+def _written_files(t, view):
+    """The texts of all documents as files, one for each of a view's first paths, and the folder they are in."""
+    kept = {e.split(" AS ")[-1]: e for e in VIEWS[view][1]}
+    names = [n for n in ("area", "rel_path", "name") if n in kept]
+    exprs = [kept[n] for n in names]
+    books = t.documents.select((F.col("doc_id") % FOLDERS).alias("doc_id"), "n_chars", "text").selectExpr(*exprs, "text")
+    path = work_path(t.spark, "files")
+    books.repartition(*names).write.partitionBy(*names).text(path)
+    return path
+
+
+def _value(name):
+    """The value that a partition folder's name holds."""
+    return F.url_decode(F.regexp_extract("rel_path", f"(?:^|/){name}=([^/]*)/", 1))
+
+
+@query("scan_file_catalogue", f"""WITH f AS (SELECT doc_id % {FOLDERS} AS doc_id, text FROM documents)
+    SELECT {NAME} AS name, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size_bytes FROM f WHERE doc_id % 3 = 0 GROUP BY 1""")
 def scan_file_catalogue(t):
-    return ops.list_files(t.v_files, "outputs").select("file_id", "name", "size_bytes", "modified_s")
+    """A listing of written files, by name pattern and time; no content is read."""
+    path = _written_files(t, "v_files")
+    files = src.read_file_catalogue(t.spark, f"{path}/area=outputs", "outputs", pattern="*.txt", after="2000-01-01T00:00:00")
+    named = files.withColumns({"name": _value("name"), "file_id": F.col("rel_path")})
+    return ops.list_files(named, "outputs").select("name", "size_bytes")
 
 
 @query("catalogue_totals", check_sql("v_files", "SELECT count(*) AS total_files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM v_files WHERE area = 'outputs'"))
@@ -22,12 +48,16 @@ def catalogue_totals(t):
     return ops.file_totals(t.v_files, "outputs")
 
 
-@query("scan_supported_files", check_sql(
-    "v_paths",
-    "SELECT file_id, rel_path, lower(regexp_extract(rel_path, '\\.([^.]+)$', 1)) AS format FROM v_paths WHERE NOT contains(rel_path, '/')"
-    " AND rel_path NOT LIKE '.%' AND lower(rel_path) NOT LIKE '%.xyz'"))
+_PATH = next(e for e in VIEWS["v_paths"][1] if e.endswith(" AS rel_path")).removesuffix(" AS rel_path")
+
+
+@query("scan_supported_files", f"""WITH f AS (SELECT doc_id % {FOLDERS} AS doc_id, text FROM documents), p AS (
+    SELECT {_PATH} AS rel_path, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size_bytes FROM f GROUP BY 1)
+    SELECT rel_path, size_bytes, lower(regexp_extract(rel_path, '\\.([^.]+)$', 1)) AS format FROM p WHERE NOT contains(rel_path, '/')
+    AND rel_path NOT LIKE '.%' AND lower(rel_path) NOT LIKE '%.xyz'""")
 def scan_supported_files(t):
-    return ops.supported_files(t.v_paths).select("file_id", "rel_path", "format")
+    files = src.read_file_catalogue(t.spark, _written_files(t, "v_paths"), "uploads", pattern="*.txt")
+    return ops.supported_files(files.withColumn("rel_path", _value("rel_path"))).select("rel_path", "size_bytes", "format")
 
 
 @query("files_newest_first", check_sql("v_files", "SELECT file_id, name, modified_s FROM v_files WHERE area = 'uploads' ORDER BY modified_s DESC"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import quality as ops, structure, text as textops
 from quire.plans.registry import query
-from quire.plans.structure import CHAPTER_STEPS, CONFIDENCE, DETECTORS, MERGED, _candidates
+from quire.plans.structure import CHAPTER_STEPS, CONFIDENCE, DETECTORS, MERGED, _candidates, _pages
 from quire.sources.views import check_sql
 
 SCAN = """SELECT m.doc_id, CASE WHEN page_count = 0 THEN 1.0 WHEN c / page_count < 50 THEN 0.9 WHEN c / page_count < 100 THEN 0.6 WHEN c / page_count < 200 THEN 0.3 ELSE 0.1 END::DOUBLE AS scan_probability
@@ -101,8 +101,9 @@ SCORE = """SELECT m.doc_id, round(least(100.0, 50.0 + CASE WHEN m.title IS NOT N
 @query("quality_score", check_sql(
     "v_blocks v_outline v_responses v_meta v_images", SCORE, **DETECTORS, mc=MERGED, cf=CONFIDENCE, sc=SCAN))
 def quality_score(t):
-    confidence = structure.structure_confidence(t.documents, _candidates(t))
-    return ops.quality_score(t.v_meta, ops.scan_probability(t.v_blocks, t.v_meta), confidence, t.v_images)
+    pages = _pages(t)
+    confidence = structure.structure_confidence(t.documents, _candidates(t, pages))
+    return ops.quality_score(t.v_meta, ops.scan_probability(pages, t.v_meta), confidence, t.v_images)
 
 
 @query("document_quality", check_sql(
@@ -110,9 +111,10 @@ def quality_score(t):
     **CHAPTER_STEPS, cf=CONFIDENCE.replace("FROM mc)", "FROM kt)"), sc=SCAN))
 def document_quality(t):
     """Flagship: blocks and outline -> detectors -> greedy merge -> confidence -> score."""
-    chapters = structure.dedupe_titles(structure.chapter_conflicts(_candidates(t)))
+    pages = _pages(t)
+    chapters = structure.dedupe_titles(structure.chapter_conflicts(_candidates(t, pages)))
     confidence = structure.structure_confidence(t.documents, chapters)
-    scores = ops.quality_score(t.v_meta, ops.scan_probability(t.v_blocks, t.v_meta), confidence, t.v_images)
+    scores = ops.quality_score(t.v_meta, ops.scan_probability(pages, t.v_meta), confidence, t.v_images)
     return scores.join(confidence, "doc_id")
 
 

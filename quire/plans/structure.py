@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.operators import structure as ops
+from quire.operators.pages import page_summary, saved
 from quire.plans import sql as S
 from quire.plans.registry import query
 from quire.sources.views import check_sql
@@ -60,13 +61,16 @@ def ai_chapter_verify(t):
     return _show(ops.ai_chapter_verify(t.v_responses, ops.page_heads(t.v_blocks)))
 
 
-def _candidates(t):
-    blocks = t.v_blocks
+def _pages(t):
+    """Page summaries: the blocks are read once for all detectors."""
+    return saved(page_summary(t.v_blocks), "pages")
+
+
+def _candidates(t, pages=None):
+    pages = _pages(t) if pages is None else pages
+    heads = pages.select("doc_id", F.col("page_num").cast("bigint").alias("page_num"), F.col("start").alias("head"))
     return ops.merge_candidates(
-        ops.outline_filter(t.v_outline),
-        ops.font_headings(blocks, ops.font_stats(blocks)),
-        ops.page_top_headings(blocks),
-        ops.ai_chapter_verify(t.v_responses, ops.page_heads(blocks)),
+        ops.outline_filter(t.v_outline), *ops.candidates_of_pages(pages), ops.ai_chapter_verify(t.v_responses, heads),
     )
 
 

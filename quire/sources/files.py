@@ -10,9 +10,20 @@ from quire.functions import text as T
 from quire.operators.metrics import LOG_SCHEMA
 
 
-def read_file_catalogue(spark: SparkSession, path: str, area: str, recursive: bool = True) -> DataFrame:
-    """Files under a folder with size and time; their content is never read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+def read_file_catalogue(
+    spark: SparkSession, path: str, area: str, recursive: bool = True,
+    pattern: str | None = None, after: str | None = None, before: str | None = None,
+) -> DataFrame:
+    """Files under a folder with size and time; their content is never read.
+
+    ``pattern`` (of the file name), ``after`` and ``before`` (of the modification time, as 2024-01-31T00:00:00) are
+    applied to the listing itself.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    for option, value in (("pathGlobFilter", pattern), ("modifiedAfter", after), ("modifiedBefore", before)):
+        if value is not None:
+            reader = reader.option(option, value)
+    raw = reader.load(path)
     root = path.rstrip("/") + "/"
     rel = F.substring_index("path", root, -1)
     return raw.select(

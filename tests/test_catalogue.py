@@ -15,6 +15,10 @@ def test_read_catalogue_and_usage(spark, tmp_path):
         (tmp_path / "up" / name).write_bytes(b"x" * n)
     os.utime(tmp_path / "up" / "a.epub", (1000, 1000))
     files = read_file_catalogue(spark, str(tmp_path / "up"), "uploads")
+    assert "content" not in files._jdf.queryExecution().executedPlan().toString()
+    assert read_file_catalogue(spark, str(tmp_path / "up"), "uploads", after="2999-01-01T00:00:00").count() == 0
+    assert read_file_catalogue(spark, str(tmp_path / "up"), "uploads", before="2999-01-01T00:00:00").count() == files.count()
+    assert read_file_catalogue(spark, str(tmp_path / "up"), "uploads", pattern="*.nothing").count() == 0
     got = {r.rel_path: r.size_bytes for r in files.collect()}
     assert got["a.epub"] == 1024 and got["b.pdf"] == 2048 and got["sub/c.txt"] == 1000
     assert "content" not in files.columns

@@ -122,6 +122,35 @@ def test_text_choice_keeps_all_parts(spark):
     assert got == [(1, "ocr", 0, "ab"), (1, "ocr", 1, "c"), (2, "extracted", 0, "longer text"), (3, "ocr", 0, "only"), (4, "extracted", 0, "x")]
 
 
+def test_never_more_calls_are_open_than_allowed(spark):
+    import threading
+    import time
+
+    lock, state = threading.Lock(), {"open": 0, "most": 0, "order": []}
+
+    def one(row, given_up):
+        with lock:
+            state["open"] += 1
+            state["most"] = max(state["most"], state["open"])
+            state["order"].append(row[0])
+        time.sleep(1.0 if row[0] in ("p2", "p3", "p4") else 0.02)
+        with lock:
+            state["open"] -= 1
+        return (True, row[0], None, None, 0.0, None, None)
+
+    window = ai._Window(one, 3, 0.3)
+    rows = [(f"p{i}", 5, None, None) for i in range(40)]
+    rows[7] = (None, 5, None, None)
+    got = window.answers(rows)
+    assert state["most"] == 3 and state["order"] == sorted(state["order"], key=lambda p: int(p[1:]))
+    assert [a[6] for a in got[2:5]] == ["no answer within 0.3 s"] * 3 and got[7][6] == "no prompt"
+    # p2 to p4 fill the window beyond their limit: rows that would have begun meanwhile say so
+    stuck = [i for i, a in enumerate(got) if a[6] == "no call came free within 0.3 s"]
+    assert stuck and all(a[0] for i, a in enumerate(got) if i not in (2, 3, 4, 7, *stuck))
+    time.sleep(1.2)
+    assert all(a[0] for a in window.answers([(f"q{i}", 5, None, None) for i in range(9)]))  # and it is free again
+
+
 def test_calls_run_side_by_side_and_end_in_time(spark):
     import time
 

@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from quire.operators import greedy
+from quire.operators import greedy, pages
 from quire.operators import structure as ops
 from quire.operators.similarity import similar_pairs
 
@@ -147,7 +147,7 @@ def test_hot_words_do_not_pair_up(spark):
     sets = spark.range(n).selectExpr("id as a_id", "array('chapter', cast(id as string)) as a_words")
     pairs = similar_pairs(sets, None, [], 0.5)
     pairs.filter("a_id <> b_id").write.format("noop").mode("overwrite").save()
-    assert pairs.count() == n
+    assert pairs.count() == 0
     plan = pairs._jdf.queryExecution()
     plan.toRdd().count()
     rows = [int(m) for m in __import__("re").findall(r"Join[^\n]*rows: (\d+)", plan.executedPlan().toString())]
@@ -167,6 +167,18 @@ def test_similar_pairs_is_exact(spark):
         assert got == want
 
 
+def test_a_set_with_itself_gives_each_pair_once(spark):
+    rnd = random.Random(8)
+    sets = [(i, sorted({f"w{rnd.randrange(9)}" for _ in range(rnd.randint(1, 6))})) for i in range(80)]
+    found = similar_pairs(spark.createDataFrame(sets, "a_id int, a_words array<string>"), None, [], 0.5)
+    want = {
+        (i, j): len(set(x) & set(y)) / len(set(x) | set(y)) for i, x in sets for j, y in sets
+        if i < j and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.5
+    }
+    rows = found.collect()
+    assert len(rows) == len(want) and all(abs(want[r.a_id, r.b_id] - r.similarity) < 1e-12 for r in rows)
+
+
 BLOCK = "doc_id int, block_id long, page_num int, y0 double, x0 double, font_size double, is_bold boolean, text string"
 
 
@@ -207,3 +219,35 @@ def test_ai_lines_need_a_page_and_a_title(spark):
     responses = spark.createDataFrame([(1, 0, "page 1: Chapter\nPage 2:x\nPage 9: Gone\nnoise\n Page 1: Real one ")], "doc_id int, ord long, response string")
     heads = spark.createDataFrame([(1, 0, "The start. More"), (1, 1, "No")], "doc_id int, page_num long, head string")
     assert sorted(r.title for r in ops.ai_chapter_verify(responses, heads).collect()) == ["Real one", "The start"]
+
+
+def test_page_summaries_equal_the_detectors_over_blocks(spark):
+    rnd = random.Random(12)
+    rows = []
+    for d in range(12):
+        for i in range(rnd.choice([1, 30, 300])):
+            text = rnd.choice([None, "", "  ", "Intro", "Part one", "this is the end.", "1. Start", "x" * 250, f"Chapter {i}"])
+            rows.append((d, i * rnd.choice([1, 700]), rnd.randrange(6), rnd.choice([10.0, 150.0, 300.0]), 0.0, rnd.choice([8.0, 12.0, 20.0, 0.0, None]), rnd.random() < 0.5, text))
+    blocks = spark.createDataFrame(rows, BLOCK).repartition(5).dropDuplicates(["doc_id", "block_id", "page_num"])
+    blocks = pages.saved(blocks, "blocks")
+    summary = pages.saved(pages.page_summary(blocks), "summary")
+    fonts, tops = ops.candidates_of_pages(summary)
+    shown = lambda df: sorted(tuple(r) for r in df.collect())
+    assert shown(fonts) == shown(ops.font_headings(blocks, ops.font_stats(blocks))) and fonts.count() > 10
+    assert shown(tops) == shown(ops.page_top_headings(blocks)) and tops.count() > 2
+    held = {}
+    for r in blocks.collect():
+        held.setdefault((r.doc_id, r.page_num), []).append((r.block_id, r.text))
+    joined = {k: " ".join(t for _, t in sorted(v, key=lambda x: x[0]) if t is not None) for k, v in held.items()}
+    assert {(r.doc_id, r.page_num): r.start for r in summary.collect()} == {k: t[:100] for k, t in joined.items()}
+    assert {(r.doc_id, r.page_num): r.head for r in ops.page_heads(blocks, 7).collect()} == {k: t[:7] for k, t in joined.items()}
+    chars = {k: sum(len(t) for _, t in v if t is not None) for k, v in held.items()}
+    assert {(r.doc_id, r.page_num): r.n_chars or 0 for r in summary.collect()} == chars
+
+
+def test_page_summary_reads_blocks_once(spark, tmp_path):
+    spark.createDataFrame([(1, 0, 0, 10.0, 0.0, 30.0, True, "Intro")], BLOCK).write.parquet(str(tmp_path / "b"))
+    plan = pages.page_summary(spark.read.parquet(str(tmp_path / "b")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    empty = pages.page_summary(spark.createDataFrame([], BLOCK))
+    assert empty.count() == 0

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,14 @@ def test_paragraphs_and_chunks(spark):
     assert got == [(1, "第1章", "chap_001.xhtml"), (3, "第3章", "chap_003.xhtml")]
 
 
+def test_chunks_of_a_very_long_text(spark):
+    df = spark.range(1).selectExpr("1 as doc_id", "repeat('añ★\n😀', 4000000) as text")  # 20 million characters, 44 MB
+    start = time.time()
+    rows = ops.chunk_chapters(df).select("chapter_no", F.length("content").alias("n"), F.substring("content", 1, 5).alias("head")).collect()
+    assert time.time() - start < 60
+    assert [r.chapter_no for r in sorted(rows)] == list(range(1, 4001)) and {(r.n, r.head) for r in rows} == {(5000, "añ★\n😀")}
+
+
 def test_decoding_order(spark):
     rows = [(1, "你好 é".encode()), (2, bytes.fromhex("C4E3BAC3")), (3, bytes.fromhex("FFFF41")), (4, b"")]
     df = spark.createDataFrame(rows, "id int, content binary")
