@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import values as V
-from quire.operators.ordered import number_rows
+from quire.operators.ordered import number_by_range
 
 
 def latest_progress(events: DataFrame) -> DataFrame:
@@ -134,11 +134,10 @@ def batch_status_v2(jobs: DataFrame) -> DataFrame:
 def batch_nested(tasks: DataFrame, max_tasks: int = V.MAX_BATCH_FILES) -> DataFrame:
     """Batches with their tasks as nested arrays, in order of task id: parts of ``max_tasks`` tasks each, part 0 first.
 
-    The last part of a batch may be shorter; a batch within the size limit has one part, and no row holds more.
+    The last part of a batch may be shorter; a batch within the size limit has one part, and no row holds more. Tasks
+    are numbered in ranges of (batch, task) of equal size, so a batch of any size spreads evenly.
     """
-    rows = tasks.select("batch_id", "task_id", "status")
-    order = [F.col("task_id"), F.col("status")]
-    numbered = number_rows(rows, ["batch_id"], order, [F.substring("task_id", 1, 8)], "_no")
+    numbered = number_by_range(tasks.select("batch_id", "task_id", "status"), ["batch_id"], ["task_id", "status"], "_no")
     return (
         numbered.withColumn("part", F.floor((F.col("_no") - 1) / max_tasks).cast("int"))
         .groupBy("batch_id", "part")

@@ -9,10 +9,16 @@ slice is ever put in order per key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quire.session import work_path
+
 PART_CHARS = 16_000_000  # size of one assembled text part
 
 
@@ -58,6 +64,66 @@ def number_rows(
     return numbered.drop("_before", *names)
 
 
+def _count_up(keys: int):
+    """Adds the task's number and each row's position within its key to sorted rows, whose first columns are the keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        last, count = None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            begins = np.zeros(n, bool)
+            for k in range(keys):
+                code = pc.dictionary_encode(batch.column(k), null_encoding="encode").indices.to_numpy()
+                begins[1:] |= code[1:] != code[:-1]
+            first, final = (tuple(batch.column(k)[i].as_py() for k in range(keys)) for i in (0, n - 1))
+            begins[0] = last is None or first != last
+            at = np.arange(n)
+            start = np.maximum.accumulate(np.where(begins, at, -1))
+            position = np.where(start >= 0, at - start, at + count) + 1
+            last, count = final, int(position[-1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(n, task, np.int32)), pa.array(position)],
+                names=[*batch.schema.names, "_task", "_k"],
+            )
+
+    return run
+
+
+def number_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """1-based position of each row within ``keys`` by the columns ``order`` (nulls first).
+
+    Rows are dealt by ranges of (keys, order), whose bounds Spark samples, so tasks get equal shares however the rows of a
+    key are spread. Each task counts its rows in order; the counted rows are written to the shared folder. Only the first
+    key of a task can have begun before it: what came before is one number per task, looked up on the driver.
+    """
+    spark, rest = df.sparkSession, [c for c in df.columns if c not in keys]
+    rows = df.select(*keys, *rest).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    path = work_path(spark, "numbered")
+    rows.mapInArrow(_count_up(len(keys)), f"{fields}, _task int, _k long").write.parquet(path)
+    counted = spark.read.schema(f"{fields}, _task int, _k long").parquet(path)
+    key = F.struct(*keys)
+    ends = counted.groupBy("_task").agg(
+        F.min(key).alias("first"), F.max(key).alias("last"), F.max_by("_k", F.struct(key.alias("k"), "_k")).alias("n")
+    )
+    before, carried, running = [], 0, None
+    for r in sorted(ends.collect(), key=lambda r: r["_task"]):  # a row per task
+        own = carried if running is not None and running == r["first"] else 0
+        if own:
+            before.append((r["_task"], own))
+        carried, running = r["n"] + (own if r["first"] == r["last"] else 0), r["last"]
+    number = F.col("_k")
+    if before:
+        firsts = ends.select("_task", F.col("first").alias("_first"))
+        known = F.broadcast(spark.createDataFrame(before, "_task int, _before long").join(firsts, "_task"))
+        counted = counted.join(known, "_task", "left")
+        number = number + F.when(key.eqNullSafe(F.col("_first")), F.col("_before")).otherwise(0)
+    return counted.withColumn(out, number).select(*df.columns, out)
+
+
 def assemble_text(
     df: DataFrame,
     keys: Sequence[str],

@@ -4,7 +4,6 @@ import re
 
 from pyspark.sql import functions as F
 
-from quire.functions import values as V
 from quire.operators import inference as ops
 from quire.plans import sql as S
 from quire.plans.registry import query
@@ -37,7 +36,13 @@ def ai_summary_requests(t):
     return ops.summary_requests(t.v_ai_texts).select("doc_id", "provider", "prompt", "max_tokens")
 
 
-_LEADS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.ENHANCE_PROMPTS.items())
+# fixed values, written out for the check
+_LEADS = """
+    WHEN 'improve_readability' THEN '请改善以下文本的可读性，使其更易于理解，保持原意：'
+    WHEN 'fix_grammar' THEN '请修正以下文本中的语法错误和拼写错误：'
+    WHEN 'translate_to_chinese' THEN '请将以下文本翻译成中文：'
+    WHEN 'translate_to_english' THEN '请将以下文本翻译成英文：'
+    WHEN 'format_content' THEN '请对以下文本进行格式化，添加适当的段落分隔和标点符号：'"""
 ENHANCE = f"""SELECT doc_id, lead || chr(10) || chr(10) || substring(text, 1, 3000) AS prompt, CASE WHEN lead IS NOT NULL THEN 1000 END AS max_tokens,
     CASE WHEN lead IS NULL THEN concat('Unsupported enhancement type: ', enhancement_type) END AS error FROM (SELECT *, CASE enhancement_type {_LEADS} END AS lead FROM v_ai_texts)"""
 
@@ -47,7 +52,13 @@ def ai_enhance_requests(t):
     return ops.enhance_requests(t.v_ai_texts).select("doc_id", "prompt", "max_tokens", "error")
 
 
-_OPTIONS = ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in V.REQUEST_OPTIONS.items())
+# fixed values, written out for the check
+_OPTIONS = """
+    ('summary', 300, 0.3),
+    ('writing_improvement', 1000, 0.5),
+    ('translation', 1500, 0.2),
+    ('chapter_generation', 500, 0.7),
+    ('formatting', 800, 0.3)"""
 _KIND = "CASE doc_id % 6 WHEN 0 THEN 'summary' WHEN 1 THEN 'writing_improvement' WHEN 2 THEN 'translation' WHEN 3 THEN 'chapter_generation' WHEN 4 THEN 'formatting' ELSE 'other' END AS kind"
 
 

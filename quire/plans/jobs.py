@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from quire.functions import values as V
 from quire.operators import jobs as ops, metrics
 from quire.plans.registry import query
+from quire.session import work_path
+from quire.sources import files as src
 from quire.sources.views import check_sql
 
 NOW = 700_000.0  # fixed clock of progress queries, seconds
@@ -109,7 +110,13 @@ def task_failures(t):
     return ops.task_failures(ops.batch_nested(t.v_batch_tasks))
 
 
-_W = " ".join(f"WHEN '{s}' THEN {w}" for s, w in V.STAGE_WEIGHTS.items())
+# fixed values, written out for the check
+_W = """
+    WHEN 'pdf_analysis' THEN 0.1
+    WHEN 'content_extraction' THEN 0.3
+    WHEN 'structure_recognition' THEN 0.2
+    WHEN 'ai_enhancement' THEN 0.2
+    WHEN 'epub_generation' THEN 0.2"""
 
 
 @query("stage_progress", check_sql(
@@ -188,13 +195,15 @@ def rate_limit_flags(t):
 
 @query("scan_json_logs", check_sql(
     "v_json_logs",
-    """SELECT line_no, CASE WHEN v THEN line ->> '$.level' END AS level, CASE WHEN v THEN line ->> '$.logger' END AS logger, CASE WHEN v THEN line ->> '$.message' END AS message,
+    """SELECT CASE WHEN v THEN line ->> '$.level' END AS level, CASE WHEN v THEN line ->> '$.logger' END AS logger, CASE WHEN v THEN line ->> '$.message' END AS message,
     CASE WHEN v THEN CAST(line ->> '$.line' AS INT) END AS line, CASE WHEN v THEN line ->> '$.task_id' END AS task_id, CASE WHEN v THEN CAST(line ->> '$.duration' AS DOUBLE) END AS duration,
-    NOT v AS is_corrupt FROM (SELECT line_no, line, json_valid(line) AS v FROM v_json_logs)"""))
+    CASE WHEN NOT v THEN line END AS corrupt FROM (SELECT line, json_valid(line) AS v FROM v_json_logs)"""))
 def scan_json_logs(t):
-    return metrics.parse_logs(t.v_json_logs).select(
-        "line_no", "level", "logger", "message", "line", "task_id", "duration",
-        F.col("_corrupt_record").isNotNull().alias("is_corrupt"),
+    """Log files as they were written: one JSON object a line, some of them broken."""
+    path = work_path(t.spark, "logs")
+    t.v_json_logs.select("line").write.text(path)
+    return src.read_json_logs(t.spark, path).select(
+        "level", "logger", "message", "line", "task_id", "duration", F.col("_corrupt_record").alias("corrupt")
     )
 
 
@@ -237,7 +246,28 @@ def error_code_rollup(t):
     return metrics.error_code_rollup(metrics.classify_errors(t.v_errors))
 
 
-_TEMPLATES = ", ".join(f"('{c}', '{a}', '{b}', '{'|'.join(s)}')" for c, (a, b, s) in V.ERROR_TEMPLATES.items())
+# fixed values, written out for the check
+_TEMPLATES = """
+    ('FILE_NOT_FOUND', '文件未找到', '您指定的文件不存在，请检查文件路径是否正确。',
+     '确认文件路径拼写正确|检查文件是否已被移动或删除|尝试重新上传文件'),
+    ('FILE_PROCESSING_ERROR', '文件处理失败', '处理您的文件时出现问题，可能是文件格式不受支持或文件已损坏。',
+     '确认文件格式是否受支持（EPUB、PDF、TXT）|检查文件是否完整且未损坏|尝试使用其他文件'),
+    ('VALIDATION_ERROR', '输入验证失败', '您提供的信息格式不正确，请检查输入内容。',
+     '检查必填字段是否完整|确认数据格式符合要求|参考API文档中的示例'),
+    ('CONVERSION_ERROR', '格式转换失败', '无法将文件转换为目标格式，请检查文件内容和格式要求。',
+     '确认源文件格式正确|检查目标格式是否受支持|如果是大文件，请稍后重试'),
+    ('CONVERSION_TIMEOUT', '转换超时', '文件转换时间过长，可能是文件太大或服务器繁忙。',
+     '尝试转换较小的文件|稍后重试|联系技术支持获取帮助'),
+    ('AI_SERVICE_ERROR', 'AI服务暂时不可用', 'AI处理服务遇到问题，请稍后再试。',
+     '等待几分钟后重试|检查网络连接|如问题持续存在，请联系支持团队'),
+    ('CONFIGURATION_ERROR', '系统配置错误', '服务配置有误，请联系管理员。',
+     '联系系统管理员|稍后重试|查看系统状态页面'),
+    ('SECURITY_ERROR', '访问被拒绝', '您没有权限执行此操作。',
+     '检查您的访问权限|联系管理员获取权限|确认您已正确登录'),
+    ('INTERNAL_ERROR', '系统内部错误', '系统遇到了意外错误，我们正在调查此问题。',
+     '稍后重试|如问题持续存在，请联系技术支持|记录错误ID以便技术支持定位问题'),
+    ('HTTP_ERROR', '请求错误', '您的请求格式不正确或包含无效数据。',
+     '检查请求参数|参考API文档|确认请求方法正确')"""
 
 
 @query("error_messages", check_sql(

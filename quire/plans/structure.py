@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from quire.operators import structure as ops
 from quire.operators.pages import page_summary, saved
+from quire.operators.text import render_chapter_html
 from quire.plans import sql as S
 from quire.plans.registry import query
+from quire.plans.text import _HEAD, _TAIL, _esc
 from quire.sources.views import check_sql
 
 _T = S.ustrip("title")
@@ -211,6 +213,19 @@ def book_chapters(t):
     return ops.chapter_content(ops.chapter_ranges(_chapters(t), t.v_blocks), t.v_blocks)
 
 
+@query("book_html", check_sql(
+    VIEWS,
+    f"""SELECT doc_id, chapter_no, 0 AS part, file_name, concat('{_HEAD[0]}', {_esc('title')}, '{_HEAD[1]}', {_esc('title')}, '{_HEAD[2]}', '<p>', {_esc('content')}, '</p>', '{_TAIL}') AS html
+    FROM (SELECT r.doc_id, r.chapter_no, r.title, coalesce(string_agg(b.text, ' ' ORDER BY b.page_num, b.block_id), '') AS content, printf('chapter_%03d.xhtml', r.chapter_no) AS file_name
+    FROM ra r LEFT JOIN v_blocks b ON b.doc_id = r.doc_id AND b.page_num BETWEEN r.start_page AND r.end_page GROUP BY r.doc_id, r.chapter_no, r.title)""",
+    **CHAPTER_STEPS, kt2=f"SELECT * REPLACE ({S.clean_title('title')} AS title) FROM kt", ra=BOOK_RANGES))
+def book_html(t):
+    """The chain to its end: the detected chapters as pages of the book."""
+    chapters = ops.chapter_content(ops.chapter_ranges(_chapters(t), t.v_blocks), t.v_blocks)
+    pages = render_chapter_html(chapters.withColumn("has_images", F.lit(False)))
+    return pages.select("doc_id", "chapter_no", "part", "file_name", "html")
+
+
 CONFIDENCE = """SELECT d.doc_id, count(m.doc_id) AS n_chapters, round(CAST(coalesce(sum(confidence * w) / sum(w), 0) AS DOUBLE), 6) AS total_confidence FROM documents d
     LEFT JOIN (SELECT *, CASE method WHEN 'bookmark' THEN 1.0 WHEN 'font_analysis' THEN 0.8 WHEN 'page_pattern' THEN 0.6 WHEN 'ai_analysis' THEN 0.7 ELSE 0.5 END::DOUBLE AS w FROM mc) m
     ON m.doc_id = d.doc_id GROUP BY d.doc_id"""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.functions import text as T, values as V
+from quire.functions import text as T
 from quire.operators import text as ops
 from quire.plans import sql as S
 from quire.plans.registry import query
@@ -92,14 +92,28 @@ def txt_paragraphs(t):
 
 
 def _esc(e):
-    for raw, safe in V.HTML_ESCAPES:
-        raw = raw.replace("'", "''")
-        e = f"replace({e}, '{raw}', '{safe}')"
-    return e
-
-
-_HEAD = V.CHAPTER_HTML_HEAD.replace("'", "''").split("{title}")
-_TAIL = V.CHAPTER_HTML_TAIL
+    return f"""replace(replace(replace(replace(replace({e}, '&', '&amp;'), '"', '&quot;'), '''', '&#39;'), '>', '&gt;'), '<', '&lt;')"""
+
+
+# fixed values, written out for the check
+_HEAD = """<!DOCTYPE html>
+<html xmlns="http://www.w3.org/1999/xhtml">
+<head>
+    <title>{title}</title>
+    <meta charset="utf-8"/>
+    <link rel="stylesheet" type="text/css" href="../style/nav.css"/>
+</head>
+<body>
+    <div class="chapter">
+        <h1 class="chapter-title">{title}</h1>
+        <div class="chapter-content">
+""".split("{title}")
+_TAIL = """
+        </div>
+    </div>
+</body>
+</html>
+"""
 
 
 @query(

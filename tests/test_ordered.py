@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from quire.operators.ordered import assemble_text, first_row, number_rows, top_rows
+from quire.operators.ordered import assemble_text, first_row, number_by_range, number_rows, top_rows
 
 
 def rows(n=3000):
@@ -74,3 +75,31 @@ def test_no_key_wide_exchange_or_window_holds_text(spark):
     plan = assemble_text(texts, ["k"], ["v", "id"], "t", [F.floor(F.col("v") / 16)])._jdf.queryExecution().optimizedPlan()
     lines = [x for x in plan.toString().splitlines() if "Window" in x]
     assert lines and all(" t#" not in x and "_t" not in x for x in lines)
+
+
+@pytest.mark.parametrize("hot, parts", [(0.0, 4), (0.7, 16), (1.0, 16)])
+def test_numbers_by_range_equal_a_window(spark, hot, parts):
+    rnd = random.Random(parts)
+    rows = [(None if rnd.random() < 0.02 else 7 if rnd.random() < hot else rnd.randrange(30), rnd.choice([None, f"task-0000{rnd.randrange(3000)}"]), i % 3) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k int, t string, s int").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((tuple(r) for r in number_by_range(df, ["k"], ["t", "s"], "no").collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = []
+    for k in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or "", r[2]))
+        want += [(*r, i + 1) for i, r in enumerate(mine)]
+    assert got == sorted(want, key=str)
+
+
+def test_a_hot_key_is_dealt_in_equal_shares(spark):
+    df = spark.range(200_000).selectExpr("1 as k", "concat('task-0000-', lpad(id, 9, '0')) as t")
+    rows = df.repartitionByRange(8, "k", "t").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(rows) == 8 and max(r["count"] for r in rows) < 60_000
+    assert number_by_range(df, ["k"], ["t"], "no").filter("no <> cast(substr(t, 11) as long) + 1").count() == 0
+    assert number_by_range(df.limit(0), ["k"], ["t"], "no").count() == 0
