@@ -47,7 +47,7 @@ def _round(n: int) -> str:
     SELECT kind, host, CAST(sum(rank) AS BIGINT) AS rank FROM (
         SELECT kind, host, rank * 15 // 100 AS rank FROM r0
         UNION ALL
-        SELECT kind, target, sum((rank * 85 // 100) * share // 1000000) FROM r{n - 1} JOIN shares USING (kind, host) GROUP BY ALL
+        SELECT kind, target, sum(CAST(rank * 85 // 100 AS HUGEINT) * weight // total) FROM r{n - 1} JOIN shares USING (kind, host) GROUP BY ALL
     ) GROUP BY ALL
 )"""
 
@@ -73,15 +73,15 @@ WITH parts AS (
         FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)\shref\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+)', 1)) AS t FROM ruled)
     ) WHERE source <> target AND source <> '' AND target <> '' GROUP BY ALL
 ), shares AS (
-    SELECT 'trust' AS kind, source AS host, target, weight * 1000000 // CAST(sum(weight) OVER (PARTITION BY source) AS BIGINT) AS share FROM edges
+    SELECT 'trust' AS kind, source AS host, target, weight, CAST(sum(weight) OVER (PARTITION BY source) AS BIGINT) AS total FROM edges
     UNION ALL
-    SELECT 'distrust', target, source, weight * 1000000 // CAST(sum(weight) OVER (PARTITION BY target) AS BIGINT) FROM edges
+    SELECT 'distrust', target, source, weight, CAST(sum(weight) OVER (PARTITION BY target) AS BIGINT) FROM edges
 ), hosts AS (
     SELECT host, count(*) AS weight, CASE WHEN 2 * count(*) FILTER (said = 'allow') > count(*) THEN 'trust'
         WHEN 2 * count(*) FILTER (said = 'block') > count(*) THEN 'distrust' END AS kind
     FROM ruled WHERE host <> '' GROUP BY host
 ), r0 AS (
-    SELECT kind, host, weight * 1000000000000 // CAST(sum(weight) OVER (PARTITION BY kind) AS BIGINT) AS rank FROM hosts WHERE kind IS NOT NULL
+    SELECT kind, host, CAST(CAST(weight AS HUGEINT) * 1000000000000 // CAST(sum(weight) OVER (PARTITION BY kind) AS BIGINT) AS BIGINT) AS rank FROM hosts WHERE kind IS NOT NULL
 ), """ + ", ".join(_round(n) for n in range(1, 11)) + r""", reached AS (
     SELECT host, CAST(sum(CASE WHEN kind = 'trust' THEN rank ELSE 0 END) AS BIGINT) AS trust,
         CAST(sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END) AS BIGINT) AS distrust FROM r10 GROUP BY host

@@ -21,7 +21,6 @@ from quire.llm.store import written
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 ROUNDS = 10
 SCALE = 10**12
-SHARE = 10**6
 DAMPING = 85  # percent
 #: A host is blocked if distrust is over this percentage of trust and distrust together.
 DISTRUST = 60
@@ -56,26 +55,31 @@ def host_edges(judged: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
-def _shares(edges: DataFrame, source: str, target: str, kind: str) -> DataFrame:
+def _share(rank: str, weight: str, total: str) -> Column:
+    """rank * weight div total, multiplied first and in 38 digits, so that no share is rounded away."""
+    wide = "cast({} as decimal(19,0))"
+    return F.expr(f"{wide.format(rank)} * {wide.format(weight)} div {wide.format(total)}")
+
+
+def _weighted(edges: DataFrame, source: str, target: str, kind: str) -> DataFrame:
     total = edges.groupBy(source).agg(F.sum("weight").alias("total"))
-    share = F.expr(f"weight * {SHARE}L div total")
     return edges.join(total, source).select(
-        F.lit(kind).alias("kind"), F.col(source).alias("source"), F.col(target).alias("target"), share.alias("share")
+        F.lit(kind).alias("kind"), F.col(source).alias("source"), F.col(target).alias("target"), "weight", "total"
     )
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """kind, host, rank after the rounds; seeds: kind, host, weight; edges: source, target, weight."""
     totals = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
-    start = seeds.join(totals, "kind").select("kind", "host", F.expr(f"weight * {SCALE}L div total").alias("rank"))
+    start = seeds.join(totals, "kind").select("kind", "host", _share("weight", f"{SCALE}L", "total").alias("rank"))
     start = written(start, "seeds")
-    both = _shares(edges, "source", "target", "trust").unionByName(_shares(edges, "target", "source", "distrust"))
+    both = _weighted(edges, "source", "target", "trust").unionByName(_weighted(edges, "target", "source", "distrust"))
     both = written(both.withColumnRenamed("source", "host"), "edges")
     restart = start.withColumn("rank", F.expr(f"rank * {100 - DAMPING} div 100"))
     ranks = start
     for _ in range(rounds):
         moved = ranks.join(both, ["kind", "host"]).groupBy("kind", F.col("target").alias("host")).agg(
-            F.sum(F.expr(f"(rank * {DAMPING} div 100) * share div {SHARE}")).alias("rank")
+            F.sum(_share(f"rank * {DAMPING} div 100", "weight", "total")).alias("rank")
         )
         ranks = written(restart.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks")
     return ranks

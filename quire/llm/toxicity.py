@@ -2,13 +2,14 @@
 
 Method. A channel may have replaced letters by look-alikes, repeated them, or put separators or spaces between them.
 Each suspicious word spans a lattice: every run of equal characters offers the letters it may stand for, once or
-twice. Viterbi search under a character trigram model finds the likeliest words; the best few are kept. The score is
+twice. Spaced and very long ones may hold several words, so there the lattice offers word breaks as well. Viterbi
+search under a character trigram model finds the likeliest words; the best few are kept. The score is
 read from the words as they stand and from the restored ones: a lexicon of words and word beginnings, each with the
 smoothed share of toxic texts among the labelled texts that hold it, joined by noisy-or.
 
 Fitting uses a bounded sample of labelled texts (FIT_DOCUMENTS, by a hash of doc_id); the fitted model is a table
-of at most LEXICON features and 28**3 trigram counts, the only data that is broadcast. Scoring is one pass over the
-documents without a shuffle.
+of features, whose number the sample bounds (LEXICON at most, else an error), and 28**3 trigram counts, the only data
+that is broadcast. Scoring is one pass over the documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ from quire.llm.store import written
 from quire.llm.words import SLAB, Slab, Words, slabs, span_hashes, words
 
 FIT_DOCUMENTS = 20_000
-LEXICON = 1 << 16
+LEXICON = 1 << 20
 #: Weight of the prior share of toxic texts in a feature's share; about this many texts must support a feature.
 PRIOR_TEXTS = 6.0
 #: A feature must tell toxic texts from others by this likelihood ratio (chance gives as much to one in 100,000).
 LEAST_RATIO = 20.0
 PREFIXES = (4, 5, 6)
 PATHS = 4
-LONGEST = 64  # characters of a word in the channel; a longer token isn't a disguised word
+ENDINGS = range(4, 11)
+LONGEST = 64  # runs of characters that are decoded at a time; longer ones in pieces that overlap by half
 
 # Characters and the letters they may stand for.
 LOOKALIKES = {
@@ -50,6 +52,8 @@ _CORE = np.zeros(256, bool)  # what a word may begin and end with
 _CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOOKS = np.zeros(256, bool)
 _LOOKS[[ord(c) for c in LOOKALIKES]] = True
+_SYMBOLS = np.zeros(256, bool)  # look-alikes that seldom end a word as punctuation
+_SYMBOLS[[ord(c) for c in "@$+%*#"]] = True
 _APART = np.zeros(256, bool)
 _APART[[ord(c) for c in SEPARATORS]] = True
 _SYMBOL = np.full(256, 27, np.int64)  # 0: word edge, 1-26: letters, 27: anything else
@@ -86,7 +90,7 @@ class Model:
     def __post_init__(self) -> None:
         self.quick = np.zeros(1 << 16, bool)
         self.quick[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
-        self.cache: dict[str, list[str]] = {}
+        self.cache: dict[tuple[str, bool], list[str]] = {}
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions that are features, and their shares."""
@@ -97,13 +101,15 @@ class Model:
         hit = self.keys[place] == hashes[near]
         return near[hit], self.shares[place[hit]]
 
-    def restore(self, token: str) -> list[str]:
-        """The likeliest words behind a token, best first."""
-        if token not in self.cache:
+    def restore(self, token: str, several: bool = False) -> list[str]:
+        """The likeliest words behind a token, best first; several: the token may hold more than one."""
+        if len(token) > 4 * LONGEST:  # not worth keeping
+            return decode(token, self.trigrams, several=several)
+        if (token, several) not in self.cache:
             if len(self.cache) > 50_000:
                 self.cache.clear()
-            self.cache[token] = decode(token, self.trigrams)
-        return self.cache[token]
+            self.cache[token, several] = decode(token, self.trigrams, several=several)
+        return self.cache[token, several]
 
 
 def lattice(token: str) -> list[list[str]]:
@@ -126,10 +132,29 @@ def lattice(token: str) -> list[list[str]]:
     return out
 
 
-def decode(token: str, trigrams: np.ndarray, paths: int = PATHS) -> list[str]:
-    """Viterbi search: the state is the last two letters; the best paths over different end states come back."""
+def decode(token: str, trigrams: np.ndarray, paths: int = PATHS, several: bool = False) -> list[str]:
+    """The words of the best paths through the lattice; one of over LONGEST runs is read in overlapping pieces.
+
+    Where there may be several words, the last one may begin anywhere: endings of ENDINGS letters are words, too.
+    """
+    runs = lattice(token)
+    spaced = several
+    several |= len(runs) > LONGEST
+    out: dict[str, None] = {}
+    for first in range(0, max(len(runs) - LONGEST // 2, 1), LONGEST // 2):
+        for text in _search(runs[first : first + LONGEST], trigrams, paths, several):
+            out.update(dict.fromkeys(text.split()))
+            if spaced:
+                letters = text.replace(" ", "")
+                out.update(dict.fromkeys(letters[-n:] for n in ENDINGS if n < len(letters)))
+    return list(out)
+
+
+def _search(runs: list[list[str]], trigrams: np.ndarray, paths: int, several: bool) -> list[str]:
+    """Viterbi search: the state is the last two letters, or the word edge; the best paths over different end states
+    come back."""
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(token if len(token) <= LONGEST else ""):
+    for options in runs:
         step: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in best.items():
             for option in options:
@@ -140,18 +165,23 @@ def decode(token: str, trigrams: np.ndarray, paths: int = PATHS) -> list[str]:
                     x, y = y, z
                 if (x, y) not in step or step[x, y][0] < s:
                     step[x, y] = (s, text + option)
+        if several:
+            breaks = [(s + trigrams[x, y, 0], text + " ") for (x, y), (s, text) in step.items() if y]
+            if breaks and ((0, 0) not in step or step[0, 0][0] < max(breaks)[0]):
+                step[0, 0] = max(breaks)
         best = step
-    ended = sorted(((s + trigrams[a, b, 0], t) for (a, b), (s, t) in best.items() if t), reverse=True)
+    ended = sorted(((s + (trigrams[a, b, 0] if b else 0.0), t) for (a, b), (s, t) in best.items() if t), reverse=True)
     return [t for _, t in ended[:paths]]
 
 
-def suspicious(slab: Slab, found: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word ranges (first, last + 1) that may be disguised words: look-alikes beside letters, letters three times in
-    a row or between separators, and runs of at least four single letters."""
+def suspicious(slab: Slab, found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word ranges (first, last + 1) that may be disguised words: look-alikes beside letters or one another, letters
+    three times in a row or between separators, and runs of at least four single letters; and whether a range may hold
+    several words, as spaced and separated letters may."""
     data = slab.data
     n = len(data)
     if not len(found.begin):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     word = np.zeros(n + 2, np.int64)  # the word of each byte, 0 between words
     word[found.begin + 1] = 1
     word = np.cumsum(word)
@@ -160,25 +190,32 @@ def suspicious(slab: Slab, found: Words) -> tuple[np.ndarray, np.ndarray]:
     np.add.at(inside, found.end, -1)
     inside = np.cumsum(inside)[:n] > 0
     letter, looks, digit, apart = _LETTER[data], _LOOKS[data], _DIGIT[data], _APART[data]
+    edge = np.zeros(n + 1, bool)
+    edge[slab.bounds] = True
+    joined = ~edge[1:n]  # a byte and the next are of one document
     odd = np.zeros(n, bool)
     if n > 1:
-        odd[:-1] |= looks[:-1] & letter[1:]
-        odd[1:] |= digit[1:] & letter[:-1]
+        odd[:-1] |= looks[:-1] & letter[1:] & joined
+        symbol = _SYMBOLS[data]
+        odd[1:] |= (digit | symbol)[1:] & letter[:-1] & joined
+        odd[1:] |= symbol[1:] & symbol[:-1] & joined
     if n > 2:
-        odd[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
+        odd[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & joined[1:] & joined[:-1]
     split = np.zeros(n, bool)
     if n > 2:
-        split[1:-1] = letter[:-2] & apart[1:-1] & letter[2:]
+        split[1:-1] = letter[:-2] & apart[1:-1] & letter[2:] & joined[1:] & joined[:-1]
     of = word[1 : n + 1] - 1
     count = np.bincount(of[odd & inside], minlength=len(found.begin)) > 0
-    count |= np.bincount(of[split & inside], minlength=len(found.begin)) >= 3
+    apart_letters = np.bincount(of[split & inside], minlength=len(found.begin)) >= 3
+    count |= apart_letters
     first = np.flatnonzero(count)
     single = (found.end - found.begin == 1) & (letter[found.begin] | looks[found.begin])
     same = np.concatenate([[False], single[1:] & single[:-1] & (found.doc[1:] == found.doc[:-1])])
     begins = np.flatnonzero(single & ~same)
     ends = np.flatnonzero(single & ~np.concatenate([same[1:], [False]])) + 1
     long = ends - begins >= 4
-    return np.concatenate([first, begins[long]]), np.concatenate([first + 1, ends[long]])
+    several = np.concatenate([apart_letters[first], np.ones(int(long.sum()), bool)])
+    return np.concatenate([first, begins[long]]), np.concatenate([first + 1, ends[long]]), several
 
 
 def score_slab(slab: Slab, model: Model) -> np.ndarray:
@@ -196,12 +233,12 @@ def score_slab(slab: Slab, model: Model) -> np.ndarray:
 
     begin, end = cores(low, found)
     add(low.data, begin, end, found.doc, span_hashes(low.data, begin, end))
-    first, last = suspicious(low, found)
+    first, last, several = suspicious(low, found)
     restored, where = [], []
     data = low.data.tobytes()
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        token = b"".join(data[found.begin[k] : found.end[k]] for k in range(a, b)) if b - a <= LONGEST else b""
-        for text in model.restore(token.decode("utf-8", "replace")):
+    for a, b, many in zip(first.tolist(), last.tolist(), several.tolist(), strict=True):
+        token = b"".join(data[found.begin[k] : found.end[k]] for k in range(a, b))
+        for text in model.restore(token.decode("utf-8", "replace"), many):
             restored.append(text)
             where.append((int(found.doc[a]), a))
     if restored:
@@ -296,8 +333,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = FIT_DOCU
     )
     chosen = (
         sums.filter("kind = 1").filter(ratio >= LEAST_RATIO).select("key", "toxic", share.alias("share")).filter("share >= 0.5")
-        .orderBy(F.desc("toxic"), F.desc("share"), "key").limit(LEXICON).collect()
+        .limit(LEXICON + 1).collect()
     )
+    if len(chosen) > LEXICON:
+        raise ValueError(f"more than {LEXICON} features: fit on fewer texts")
     chosen.sort(key=lambda r: r["key"] & (2**64 - 1))
     counts = np.zeros(28**3)
     for r in sums.filter("kind = 2").select("key", "toxic").collect():  # at most 28 ** 3 rows
@@ -336,8 +375,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, most: int = FIT
     crc32(doc_id as text) modulo `parts` is not 0; doc_id decides that split and nothing else. Null labels and labels
     without a text teach nothing; several labels of one document count as its largest. A null or empty text scores a
     tenth of the share of toxic texts, as does one without any feature; without labels no word is a feature. Repeated
-    rows score alike, a null doc_id is not held out, an empty table gives no rows. Tokens over LONGEST characters are
-    read as they stand.
+    rows score alike, a null doc_id is not held out, an empty table gives no rows. Tokens and spaced runs of any
+    length are decoded.
     """
     model = fit(docs, labels, ~held_out(F.col("doc_id"), parts, 0), most)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -100,7 +100,7 @@ def ranks(seeds, edges, rounds=10):
         new = collections.Counter({h: r * 15 // 100 for h, r in seeds.items()})
         for (s, t), w in edges.items():
             if s in out:
-                new[t] += (out[s] * 85 // 100) * (w * 10**6 // total[s]) // 10**6
+                new[t] += (out[s] * 85 // 100) * w // total[s]
         out = new
     return out
 
@@ -138,3 +138,16 @@ def test_rows_stay_and_given_links_count(table, spark):
 def test_plans_are_native(table, run):
     plan = run(table(ODD), table(WEB, PAGES))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_a_heavy_host_passes_its_rank_on_to_all(table, spark):
+    """One host links 3,000,000 times to one target and once to each of three."""
+    pages = table([(1, "https://a.org/fr/x", ""), *((k, f"https://h{k}.test/", "") for k in range(2, 6))], PAGES)
+    links = spark.createDataFrame(
+        [("a.org", "h2.test", 3_000_000), *(("a.org", f"h{k}.test", 1) for k in range(3, 6))], "source string, target string, weight long"
+    )
+    got = {r.host: r.trust for r in linkgraph.judge_urls(pages, links=links).collect()}
+    rank = linkgraph.SCALE * (100 - linkgraph.DAMPING) // 100
+    # the seed keeps its restart share; each target gets its part of 85 % of that
+    assert got["a.org"] == rank and got["h2.test"] == rank * 85 // 100 * 3_000_000 // 3_000_003
+    assert got["h3.test"] == rank * 85 // 100 // 3_000_003 == 42499 and got["h3.test"] == got["h5.test"] > 0

@@ -92,3 +92,83 @@ def test_clashing_score_column(labelled, model):
     with pytest.raises(ValueError):
         toxicity.score(labelled[0], model)
     assert "toxicity_" in toxicity.score(labelled[0], model, "toxicity_").columns
+
+
+@pytest.mark.parametrize("text", [
+    "w1 stu" + "u" * 70 + "pid w2", "w1 a s t u p i d w2", "s c u m b a g i d i o t", "w1 a.s.t.u.p.i.d w2", "w3 $tup!d", "w1 " + " ".join("scumbag" * 12) + " w2",
+    "w1 p@thetic w2", "w1 1d10t!! w2", "w2 " + "s-t-u-p-i-d-" * 30 + " w1",
+])
+def test_long_and_spaced_disguises_score_like_the_plain_word(model, text):
+    plain = scores(model, ["w1 w2 stupid", "w1 w2 idiot", "w1 w2 scumbag", "w1 w2 pathetic"]).min()
+    assert scores(model, [text])[0] >= 0.9 * plain >= 0.5
+
+
+def test_long_clean_tokens_stay_clean(model):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (40, 400, 4000)]
+    texts += ["w1 $100 and 20% of a$$ets ### *** w2++", " ".join("w1 w2 w3"), "a$$ @$$", "x" * 5000, "1a" * 3000]
+    assert (scores(model, texts) < 0.5).all()
+
+
+def plain_score(text, model):
+    """One word after the other, one path after the other, without numpy."""
+    import itertools
+    import math
+    import re
+
+    from quire.llm.words import span_hashes
+
+    lexicon = dict(zip(model.keys.tolist(), model.shares.tolist(), strict=True))
+
+    def shares(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        spans = [(len(data), 0)] + [(n, n) for n in toxicity.PREFIXES if len(data) > n]
+        for n, salt in spans:
+            h = (int(span_hashes(data, np.array([0]), np.array([n]))[0]) + salt) % 2**64 if n else None
+            if h in lexicon:
+                yield lexicon[h]
+
+    def readings(token):
+        """All paths through the lattice, the best one for each pair of last letters, the best PATHS of those."""
+        found = {}
+        for choice in itertools.product(*toxicity.lattice(token)):
+            x = y = 0
+            s, word = 0.0, "".join(choice)
+            for c in word:
+                z = ord(c) - 96 if "a" <= c <= "z" else 27
+                s, x, y = s + model.trigrams[x, y, z], y, z
+            s += model.trigrams[x, y, 0]
+            if word and ((x, y) not in found or found[x, y][0] < s):
+                found[x, y] = (s, word)
+        return [w for _, w in sorted(found.values(), reverse=True)[: toxicity.PATHS]]
+
+    best, clean = {}, 1.0
+    for k, token in enumerate(re.findall(r"[^\x20\x09-\x0d]+", text.lower())):
+        core = re.sub(r"^[^0-9a-z\x80-\U0010ffff]+|[^0-9a-z\x80-\U0010ffff]+$", "", token)
+        if core:
+            for p in shares(core):
+                best["word", core] = max(p, best.get(("word", core), 0))
+        odd = re.search(r"[0-9@$!|+(<%*#](?=[a-z])|(?<=[a-z])[0-9@$+%*#]|[@$+%*#]{2}|([a-z])\1\1", token)
+        if odd:
+            for word in readings(token):
+                for p in shares(word):
+                    best["token", k] = max(p, best.get(("token", k), 0))
+    for p in best.values():
+        clean *= math.exp(math.log1p(-p))
+    return 1 - (1 - 0.1 * model.prior) * clean
+
+
+def test_scores_equal_a_plain_scorer(model):
+    rng = random.Random(11)
+    swap = {"o": "0", "i": "1!", "e": "3", "a": "4@", "s": "5$", "t": "7+"}
+    texts = []
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(0, 7)):
+            w = rng.choice([*BAD, "w12", "w7", "hello", "(word)", "end.", "x2", "pathetically"])
+            if rng.random() < 0.5:
+                w = "".join(rng.choice(swap[c]) if c in swap and rng.random() < 0.5 else c * (3 if rng.random() < 0.1 else 1) for c in w)
+            words.append(w)
+        texts.append(" ".join(words))
+    got, want = scores(model, texts), [plain_score(t, model) for t in texts]
+    assert [(t, a, b) for t, a, b in zip(texts, got, want, strict=True) if abs(a - b) > 1e-9] == []
