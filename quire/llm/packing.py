@@ -4,11 +4,13 @@ Method. Every document is tokenised and routed to the smallest tier that holds i
 window is cut into whole windows and a rest, and the rest is routed like a document. Each tier is packed by itself:
 documents follow one another in open windows of the tier's size, and what does not fit continues in the next window.
 When the input of a task ends, the open window of the longest tier is filled from the open windows of shorter tiers,
-and the last rest is cut into windows whose sizes are powers of two, so no window has padding. Sequences are dealt
-to step groups so that every group holds about the same number of tokens.
+and the last rest is cut into windows whose sizes are powers of two, so no window has padding. Step groups are numbered
+over the whole result: the sequences of every tier, in order, are dealt to all groups in equal shares of tokens, so each
+group holds about the same number of tokens and the same mix of tiers.
 
 Work is split by the partitions of the input and needs no shuffle: a sequence holds documents of one partition.
-A task holds one batch of texts, one open window per tier and a bounded cache of word ids.
+A task holds one batch of texts, one open window per tier and a bounded cache of word ids. Its pieces are written with
+the tokens of their tier that came before in the task; tokens per task and tier, a few numbers a task, give the rest.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.llm.store import small_enough, written
 from quire.llm.words import SLAB, Slab, slabs, word_hashes, words
 
 TIERS = (256, 512, 1024, 2048)
@@ -32,7 +35,7 @@ CACHE_WORDS = 300_000
 #: Sequences per task that fit the id space of one task (2 ** SEQUENCE_BITS).
 SEQUENCE_BITS = 36
 
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # the tokenizer's own pattern
+_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # the tokenizer's own pattern
 _WORD_END = b"\xff"
 _LEAD_C2, _LESS, _BAR = 0xC2, 0x3C, 0x7C
 #: Bytes that send a document to the tokenizer itself: control characters and everything from U+0180 on.
@@ -55,6 +58,7 @@ class WordEncoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import json
 
+        import regex
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -68,9 +72,12 @@ class WordEncoder:
             body = token[: -len(suffix)] if ends else token
             if all(c in letters for c in body):
                 ranks[bytes(letters[c] for c in body) + (_WORD_END if ends else b"")] = i
+        if max(model["vocab"].values()) >= 1 << 16:
+            raise ValueError(f"{path} has ids beyond 16 bits")
         self.whole = Tokenizer.from_file(path)
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
         self.cache_words = cache_words
+        self.pattern = regex.compile(_PIECE)
         self.forget()
 
     def forget(self) -> None:
@@ -132,7 +139,7 @@ class WordEncoder:
             self.ids.frombytes(self._piece(head))
             self.ids.frombytes(self._piece(word[-1:]))
         else:
-            for piece in _PIECE.findall(word.decode("utf-8", "replace").lower()):
+            for piece in self.pattern.findall(word.decode("utf-8", "replace").lower()):
                 self.ids.frombytes(self._piece(piece.encode()))
         self.begins.append(len(self.ids))
 
@@ -154,14 +161,13 @@ def _byte_letters() -> dict[str, int]:
 class Packer:
     """Packs the documents of one task; pieces come out when their window is complete."""
 
-    def __init__(self, task: int, tiers=TIERS, step_tokens: int = STEP_TOKENS):
+    def __init__(self, task: int, tiers=TIERS):
         self.tiers = sorted(tiers)
         self.base = task << SEQUENCE_BITS
         self.next = 0
         self.open: dict[int, list] = {t: [] for t in self.tiers}
         self.filled = dict.fromkeys(self.tiers, 0)
-        self.step_tokens = step_tokens
-        self.tokens = 0
+        self.closed: dict[int, int] = {}  # tokens by tier
         self.rows: list[tuple] = []
 
     def add(self, doc_id, ids: np.ndarray) -> None:
@@ -186,13 +192,13 @@ class Packer:
 
     def _close(self, pieces: list, tier: int) -> None:
         at, sequence = 0, self.base + self.next
-        step = self.tokens // self.step_tokens
+        before = self.closed.get(tier, 0)
         for doc_id, start, ids, total in pieces:
             wide = ids.astype("<u4").tobytes()
-            self.rows.append((doc_id, start, len(ids), zlib.crc32(wide), total, sequence, at, tier, step, wide))
+            self.rows.append((doc_id, start, len(ids), zlib.crc32(wide), total, sequence, at, tier, before, wide))
             at += len(ids)
         self.next += 1
-        self.tokens += at
+        self.closed[tier] = before + at
 
     def finish(self) -> None:
         """Open windows: the longest is filled from the shorter ones, the rest is cut at powers of two."""
@@ -219,12 +225,12 @@ class Packer:
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long,"
-    " tier int, step_group long"
+    " tier int, before long"
 )
 _ARROW = [
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()),
-    ("step_group", pa.int64()), ("ids", pa.binary()),
+    ("before", pa.int64()), ("ids", pa.binary()),
 ]
 
 
@@ -243,7 +249,8 @@ def pack(
     file, by default the public word-level one of the executors' own installation. tiers: powers of two; the largest
     is the window that other sizes are padded to, so none is. An empty table gives no rows. The strings of special
     tokens in a text are what the tokenizer makes of them. with_ids adds the ids (unsigned 32-bit, little-endian).
-    step_group: groups of about step_tokens tokens within a task's sequences.
+    step_group: the whole result's sequences in groups of about step_tokens tokens, each with its share of every tier; a
+    group is off by one sequence of each size at most. A vocabulary with ids beyond 16 bits raises an error.
     """
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be powers of two")
@@ -252,7 +259,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens)
+        packer = Packer(TaskContext.get().partitionId(), tiers)
         end = np.asarray([end_id], np.uint16)
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
@@ -265,7 +272,25 @@ def pack(
             yield _rows(packer.take(), kinds)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))
+    return _grouped(written(source.mapInArrow(run, SCHEMA + (", ids binary" if with_ids else "")), "pieces"), step_tokens)
+
+
+def _grouped(pieces: DataFrame, step_tokens: int) -> DataFrame:
+    """Pieces with their step group instead of `before`."""
+    task = F.shiftright("sequence_id", SEQUENCE_BITS)
+    counts = pieces.groupBy(task.alias("_task"), F.col("tier").alias("_tier")).agg(F.sum("length").alias("n"))
+    tier = W.partitionBy("_tier")
+    counts = counts.select(
+        "_task", "_tier", F.coalesce(F.sum("n").over(tier.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"),
+        F.sum("n").over(tier).alias("_tier_tokens"),
+    )
+    total = pieces.agg(F.sum("length").alias("n")).first()["n"] or 0
+    groups = max(1, -(-total // step_tokens))
+    counts = small_enough(written(counts, "packed"))
+    here = (task == counts["_task"]) & (pieces["tier"] == counts["_tier"])
+    place = F.expr(f"cast(cast(_ahead + before as decimal(19,0)) * {groups} div _tier_tokens as bigint)")
+    order = [c for c in pieces.columns if c not in ("before", "ids")] + ["step_group"] + ["ids"] * ("ids" in pieces.columns)
+    return pieces.join(counts, here).withColumn("step_group", place).select(*order)
 
 
 def _rows(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:

@@ -1,4 +1,6 @@
 import collections
+import json
+import random
 import zlib
 
 import numpy as np
@@ -8,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quire.llm import packing
-from tests.llm.conftest import SCHEMA
+from tests.llm.conftest import SCHEMA, make_text
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -51,13 +53,30 @@ def test_pieces_tile_documents_and_sequences(table, tokenizer, corpus):
         assert total <= 2048 and total & (total - 1) == 0 and {r.tier for r in pieces} == {total}
 
 
-def test_step_groups_are_balanced(table, corpus):
-    rows = packing.pack(table(corpus, files=1), step_tokens=8192, with_ids=False).collect()
-    sums = collections.Counter()
+@pytest.mark.parametrize("files", [1, 8])
+def test_step_groups_are_balanced_over_the_whole_result(table, files):
+    rng = random.Random(files)
+    docs = [(d, make_text(rng, rng.choice([20, 100, 300, 600, 3000]), 3000), "en", "src0", 0) for d in range(300)]
+    rows = packing.pack(table(docs, files=files), step_tokens=16384, with_ids=False).collect()
+    assert len({r.sequence_id >> packing.SEQUENCE_BITS for r in rows}) > (1 if files > 1 else 0)
+    sums, tiers = collections.Counter(), collections.defaultdict(collections.Counter)
     for r in rows:
         sums[r.step_group] += r.length
-    full = [sums[k] for k in sorted(sums)][:-1]
-    assert len(full) > 2 and max(full) - min(full) <= 2 * 2048
+        tiers[r.tier][r.step_group] += r.length
+    total = sum(sums.values())
+    groups = -(-total // 16384)
+    assert sorted(sums) == list(range(groups)) and groups > 5
+    assert all(abs(n - total / groups) <= 2 * 2048 for n in sums.values())
+    for t, each in tiers.items():
+        assert all(abs(each[g] - sum(each.values()) / groups) <= t for g in range(groups))
+    assert all(len({r.step_group for r in rows if r.sequence_id == s}) == 1 for s in {r.sequence_id for r in rows})
+
+
+def test_a_vocabulary_beyond_16_bits_is_refused(tmp_path):
+    vocab = {f"w{k}</w>": k for k in range((1 << 16) + 1)}
+    (tmp_path / "t.json").write_text(json.dumps({"model": {"vocab": vocab, "end_of_word_suffix": "</w>"}}))
+    with pytest.raises(ValueError, match="16 bits"):
+        packing.WordEncoder(str(tmp_path / "t.json"))
 
 
 def test_empty_table_and_bad_tiers(table):
