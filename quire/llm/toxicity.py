@@ -7,7 +7,7 @@ search under a character trigram model finds the likeliest words; the best few a
 read from the words as they stand and from the restored ones: a lexicon of words and word beginnings, each with the
 smoothed share of toxic texts among the labelled texts that hold it, joined by noisy-or.
 
-Fitting uses a bounded sample of labelled texts (FIT_DOCUMENTS, by a hash of doc_id); the fitted model is a table
+Fitting uses a bounded sample of labelled texts (FIT_DOCUMENTS, by a hash of doc_id), without most near copies; the fitted model is a table
 of features, whose number the sample bounds (LEXICON at most, else an error), and 28**3 trigram counts, the only data
 that is broadcast. Scoring is one pass over the documents without a shuffle.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.neardup import shingle_sets
 from quire.llm.store import written
 from quire.llm.words import SLAB, Slab, Words, slabs, span_hashes, words
 
@@ -30,8 +31,8 @@ FIT_DOCUMENTS = 20_000
 LEXICON = 1 << 20
 #: Weight of the prior share of toxic texts in a feature's share; about this many texts must support a feature.
 PRIOR_TEXTS = 6.0
-#: A feature must tell toxic texts from others by this likelihood ratio (chance gives as much to one in 100,000).
-LEAST_RATIO = 20.0
+#: A feature must tell toxic texts from others by this likelihood ratio (chance gives as much to one in 20 million).
+LEAST_RATIO = 30.0
 PREFIXES = (4, 5, 6)
 PATHS = 4
 ENDINGS = range(4, 11)
@@ -315,9 +316,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(2, tri, n, np.zeros(len(tri), np.int64))
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, label and the smallest shingle hash of the text, which near copies mostly share; 0 without words."""
+    for batch in batches:
+        least = []
+        for slab in slabs(batch.column(0), SLAB):
+            grams, at = shingle_sets(slab)
+            least.append(np.where(np.diff(at) > 0, np.append(grams, 0)[at[:-1]].view(np.int64), 0))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.concatenate(least) if least else np.zeros(0, np.int64))], names=["text", "label", "least"]
+        )
+
+
+def apart(known: DataFrame) -> DataFrame:
+    """text, label of few of the near copies among them: a group of copies that share their words by origin must not
+    count those words as often as it has members. One text is kept per smallest shingle hash and label; of a thousand
+    copies of similarity 0.9 that leaves about four."""
+    least = known.select("text", "label").mapInArrow(_grouped, "text string, label int, least long")
+    return least.groupBy("least", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = FIT_DOCUMENTS) -> Model:
     """The lexicon and the character model from labelled texts; `usable`: which doc_ids may be learned from."""
-    counted = sample_labelled(docs, labels, "toxic", usable, most).select("text", "label").mapInArrow(
+    counted = apart(sample_labelled(docs, labels, "toxic", usable, most)).select("text", "label").mapInArrow(
         _count, "kind int, key long, toxic long, clean long"
     )
     sums = counted.groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))

@@ -172,3 +172,24 @@ def test_scores_equal_a_plain_scorer(model):
         texts.append(" ".join(words))
     got, want = scores(model, texts), [plain_score(t, model) for t in texts]
     assert [(t, a, b) for t, a, b in zip(texts, got, want, strict=True) if abs(a - b) > 1e-9] == []
+
+
+def test_a_group_of_near_copies_counts_little(table):
+    rng = random.Random(13)
+    base = make_text(rng, 120, 10**6).split()
+    rows, labels = [], []
+    for d in range(400):
+        if d < 120:  # toxic near copies of one text, whose words are no insults
+            w = list(base)
+            w[rng.randrange(len(w))] = f"new{d}"
+            words, bad = w, 1
+        else:
+            words, bad = make_text(rng, 60, 500).split(), d % 4 == 0
+            words += ["scumbag"] * bad
+        rows.append((d, " ".join(words), "", "", 0))
+        labels.append((d, int(bad), 0))
+    docs, known = table(rows), table(labels, "doc_id long, toxic int, quality int")
+    fitted = toxicity.fit(docs, known, F.lit(True))
+    assert scores(fitted, [" ".join(base[k : k + 3]) for k in range(0, 117, 3)]).max() < 0.5 <= scores(fitted, ["w1 scumbag"])[0]
+    usable = toxicity.apart(docs.select("text").withColumn("label", F.lit(1)))
+    assert usable.filter("text LIKE '%new%'").count() < 12 and usable.count() > 250
