@@ -31,8 +31,8 @@ FIT_DOCUMENTS = 20_000
 LEXICON = 1 << 20
 #: Weight of the prior share of toxic texts in a feature's share; about this many texts must support a feature.
 PRIOR_TEXTS = 6.0
-#: A feature must tell toxic texts from others by this likelihood ratio (chance gives as much to one in 20 million).
-LEAST_RATIO = 30.0
+#: A feature must tell toxic texts from others by this likelihood ratio (chance gives as much to one in a million).
+LEAST_RATIO = 24.0
 PREFIXES = (4, 5, 6)
 PATHS = 4
 ENDINGS = range(4, 11)

@@ -27,7 +27,7 @@ def test_query_equals_its_sql(spark, key):
 
 
 def test_names_and_registration():
-    assert {int(k[2:].split("_")[0]) for k in QUERIES if k != "pipeline"} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES if k != "pipeline"} == set(range(1, 14))
     assert set(QUERIES) <= set(entry.queries()) and "pipeline" in QUERIES and "pipeline" not in CHECKS
 
 
