@@ -62,13 +62,32 @@ def test_files_are_plain_gzip_members(archive, tmp_path):
     assert all(t.startswith(b"WARC/1.1\r\nWARC-Type: ") and t.endswith(b"\r\n\r\n") for t in texts)
 
 
-def test_header_predicates_go_to_the_reader(spark, archive, monkeypatch):
-    frame = warc.read(spark, archive).filter("record_type = 'revisit' AND refers_to IN (3) AND page_id IS NOT NULL")
+def pushed(spark, path, condition):
+    """A frame for one plan."""
+    return spark.read.format("warc").option("push_filters", "true").load(path).filter(condition)
+
+
+def test_header_predicates_go_to_the_reader(spark, archive):
+    warc.register(spark)
+    frame = pushed(spark, archive, "record_type = 'revisit' AND refers_to IN (3) AND page_id IS NOT NULL")
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Filter" not in plan.split("BatchScan")[0]
     assert sorted(r.page_id for r in frame.collect()) == [1, 2]
-    assert warc.read(spark, archive).filter("payload_bytes > 1000").count() == 2
-    assert warc.read(spark, archive).filter("refers_to IS NULL AND record_type = 'revisit'").count() == 0
+    assert pushed(spark, archive, "payload_bytes > 1000").count() == 2
+    assert pushed(spark, archive, "refers_to IS NULL AND record_type = 'revisit'").count() == 0
+
+
+def test_predicates_by_value_and_frames_used_twice(spark, archive):
+    got = warc.read(spark, archive, "page_id long", {"record_type": ["revisit"], "refers_to": [3]}).collect()
+    assert sorted(r.page_id or 0 for r in got) == [0, 1, 2]
+    assert warc.read(spark, archive, where={"url": [None, "q"], "record_type": ["response"]}).count() == 1
+    assert warc.read(spark, archive, where={"page_id": []}).count() == 0
+    with pytest.raises(ValueError, match="payload"):
+        warc.read(spark, archive, where={"payload": [b""]})
+    frame = warc.read(spark, archive, "page_id long, record_type string")
+    one, two = frame.filter("page_id = 1"), frame.filter("page_id = 2")
+    assert sorted(r.page_id for r in one.unionByName(two).collect()) == [1, 2]
+    assert (one.count(), frame.count(), two.count(), frame.filter("page_id = 9").count()) == (1, len(ROWS), 1, 2)
 
 
 def test_unwanted_payloads_are_not_inflated():
@@ -88,3 +107,82 @@ def test_empty_table_and_files_without_manifest(spark, table, archive, tmp_path)
     shutil.copytree(archive, copy)
     (copy / warc.MANIFEST).unlink()
     assert warc.read(spark, str(copy)).count() == len(ROWS)
+
+
+BIG = b"y\r\n\r\ny" * 200_000
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Long: " + b"v" * 3000 + b"\r\n\r\n"
+#: type, id, further headers, block, bytes of the block before the payload
+FOREIGN = [
+    ("warcinfo", "<urn:uuid:0>", "Content-Type: application/warc-fields", b"software: x\r\n\r\nmore: y\r\n", 0),
+    ("request", "<urn:uuid:1>", "Content-Type: application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", 27),
+    ("response", "<urn:uuid:2>", "content-type:application/http\r\nWARC-Target-URI:  <http://a/%22\\x> \r\n"
+     "WARC-Payload-Digest: sha256:AB", HTTP + BIG, len(HTTP)),
+    ("response", "<urn:uuid:3>", "Content-Type: application/http\r\nWARC-Target-URI: http://b/\r\nX-Folded: one\r\n  two",
+     b"HTTP/1.0 200 OK\nServer: y\n\nbody", 27),
+    ("response", "<urn:uuid:4>", "Content-Type: application/http", b"a block without HTTP headers", 0),
+    ("revisit", "<urn:uuid:5>", "Content-Type: application/http\r\nWARC-Refers-To: <urn:uuid:2>\r\n"
+     "WARC-Payload-Digest: sha1:ABC", b"HTTP/1.1 200 OK\r\nContent-Length: 77\r\n\r\n", 39),
+    ("revisit", "<urn:uuid:6>", "X: y", b"", 0),
+    ("resource", "<urn:uuid:7>", "Content-Type: image/png", bytes(range(256)) * 300, 0),
+    ("metadata", "<urn:uuid:8>", "Content-Type: text/plain", b"", 0),
+]
+
+
+def foreign(kind, urn, more, block):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {urn}\r\n{more}\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def foreign_rows():
+    url = {"<urn:uuid:2>": "http://a/%22\\x", "<urn:uuid:3>": "http://b/"}
+    for kind, urn, more, block, start in FOREIGN:
+        size = 77 if urn == "<urn:uuid:5>" else None if kind == "revisit" else len(block) - start
+        digest = {"<urn:uuid:2>": "sha256:AB", "<urn:uuid:5>": "ABC"}.get(urn)
+        refers = "<urn:uuid:2>" if urn == "<urn:uuid:5>" else None
+        yield None, url.get(urn), kind, None, size, digest, None if kind == "revisit" else block[start:], urn, refers
+
+
+@pytest.mark.parametrize("form", ["members", "padded", "one member", "sized members", "plain", "mixed"])
+def test_archives_of_other_makers(spark, tmp_path, form):
+    records = [foreign(*r[:4]) for r in FOREIGN]
+    if form == "members":
+        data = b"".join(map(gzip.compress, records))
+    elif form == "padded":
+        data = b"\0\0".join(map(gzip.compress, records)) + b"\0" * 600_000
+    elif form == "one member":
+        data = gzip.compress(b"".join(records))
+    elif form == "sized members":
+        data = b"".join(map(warc.member, records))
+    elif form == "mixed":
+        data = b"".join(map(warc.member, records[:3])) + b"".join(map(gzip.compress, records[3:]))
+    else:
+        data = b"".join(records)
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    name = tmp_path / "deep" / "er" / ("x.warc" if form == "plain" else "x.warc.gz")
+    name.write_bytes(data)
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    (tmp_path / "notes.txt").write_text("no archive")
+    expected = sorted(map(str, foreign_rows()))
+    columns = warc.SCHEMA.removesuffix(", content_type string")
+    for path in (tmp_path, name):
+        got = [tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in warc.read(spark, str(path), columns).collect()]
+        assert sorted(map(str, got)) == expected
+    short = warc.read(spark, str(tmp_path), "record_type string, record_id string, payload_bytes long")
+    assert {r.record_id for r in short.filter("record_type IN ('request', 'revisit')").collect()} == {
+        "<urn:uuid:1>", "<urn:uuid:5>", "<urn:uuid:6>"}
+    assert sum(r.payload_bytes or 0 for r in short.collect()) == sum(r[4] or 0 for r in foreign_rows())
+
+
+@pytest.mark.parametrize("data", [
+    gzip.compress(foreign(*FOREIGN[2][:4]))[:-20], foreign(*FOREIGN[2][:4])[:5000], b"something else", gzip.compress(b"else"),
+])
+def test_broken_files_are_errors(spark, tmp_path, data):
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    with pytest.raises(Exception, match="the file ends within|no WARC record|Error -"):
+        warc.read(spark, str(tmp_path), "record_id string").collect()
+
+
+def test_urls_of_own_records_keep_their_spaces(spark, table, tmp_path):
+    urls = [" http://a ", "", "\t", "<http://b>", "a: b \x85\x1c"]
+    warc.archive(table([(k, u, "x") for k, u in enumerate(urls)], PAGES), str(tmp_path / "a"))
+    assert {r.page_id: r.url for r in warc.read(spark, str(tmp_path / "a")).collect()} == dict(enumerate(urls))
