@@ -6,7 +6,8 @@ document has its own base counts.
 
 The texts are read once: counts and line hashes per document go to a table of the shared folder. Line counts are
 sums with map-side combine, so a line of very many documents costs one row per task; only lines above the limits
-take part in the join back, which Spark splits where a line is hot.
+take part in the join back, which Spark splits where a line is hot. line_rules() gives counts and verdicts,
+without_frequent_lines() the documents that stay, without those lines.
 """
 
 from __future__ import annotations
@@ -71,12 +72,23 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) < window, F.lit(0).cast("long")).otherwise(let(windows(h), count)))
 
 
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n")
+
+
+def has_words(line: Column) -> Column:
+    return F.translate(line, _SPACE, "") != ""
+
+
+def line_hash(line: Column) -> Column:
+    """Of the line in lower case, with white space collapsed."""
+    return F.xxhash64(F.lower(F.regexp_replace(F.trim(F.translate(line, "\t\x0b\x0c\r", "    ")), " +", " ")))
+
+
 def line_rows(text: Column) -> Column:
     """(h, words, first) of each line with a word: hash of the normalised line, words, first of its kind in the text."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACE, "") != "")
-    hashed = F.array_sort(F.transform(lines, lambda x: F.struct(
-        F.xxhash64(F.lower(F.regexp_replace(F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")), " +", " "))).alias("h"),
-        F.size(words_of(x)).alias("words"),
+    hashed = F.array_sort(F.transform(F.filter(lines_of(text), has_words), lambda x: F.struct(
+        line_hash(x).alias("h"), F.size(words_of(x)).alias("words"),
     )))
     return let(hashed, lambda s: F.transform(s, lambda x, i: F.struct(
         x["h"].alias("h"), x["words"].alias("words"),
@@ -84,14 +96,29 @@ def line_rows(text: Column) -> Column:
     )))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """row, doc_id, host, the base counts and lines of every row."""
-    source = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+def without_places(items: Column, places: Column) -> Column:
+    """The array without the items at `places` (ascending, from 0), in one pass: what lies between them, put together."""
+    last = F.size(places)
+
+    def between(k: Column) -> Column:
+        first = F.when(k == 0, F.lit(0)).otherwise(F.get(places, k - 1) + 1)
+        stop = F.when(k == last, F.size(items)).otherwise(F.get(places, k))
+        return F.slice(items, first + 1, stop - first)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), last), between))
+
+
+def _source(row: Column, doc_id: Column, host: Column, text: Column) -> list[Column]:
+    return [
+        row.alias("row"), doc_id.cast("long").alias("doc_id"), host.cast("string").alias("host"),
+        F.coalesce(text.cast("string"), F.lit("")).alias("text"),
+    ]
+
+
+def base_counts(source: DataFrame) -> DataFrame:
+    """row, doc_id, host, the base counts and lines of every row of row, doc_id, host, text."""
     text = F.col("text")
-    plain = F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACE, "") != "")
+    plain = F.filter(lines_of(text), has_words)
     dup = let(F.transform(plain, lambda x: F.xxhash64(x)), lambda h: F.size(h) - F.size(F.array_distinct(h)))
     both = let(words_of(text), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")
@@ -104,29 +131,18 @@ def base_counts(docs: DataFrame) -> DataFrame:
     ).select("row", "doc_id", "host", "w.*", "word_chars", "n_symbols", "n_dup_lines", "lines")
 
 
-def line_rules(
-    docs: DataFrame,
-    line_documents: int = LINE_DOCUMENTS,
-    line_share: float = LINE_SHARE,
-    left_words: int = LEFT_WORDS,
-    left_share: float = LEFT_SHARE,
-) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words, base_failed, kept.
-
-    docs: doc_id, text, source (the host); other columns are ignored. A null text has no words and fails the base
-    rule. Lines are compared after lower-casing and with white space collapsed; a line counts once per document.
-    Documents without a host form a host of their own. kept is false where base_failed, and where the lines above
-    the limits leave fewer than left_words words or less than left_share of the words. Repeated rows count as
-    documents of their own and all come out, as do rows without doc_id; an empty table gives no rows.
-    """
-    base = written(base_counts(docs), "line-counts").withColumn("host", F.coalesce("host", F.lit("")))
-    lines = base.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.h", "x.words", "x.first")
+def lines_above(base: DataFrame, lines: DataFrame, line_documents: int, line_share: float) -> DataFrame:
+    """host, h of the lines that more documents of the host hold than the limits allow."""
     hosts = base.groupBy("host").agg(F.count("*").alias("documents"))
     counts = lines.groupBy("host", "h").agg(F.sum(F.col("first").cast("long")).alias("n"))
     above = counts.filter(F.col("n") > line_documents).join(hosts, "host").filter(
         F.col("n") > line_share * F.col("documents")
     )
-    gone = lines.join(above.select("host", "h"), ["host", "h"]).groupBy("row").agg(
+    return above.select("host", "h")
+
+
+def _judged(base: DataFrame, lines: DataFrame, above: DataFrame, left_words: int, left_share: float) -> DataFrame:
+    gone = lines.join(above, ["host", "h"]).groupBy("row").agg(
         F.sum(F.col("words").cast("long")).alias("n_removed_words")
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -136,7 +152,70 @@ def line_rules(
         base.drop("lines", "host").join(gone, "row", "left")
         .withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
         .select(
-            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words",
+            "row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words",
             failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
         )
     )
+
+
+def _counted(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written base counts of source, and its lines: row, host, h, words, first."""
+    base = written(base_counts(source), "line-counts").withColumn("host", F.coalesce("host", F.lit("")))
+    lines = base.select("row", "host", F.explode("lines").alias("x"))
+    return base, lines.select("row", "host", "x.h", "x.words", "x.first")
+
+
+def line_rules(
+    docs: DataFrame,
+    line_documents: int = LINE_DOCUMENTS,
+    line_share: float = LINE_SHARE,
+    left_words: int = LEFT_WORDS,
+    left_share: float = LEFT_SHARE,
+) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words, base_failed, kept.
+
+    docs: doc_id, text, source (the host); other columns are ignored. A null text has no words and fails the base
+    rule. Lines are compared after lower-casing and with white space collapsed; a line counts once per document.
+    Documents without a host form a host of their own. kept is false where base_failed, and where the lines above
+    the limits leave fewer than left_words words or less than left_share of the words. Repeated rows count as
+    documents of their own and all come out, as do rows without doc_id; an empty table gives no rows.
+    """
+    source = docs.select(*_source(F.monotonically_increasing_id(), F.col("doc_id"), F.col("source"), F.col("text")))
+    base, lines = _counted(source)
+    above = lines_above(base, lines, line_documents, line_share)
+    return _judged(base, lines, above, left_words, left_share).drop("row")
+
+
+def without_frequent_lines(
+    docs: DataFrame,
+    line_documents: int = LINE_DOCUMENTS,
+    line_share: float = LINE_SHARE,
+    left_words: int = LEFT_WORDS,
+    left_share: float = LEFT_SHARE,
+    kept_only: bool = True,
+) -> DataFrame:
+    """The rows of docs that line_rules() keeps, with the lines above the limits cut out of their texts.
+
+    All columns of docs come back under their own names; text is a string, null where it was null, the other columns
+    are as given. Lines that stay keep their characters and order, joined by \\n; blank lines stay. With kept_only
+    false the rejected rows come too, cut alike. Repeated rows and rows without doc_id are rows of their own; an empty
+    table gives no rows. The rows are written to the shared folder, under the numbers that their counts refer to;
+    of a text only the places of its removed lines are gathered.
+    """
+    given = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), given.alias("doc")), "line-rows")
+    source = rows.select(*_source(F.col("row"), F.col("doc.doc_id"), F.col("doc.source"), F.col("doc.text")))
+    base, lines = _counted(source)
+    above = written(lines_above(base, lines, line_documents, line_share), "lines-above")
+    placed = source.select(
+        "row", F.coalesce("host", F.lit("")).alias("host"), F.posexplode(lines_of(F.col("text"))).alias("place", "line")
+    ).filter(has_words(F.col("line"))).select("row", "host", "place", line_hash(F.col("line")).alias("h"))
+    places = placed.join(above, ["host", "h"]).groupBy("row").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    out = rows.join(places, "row", "left")
+    if kept_only:
+        out = out.join(_judged(base, lines, above, left_words, left_share).filter("kept").select("row"), "row", "left_semi")
+    text = F.col("doc.text").cast("string")
+    cut = F.when(F.col("places").isNull(), text).otherwise(
+        let(lines_of(text), lambda x: F.array_join(without_places(x, F.col("places")), "\n"))
+    )
+    return out.select(*(cut.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))

@@ -60,6 +60,44 @@ def test_line_rules_equal_brute_force(table, lined):
     assert any(r.n_removed_words and not r.base_failed and not r.kept for r in got) and any(r.kept for r in got)
 
 
+@pytest.mark.parametrize("kept_only", [True, False])
+def test_texts_without_frequent_lines_equal_brute_force(table, lined, kept_only):
+    docs = table(lined, extra=True)
+    limits = {"line_documents": 15, "line_share": 0.01}
+    holders, hosts = collections.defaultdict(set), collections.Counter()
+    normal = lambda x: " ".join(x.lower().split())
+    for k, (_, text, _, host, _) in enumerate(lined):
+        hosts[host or ""] += 1
+        for line in (text or "").split("\n"):
+            if split(line):
+                holders[host or "", normal(line)].add(k)
+    above = {k for k, v in holders.items() if len(v) > 15 and len(v) > 0.01 * hosts[k[0]]}
+    expected = []
+    for doc_id, text, lang, host, n_chars in lined:
+        left = None if text is None else "\n".join(x for x in text.split("\n") if (host or "", normal(x)) not in above)
+        n, _, _, _, repeated = base(text)
+        n_left = len(split(left))
+        kept = n >= 10 and 100 * repeated <= 20 * n and n_left >= 10 and n_left >= 0.3 * n
+        if kept or not kept_only:
+            expected.append((doc_id, left, lang, host, n_chars))
+    out = linerules.without_frequent_lines(docs, **limits, kept_only=kept_only)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sorted(str(tuple(r)[:5]) for r in got) == sorted(map(str, expected))
+    assert sorted(map(str, {tuple(r)[5:] for r in got})) == sorted(map(str, {tuple(r)[5:] for r in docs.collect()}))
+    if not kept_only:  # the words that the counts call removed are those that the texts have lost
+        words = {r.doc_id: r.n_words - r.n_removed_words for r in linerules.line_rules(docs, **limits).collect()}
+        assert {r.doc_id: len(split(r.text)) for r in got} == words
+        assert sum(len(split(r[1])) for r in lined) > sum(words.values())
+
+
+def test_a_text_of_frequent_lines_and_an_empty_table_are_cut(table):
+    assert linerules.without_frequent_lines(table([], SCHEMA)).count() == 0
+    rows = [(k, "same line\n" * 50_000 + f"own line {k}", "en", "s", 0) for k in range(3)]
+    got = linerules.without_frequent_lines(table(rows), line_documents=2, line_share=0.5, kept_only=False).collect()
+    assert sorted(r.text for r in got) == [f"own line {k}" for k in range(3)]
+
+
 def test_line_rules_of_an_empty_table_and_a_long_text(table):
     assert linerules.line_rules(table([], SCHEMA)).count() == 0
     rng = random.Random(1)
@@ -133,7 +171,8 @@ def test_rows_stay_and_given_links_count(table, spark):
 
 
 @pytest.mark.parametrize("run", [
-    lambda docs, pages: linerules.line_rules(docs), lambda docs, pages: linkgraph.judge_urls(pages),
+    lambda docs, pages: linerules.line_rules(docs), lambda docs, pages: linerules.without_frequent_lines(docs),
+    lambda docs, pages: linkgraph.judge_urls(pages),
 ])
 def test_plans_are_native(table, run):
     plan = run(table(ODD), table(WEB, PAGES))._jdf.queryExecution().toString()
