@@ -120,6 +120,15 @@ def _sparse(shared):
     return run
 
 
+def _first_of_ties(close: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The most similar columns of each row; of those as similar as the last one taken, the first columns."""
+    least = np.take_along_axis(close, top, axis=1).min(axis=1, keepdims=True)
+    for i in np.flatnonzero((close >= least).sum(axis=1) > top.shape[1]):
+        above = np.flatnonzero(close[i] > least[i])
+        top[i] = np.concatenate([above, np.flatnonzero(close[i] == least[i])[: top.shape[1] - len(above)]])
+    return top
+
+
 def _vote(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, base, known, label, neighbours, prior = shared.value
@@ -134,6 +143,7 @@ def _vote(shared):
                 close = y @ known.T
                 k = min(neighbours, len(known))
                 top = np.argpartition(-close, k - 1, axis=1)[:, :k]
+                top = _first_of_ties(close, top)
                 weight = np.take_along_axis(close, top, axis=1).clip(0).astype(np.float64) ** SHARPNESS
                 scores.append(((weight * label[top]).sum(axis=1) + 0.01 * prior) / (weight.sum(axis=1) + 0.01))
             column = pa.array(np.concatenate(scores) if scores else np.zeros(0))
@@ -152,7 +162,7 @@ def quality(
     crc32(doc_id as text) modulo `parts` is not `part`, from about `labelled` of them at most (by a hash of doc_id,
     equal texts once); document frequencies cover all documents. Several labels of one document count as the largest.
     Null and empty texts have a zero vector and score the share of good labels, as does everything without labels.
-    Equal similarities keep whichever neighbours the partition finds first. Repeated rows score alike, a null doc_id
+    Of equal similarities the neighbours with the smallest text hashes vote. Repeated rows score alike, a null doc_id
     is not held out, an empty table gives no rows.
     """
     spark = docs.sparkSession

@@ -77,3 +77,14 @@ def test_empty_tables(table, labelled):
     empty = table([], LABELS)
     assert quality.quality(table([], SCHEMA), empty).count() == 0
     assert {r.score for r in quality.quality(docs, empty).collect()} == {0.5}
+
+
+def test_of_equal_similarities_the_first_columns_are_taken():
+    rng = np.random.default_rng(5)
+    close = rng.integers(0, 4, (200, 30)).astype(np.float32)
+    close[0] = 1
+    k = 7
+    top = quality._first_of_ties(close, np.argpartition(-close, k - 1, axis=1)[:, :k].copy())
+    for row, got in zip(close, top, strict=True):
+        assert sorted(got) == sorted(sorted(range(30), key=lambda c: (-row[c], c))[:k])
+    assert sorted(top[0]) == list(range(k))
