@@ -127,25 +127,57 @@ def operation_durations(logs: DataFrame) -> DataFrame:
     )
 
 
+#: Strips of a rate limit's period; divides a second's microseconds.
+STRIPS = 64
+
+
 def rate_limit_flags(calls: DataFrame, client: str, ts: str, max_calls: int = 10, period_s: int = 60) -> DataFrame:
     """Flag calls that follow ``max_calls`` or more others within ``period_s`` seconds.
 
-    Calls fall into buckets of one period and are echoed into the next bucket, so each
-    bucket sees all it needs and a busy client spreads over its buckets.
+    A client's time is cut into strips, a 64th of the period each. Every call counts +1 at its time and -1 a period
+    later; a strip's running sum starts with the calls of the 64 strips before it, which are summed per strip first.
+    So a window holds the calls of one strip and its forerunner, however busy the client. A null client is a client;
+    calls without a time have no recent calls.
     """
     span = period_s * 1_000_000
-    at = F.col("_at")
-    bucket = F.floor(at / span)
-    spread = calls.withColumn("_at", micros(ts)).select(
-        "*", F.explode(F.array(F.struct(bucket.alias("b"), F.lit(False).alias("echo")),
-                               F.struct((bucket + 1).alias("b"), F.lit(True).alias("echo")))).alias("_k")
+    width = span // STRIPS
+    timed = calls.withColumn("_at", micros(ts)).withColumn("_strip", F.col("_at") - F.pmod("_at", F.lit(width)))
+    running = F.sum("_step").over(
+        W.partitionBy(client, "_strip").orderBy("_place").rangeBetween(W.unboundedPreceding, W.currentRow)
     )
-    window = W.partitionBy(client, "_k.b").orderBy("_at").rangeBetween(-span + 1, W.currentRow)
+
+    counts = timed.filter("_at IS NOT NULL").groupBy(client, "_strip").agg(F.count(F.lit(1)).alias("_n"))
+    period = F.col("_strip") - F.pmod("_strip", F.lit(span))
+    before = W.partitionBy(client, "_period").orderBy("_strip").rangeBetween(-span, -width)
+    starts = (
+        counts.withColumn("_k", F.explode(F.array(
+            F.struct(period.alias("p"), F.lit(True).alias("own")), F.struct((period + span).alias("p"), F.lit(False).alias("own"))
+        )))
+        .withColumn("_period", F.col("_k.p"))
+        .withColumn("_step", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .filter("_k.own")
+        .select(client, "_strip", (F.col("_strip") - 1).alias("_place"), "_step", F.lit(0).alias("_kind"))
+    )
+    marks = F.array(*(
+        F.struct((F.col("_strip") + k).alias("strip"), (F.col("_at") + k).alias("place"),
+                 F.lit(step).cast("long").alias("step"), F.lit(kind).alias("kind"))
+        for k, step, kind in ((0, 1, 1), (span, -1, 2))
+    ))
+    events = timed.withColumn(
+        "_m", F.explode(F.when(F.col("_at").isNull(), F.slice(marks, 1, 1)).otherwise(marks))
+    ).withColumns({
+        # calls without a time spread over strips of their own and count nothing
+        "_strip": F.coalesce("_m.strip", F.monotonically_increasing_id()), "_place": F.col("_m.place"),
+        "_step": F.when(F.col("_at").isNotNull(), F.col("_m.step")).otherwise(0), "_kind": F.col("_m.kind"),
+    }).drop("_m")
+    recent = F.when(F.col("_at").isNull(), F.lit(0).cast("long")).otherwise(F.col("_sum") - 1)
     return (
-        spread.withColumn("recent_calls", F.count(F.lit(1)).over(window) - 1)
-        .filter(~F.col("_k.echo"))
+        events.unionByName(starts, allowMissingColumns=True)
+        .withColumn("_sum", running)
+        .filter("_kind = 1")
+        .withColumn("recent_calls", recent)
         .withColumn("limited", F.col("recent_calls") >= max_calls)
-        .drop("_at", "_k")
+        .select(*calls.columns, "recent_calls", "limited")
     )
 
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import jobs as ops, metrics
@@ -118,6 +119,31 @@ def test_rate_limit_against_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("period", [1, 7, 60, 3600])
+def test_rate_limit_of_busy_null_and_timeless_calls(spark, period):
+    rnd = random.Random(period)
+    at = lambda: T0 + dt.timedelta(microseconds=rnd.choice([0, 1, 15624, 15625, 999_999, 1_000_000]) + rnd.randrange(4 * period) * 250_000)
+    calls = [(i, rnd.choice(["hot", "hot", "hot", None, "c"]), at() if i % 10 else None) for i in range(500)]
+    calls += [(500 + i, "hot", T0 - dt.timedelta(days=30_000, microseconds=i)) for i in range(5)]
+    df = spark.createDataFrame(calls, "id int, client string, ts timestamp_ntz")
+    rows = metrics.rate_limit_flags(df, "client", "ts", 10, period).collect()
+    limit = dt.timedelta(seconds=period)
+    want = {i: sum(1 for j, d, u in calls if t and u and d == c and j != i and u <= t and t - u < limit) for i, c, t in calls}
+    assert {r.id: (r.recent_calls, r.limited) for r in rows} == {i: (n, n >= 10) for i, n in want.items()}
+    assert len(rows) == len(calls) and max(want.values()) > 50
+
+
+def test_rate_limit_windows_hold_a_strip(spark):
+    """A client that calls 50,000 times within one period: its rows spread over windows of a 64th of it."""
+    df = spark.range(50_000).selectExpr("id", "'hot' AS client", "timestamp_micros(1600000000000000 + id * 1000) AS ts")
+    out = metrics.rate_limit_flags(df, "client", "ts", 10, 60)
+    assert out.agg({"recent_calls": "max"}).first()[0] == 49_999 and out.count() == 50_000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    windows = [x for x in plan.split("\n") if " Window [" in x]
+    assert len(windows) == 2 and any("_strip" in x and "_step" in x for x in windows)
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_error_precedence(spark):
     rows = [(1, "RuntimeError", "Read TIMEOUT", "conversion"), (2, "RuntimeError", "x", "Conversion"), (3, "RuntimeError", "x", "email"),
             (4, "RuntimeError", "x", "list"), (5, "ConversionTimeoutError", "x", "x"), (6, "ValueError", "timeout", "x")]
