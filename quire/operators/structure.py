@@ -287,7 +287,7 @@ def ai_chapter_verify(responses: DataFrame, heads: DataFrame) -> DataFrame:
             T.ustrip(F.regexp_extract("line", pattern, 2)).alias("title"),
         )
     )
-    generic = (F.length("title") < 3) | F.lower("title").isin(V.GENERIC_TITLES)
+    generic = (F.length("title") < 3) | T.lower("title").isin(V.GENERIC_TITLES)
     return (
         proposed.join(heads, ["doc_id", "page_num"])
         .withColumn("title", F.when(generic, T.ustrip(F.substring_index("head", ".", 1))).otherwise(F.col("title")))

@@ -40,6 +40,15 @@ def test_heading_likely(spark, title, likely):
     assert values(spark, [title], T.heading_likely("t")) == [likely]
 
 
+def test_titles_keep_their_length_in_upper_and_lower_case(spark):
+    import duckdb
+
+    letters = [*T.LONG_UPPER, "é", "σ", "ﬁ", "ǆ", "1"]
+    want = duckdb.execute("SELECT list_transform(?::VARCHAR[], lambda x: concat(upper(x), 'heit'))", [letters]).fetchone()[0]
+    assert values(spark, [c + "heit" for c in letters], T.clean_title("t")) == want and want[0] == "ẞheit"
+    assert values(spark, ["İST", "ΟΔΟΣ"], T.title_key("t")) == ["ist", "οδοσ"]
+
+
 def test_clean_title(spark):
     rows = ["Page 3: intro", "page12 - • a   b •", "•·—x", "  émile ", "Page 7", "—"]
     assert values(spark, rows, T.clean_title("t")) == ["Intro", " a b ", "X", "Émile", "", ""]
