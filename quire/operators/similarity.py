@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.text import jaccard
+from quire.operators.pages import saved
+
+LIMBS = 8  # of a signature: enough to tell most sets of a hundred words apart
 
 
 def prefix_length(n: Column, t: float) -> Column:
@@ -20,29 +23,64 @@ def index_prefix_length(n: Column, t: float) -> Column:
 
 
 def _ranked(sets: DataFrame, freq: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, id, words: the words of each set from the rarest on."""
-    return (
-        sets.select(*keys, "id", F.explode("words").alias("_w"))
+    """keys, no, words and signature: the words of each set from the rarest on; a table, as both sides of a join read it."""
+    ranked = (
+        sets.select(*keys, "no", F.explode("words").alias("_w"))
         .join(freq, [*keys, "_w"])
-        .groupBy(*keys, "id")
+        .groupBy(*keys, "no")
         .agg(F.sort_array(F.collect_list(F.struct("_n", "_w"))).alias("_r"))
-        .select(*keys, "id", F.transform("_r", lambda r: r["_w"]).alias("words"))
+        .select(*keys, "no", F.transform("_r", lambda r: r["_w"]).alias("words"))
     )
+    return saved(ranked.select("*", *_signature("words")), "ranked-sets")
+
+
+def _signature(words: str) -> list[Column]:
+    """LIMBS whole numbers of 64 bits; each word sets one bit of one of them."""
+    bits = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(64 * LIMBS)).cast("int"))
+    none = F.lit(0).cast("long")
+
+    def limb(k: int) -> Column:
+        own = F.filter(bits, lambda b: F.floor(b / 64) == k)
+        return F.aggregate(own, none, lambda s, b: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b % 64)))
+
+    return [limb(k).alias(f"s{k}") for k in range(LIMBS)]
+
+
+def _postings(ranked: DataFrame, keys: list[str], side: str, prefix: Column) -> DataFrame:
+    """keys, _w and the side's no, n, at, s0...: a row of numbers for each word of a set's prefix; sets stay behind."""
+    marks = ["no", "n", *(f"s{k}" for k in range(LIMBS))]
+    sized = ranked.withColumns({"n": F.size("words"), "p": F.slice("words", F.lit(1), prefix)})
+    placed = sized.select(*keys, *marks, F.posexplode("p").alias("at", "_w"))
+    return placed.select(*keys, "_w", *(F.col(c).alias(f"{side}_{c}") for c in [*marks, "at"]))
 
 
 def _meet(longer: DataFrame, shorter: DataFrame, keys: list[str], t: float, ties: Column) -> DataFrame:
-    """Pairs (p_id, i_id, similarity) of a longer set, probing, and a shorter one, indexed; of equal length where ties."""
-    p = longer.select(*keys, F.col("id").alias("p_id"), F.col("words").alias("p_words")).withColumn(
-        "_pp", F.slice("p_words", F.lit(1), prefix_length(F.size("p_words"), t))
-    )
-    i = shorter.select(*keys, F.col("id").alias("i_id"), F.col("words").alias("i_words")).withColumn(
-        "_ip", F.slice("i_words", F.lit(1), index_prefix_length(F.size("i_words"), t))
-    )
-    np, ni = F.size("p_words"), F.size("i_words")
-    size = (ni >= np * t) & ((np > ni) | ((np == ni) & ties))
-    joined = p.withColumn("_w", F.explode("_pp")).join(i.withColumn("_w", F.explode("_ip")), [*keys, "_w"]).filter(size)
+    """Candidates (p_no, i_no) of a longer set, probing, and a shorter one, indexed; of equal length where ties.
+
+    A common word at places p and i leaves room for so many more; a bit that only one signature has is a word that only
+    that set has. Both bound the common words of a pair, which must reach t / (1 + t) of the words of both sets.
+    """
+    size = F.size("words")
+    p = _postings(longer, keys, "p", prefix_length(size, t))
+    i = _postings(shorter, keys, "i", index_prefix_length(size, t))
+    n_p, n_i = F.col("p_n"), F.col("i_n")
+    needed = F.ceil((n_p + n_i) * (t / (1 + t)) - 1e-9)
+    fits = (n_i >= n_p * t) & ((n_p > n_i) | ((n_p == n_i) & ties))
+    room = F.least(n_p - F.col("p_at"), n_i - F.col("i_at")) >= needed
+
+    def alone(a: str, b: str) -> Column:
+        return sum((F.bit_count(F.col(f"{a}_s{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}_s{k}")))) for k in range(LIMBS)), F.lit(0))
+
+    shared = F.least(n_p - alone("p", "i"), n_i - alone("i", "p")) >= needed
+    return p.join(i, [*keys, "_w"]).filter(fits & room & shared).select(*keys, "p_no", "i_no").distinct()
+
+
+def _confirmed(met: DataFrame, probing: DataFrame, indexed: DataFrame, keys: list[str], t: float) -> DataFrame:
+    """keys, p_id, i_id, similarity of the candidates that reach t on their words."""
+    p = probing.select(F.col("no").alias("p_no"), F.col("id").alias("p_id"), F.col("words").alias("p_words"))
+    i = indexed.select(F.col("no").alias("i_no"), F.col("id").alias("i_id"), F.col("words").alias("i_words"))
     return (
-        joined.filter(F.array_intersect("_pp", "_ip")[0] == F.col("_w"))
+        met.join(p, "p_no").join(i, "i_no")
         .withColumn("similarity", jaccard(F.col("p_words"), F.col("i_words")))
         .filter(F.col("similarity") >= t)
         .select(*keys, "p_id", "i_id", "similarity")
@@ -54,23 +92,29 @@ def similar_pairs(a: DataFrame, b: DataFrame | None, keys: Sequence[str], t: flo
 
     ``a`` holds keys, a_id, a_words and ``b`` keys, b_id, b_words. With None for ``b``, ``a`` meets itself, and each pair
     of different ids comes once, a_id < b_id. Pairs are the result: where very many sets share most of their words, their
-    number is quadratic. The longer set of a pair
-    probes with its prefix words, the shorter is indexed under fewer of them, rarest first, so a word that very many
-    short sets share indexes none of them; each pair is tested once, at its first common prefix word.
+    number is quadratic. The longer set of a pair probes with its prefix words, the shorter is indexed under fewer of
+    them, rarest first, so a word that very many short sets share indexes none of them. Sets are numbered and written to
+    the shared folder; what is shuffled for each prefix word is a few numbers, and words travel for the candidates only.
     """
     keys = list(keys)
-    left = a.select(*keys, F.col("a_id").alias("id"), F.col("a_words").alias("words"))
+
+    def numbered(rows: DataFrame, side: str) -> DataFrame:
+        sets = rows.select(*keys, F.col(f"{side}_id").alias("id"), F.col(f"{side}_words").alias("words"))
+        return saved(sets.withColumn("no", F.monotonically_increasing_id()), "word-sets")
+
+    left = numbered(a, "a")
     words = left.select(*keys, F.explode("words").alias("_w"))
     if b is None:
         sets = _ranked(left, words.groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_n")), keys)
-        met = _meet(sets, sets, keys, t, F.col("p_id") < F.col("i_id")).filter(F.col("p_id") != F.col("i_id"))
-        ends = F.least("p_id", "i_id").alias("a_id"), F.greatest("p_id", "i_id").alias("b_id")
-        return met.select(*keys, *ends, "similarity")
-    right = b.select(*keys, F.col("b_id").alias("id"), F.col("b_words").alias("words"))
+        met = _meet(sets, sets, keys, t, F.col("p_no") < F.col("i_no"))
+        found = _confirmed(met, left, left, keys, t)
+        return found.select(*keys, F.least("p_id", "i_id").alias("a_id"), F.greatest("p_id", "i_id").alias("b_id"), "similarity")
+    right = numbered(b, "b")
     words = words.unionByName(right.select(*keys, F.explode("words").alias("_w")))
     freq = words.groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_n"))
-    left = _ranked(left, freq, keys)
-    right = _ranked(right, freq, keys)
-    first = _meet(left, right, keys, t, F.lit(True)).withColumnsRenamed({"p_id": "a_id", "i_id": "b_id"})
-    second = _meet(right, left, keys, t, F.lit(False)).withColumnsRenamed({"p_id": "b_id", "i_id": "a_id"})
+    ranked = _ranked(left, freq, keys), _ranked(right, freq, keys)
+    first = _confirmed(_meet(*ranked, keys, t, F.lit(True)), left, right, keys, t)
+    second = _confirmed(_meet(*ranked[::-1], keys, t, F.lit(False)), right, left, keys, t)
+    first = first.withColumnsRenamed({"p_id": "a_id", "i_id": "b_id"})
+    second = second.withColumnsRenamed({"p_id": "b_id", "i_id": "a_id"})
     return first.unionByName(second).select(*keys, "a_id", "b_id", "similarity")

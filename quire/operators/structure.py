@@ -172,7 +172,7 @@ def title_similarity_join(titles: DataFrame, t: float = 0.5) -> DataFrame:
     Titles with equal word sets are one entry with a count, so a title shared by very many
     rows pairs up once.
     """
-    sets = titles.select(T.title_words(T.title_key("title")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    sets = saved(titles.select(T.title_words(T.title_key("title")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "titles")
     key = F.array_join("w", " ")
     a = sets.select(key.alias("a_id"), F.col("w").alias("a_words"))
     pairs = similar_pairs(a, None, [], t)

@@ -154,6 +154,23 @@ def test_hot_words_do_not_pair_up(spark):
     assert all(r <= 4 * n for r in rows)
 
 
+def test_long_sets_meet_by_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from quire.operators import similarity
+
+    sets = [(i, [f"w{(i * 7 + k) % 1000}" for k in range(200)]) for i in range(60)]
+    a = spark.createDataFrame(sets, "a_id int, a_words array<string>")
+    near = {(x, y) for x, v in sets for y, w in sets if x < y and len({*v} & {*w}) / len({*v} | {*w}) >= 0.5}
+    assert {(r.a_id, r.b_id) for r in similar_pairs(a, None, [], 0.5).collect()} == near
+    ranked = similarity._ranked(
+        a.select(F.col("a_id").alias("no"), F.col("a_words").alias("words")),
+        a.select(F.explode("a_words").alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_n")), [],
+    )
+    kinds = dict(similarity._postings(ranked, [], "p", similarity.prefix_length(F.size("words"), 0.5)).dtypes)
+    assert kinds.pop("_w") == "string" and set(kinds.values()) <= {"int", "bigint"}
+
+
 def test_similar_pairs_is_exact(spark):
     rnd = random.Random(5)
     sets = [(i % 2, i, sorted({f"w{min(rnd.randrange(12), rnd.randrange(12))}" for _ in range(rnd.randrange(1, 12))})) for i in range(120)]
