@@ -157,6 +157,13 @@ def assemble_text(
     )
 
 
+def whole_text(parts: DataFrame, keys: Sequence[str], sep: str = " ", text: str = "text") -> DataFrame:
+    """The parts of assemble_text as one text per key; a row holds at most 2 GB, and a task holds the rows it makes."""
+    rows = F.sort_array(F.collect_list(F.struct("part", F.col(text).alias("_t"))))
+    whole = F.array_join(F.transform(rows, lambda r: r["_t"]), sep)
+    return parts.repartition(*keys).groupBy(*keys).agg(F.lit(0).alias("part"), whole.alias(text))
+
+
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The row that sorts first per key, as a partial aggregate (no sort, no window)."""
     rest = [c for c in df.columns if c not in keys]

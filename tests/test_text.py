@@ -1,3 +1,4 @@
+import hashlib
 import random
 import time
 
@@ -140,3 +141,15 @@ def test_long_text_continues_in_parts(spark):
     mine = sorted((r.part, r.text) for r in parts if r.doc_id == 1)
     assert len(mine) > 5 and " ".join(x for _, x in mine) == whole
     assert [r.text for r in parts if r.doc_id == 2] == ["only"]
+
+
+def test_a_large_host_is_one_row_as_in_its_sql(spark, tmp_path):
+    from quire.plans.registry import QUERIES
+
+    pages = spark.range(18).select(
+        (F.col("id") * 300).alias("page_id"), F.lit("http://a.b/c").alias("url"), F.concat(F.lit("<p>"), "id", F.expr("repeat('x', 1000000)")).alias("html")
+    )
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    found = QUERIES["extract_text_doc"](spark, str(tmp_path)).select("host", "part", F.md5("text").alias("text")).collect()
+    whole = " ".join(f"{k}" + "x" * 1000000 for k in range(18))
+    assert [tuple(r) for r in found] == [("a.b", 0, hashlib.md5(whole.encode()).hexdigest())]
