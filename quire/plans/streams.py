@@ -14,10 +14,11 @@ DELAY_US = 600_000_000
 
 
 def _stream(t, view):
-    """A view over its source table's files read as a stream."""
+    """A view over its source table, a file or a folder of files, read as a stream (streams take no path of one file, but a
+    pattern that finds it)."""
     table, exprs = VIEWS[view]
     schema = getattr(t, table).schema
-    return ops.read_stream(t.spark, t.dir, schema, f"{table}.parquet").selectExpr(*exprs)
+    return ops.read_stream(t.spark, f"{t.dir}/{table}.parque[t]", schema).selectExpr(*exprs)
 
 
 def _events(t):

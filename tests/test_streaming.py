@@ -1,6 +1,7 @@
 import datetime as dt
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,15 @@ def test_jobs_on_empty_streams(spark, tmp_path):
     ticks = ops.read_stream(spark, str(tmp_path / "nothing"), spark.createDataFrame([], "now_s long").schema)
     files = spark.createDataFrame([], "file_id long, area string, name string, modified_s double, size_bytes long, access_error string, rel_path string")
     assert ops.retention_sweep(ticks, files).count() == 0
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    from quire.plans.registry import CHECKS, QUERIES
+
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    documents.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = QUERIES["stream_retention_sweep"](spark, str(tmp_path)).collect()
+    assert found and sorted(r.area for r in found) == sorted(r[0] for r in con.execute(CHECKS["stream_retention_sweep"]).fetchall())
+    assert {r.now_s for r in found} == {con.execute("SELECT max(1704067200 + doc_id * 613) FROM documents").fetchone()[0]}
