@@ -193,3 +193,10 @@ def test_a_group_of_near_copies_counts_little(table):
     assert scores(fitted, [" ".join(base[k : k + 3]) for k in range(0, 117, 3)]).max() < 0.5 <= scores(fitted, ["w1 scumbag"])[0]
     usable = toxicity.apart(docs.select("text").withColumn("label", F.lit(1)))
     assert usable.filter("text LIKE '%new%'").count() < 12 and usable.count() > 250
+
+
+def test_all_labelled_texts_are_counted(spark):
+    n = 24_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.md5(F.concat("id", F.lit(f"-{k}"))) for k in range(5))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 8 == 0).cast("int").alias("toxic"))
+    assert toxicity.fit(docs, labels, F.lit(True)).prior == (n // 8 + 0.5) / (n + 1)
