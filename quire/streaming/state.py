@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, functions as F
@@ -98,39 +99,79 @@ def last_events(events: DataFrame, hours: float = 24, lateness: str = LATENESS)
     )
 
 
+BUCKETS = 4096  # of requests and of batches: a bucket is one state row, read and written once per micro-batch
+NEVER = 1 << 62
+
+
+def bucket_of(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _held(state) -> list[pd.DataFrame]:
+    known = state.get()
+    return [pa.ipc.open_stream(bytes(known[0])).read_pandas()] if known else []
+
+
+def _keep(state, rows: pd.DataFrame, held: bool) -> None:
+    if len(rows):
+        state.update((_packed(rows),))
+    elif held:
+        state.clear()
+
+
 class OpenRequests(StatefulProcessor):
-    """Holds the first mark of a request until the second is in; hands out what changes in the counts."""
+    """Holds the first mark of a bucket's requests until the second is in; hands out what changes in the counts."""
 
     def __init__(self, wait_ms: int):
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("mark", "started boolean")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        starts, ends, at = 0, 0, 0
-        for r in rows:
-            starts, ends, at = starts | r["started"], ends | r["ended"], max(at, r["at"])
-        held = self.state.get()
-        begun, over = (bool(held[0]), not held[0]) if held else (False, False)
-        new_start, new_end = bool(starts) and not begun, bool(ends) and not over
-        both = (begun or new_start) and (over or new_end)
-        if both:
-            if held:
-                self.state.clear()
-                if over:
-                    for timer in _timers_of(self.handle):
-                        self.handle.deleteTimer(timer)
-        elif not held:
-            self.state.update((new_start,))
-            if not new_start:  # an end without a start waits for it only so long
-                self.handle.registerTimer(at // 1000 + self.wait_ms)
-        if new_start or (begun and new_end):
-            yield Row(started=int(new_start), finished=int(both), active=int(new_start) - int(both))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.state.clear()
+        self.state = handle.getValueState("marks", "open binary")
+
+    def _timed(self, rows: pd.DataFrame, held: bool) -> None:
+        """One timer per bucket, for the end that has waited longest for its start."""
+        if held:
+            for timer in _timers_of(self.handle):
+                self.handle.deleteTimer(timer)
+        first = int(rows["until"].min()) if len(rows) else NEVER
+        if first < NEVER:
+            self.handle.registerTimer(first)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = _held(self.state)
+        new = pd.concat([r[["request_id", "started", "ended", "at"]] for r in rows]).assign(begun=0, over=0, until=0)
+        known = [h.assign(started=0, ended=0, at=0, over=1 - h["begun"]) for h in held]
+        r = pd.concat([new, *known]).groupby("request_id", dropna=False, as_index=False).max()
+        begun, over = r["begun"] > 0, r["over"] > 0
+        new_start, new_end = (r["started"] > 0) & ~begun, (r["ended"] > 0) & ~over
+        both = (begun | new_start) & (over | new_end)
+        waits = (r["at"] // 1000 + self.wait_ms).mask(new_start, NEVER)  # an end without a start waits for it only so long
+        left = pd.DataFrame({
+            "request_id": r["request_id"], "begun": (begun | new_start & ~over).astype("int64"),
+            "until": r["until"].where(begun | over, waits).astype("int64"),
+        })[~both]
+        _keep(self.state, left, bool(held))
+        self._timed(left, bool(held))
+        told = new_start | (begun & new_end)
+        if told.any():
+            started, finished = int(new_start[told].sum()), int(both[told].sum())
+            yield pd.DataFrame({"started": [started], "finished": [finished], "active": [started - finished]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for held in _held(self.state):
+            now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+            left = held[held["until"] > now]
+            _keep(self.state, left, True)
+            self._timed(left, False)
         return iter([])
 
     def close(self) -> None:
@@ -138,7 +179,7 @@ class OpenRequests(StatefulProcessor):
 
 
 def request_changes(marks: DataFrame, wait: float = 1, lateness: str = LATENESS) -> DataFrame:
-    """started, finished, active: by how much each count changes, a row per request that changes it (append mode).
+    """started, finished, active: by how much each count changes, a row per bucket of requests that change it (append mode).
 
     marks: request_id, ts, event ('start', or anything else for an end); rows without time are left out. A request has
     one start and one end; its state goes when both are in. An end whose start doesn't come within `wait` hours of
@@ -146,10 +187,11 @@ def request_changes(marks: DataFrame, wait: float = 1, lateness: str = LATENESS)
     """
     start = (F.col("event") == "start").cast("int")
     rows = marks.filter("ts IS NOT NULL AND event IS NOT NULL").select(
-        "request_id", F.col("ts").cast("timestamp").alias("ts"), start.alias("started"), (1 - start).alias("ended")
+        bucket_of("request_id"), F.col("request_id").cast("string").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"),
+        start.cast("long").alias("started"), (1 - start).cast("long").alias("ended"),
     )
     timed = rows.withColumn("at", F.unix_micros("ts")).withWatermark("ts", lateness)
-    return timed.groupBy("request_id").transformWithState(
+    return timed.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=OpenRequests(int(wait * 3_600_000)),
         outputStructType="started long, finished long, active long", outputMode="append", timeMode="eventTime",
     )
@@ -168,21 +210,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class OpenBatches(StatefulProcessor):
-    """Counts the finished files of a batch until all are in; the batch then leaves the state."""
+    """Counts the finished files of a bucket's batches until all are in; a full batch then leaves the state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("counts", "completed long, failed long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.state.get()
-        completed, failed, total = (*held, 0) if held else (0, 0, 0)
-        for r in rows:
-            completed, failed, total = completed + r["completed"], failed + r["failed"], r["total_files"]
-        if completed + failed < total:
-            self.state.update((completed, failed))
-        elif held:
-            self.state.clear()
-        yield Row(batch_id=key[0], completed_files=completed, failed_files=failed, total_files=total)
+        self.state = handle.getValueState("counts", "open binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = _held(self.state)
+        new = pd.concat([r[["batch_id", "total_files", "completed", "failed"]] for r in rows]).assign(fresh=1)
+        known = [h.assign(total_files=0, fresh=0) for h in held]
+        r = pd.concat([new, *known]).groupby("batch_id", as_index=False).agg(
+            {"completed": "sum", "failed": "sum", "total_files": "max", "fresh": "max"}
+        )
+        changed = r["fresh"] > 0
+        full = changed & (r["completed"] + r["failed"] >= r["total_files"])
+        _keep(self.state, r.loc[~full, ["batch_id", "completed", "failed"]], bool(held))
+        yield r.loc[changed, ["batch_id", "completed", "failed", "total_files"]].set_axis(
+            ["batch_id", "completed_files", "failed_files", "total_files"], axis=1
+        )
 
     def close(self) -> None:
         pass
@@ -200,7 +245,7 @@ def batch_counts(tasks: DataFrame, totals: DataFrame) -> DataFrame:
         (F.col("status") == "completed").cast("long").alias("completed"), (F.col("status") == "failed").cast("long").alias("failed"),
     )
     kinds = "batch_id long, total_files long, completed long, failed long"
-    return rows.mapInArrow(_counted, kinds).groupBy("batch_id").transformWithState(
+    return rows.mapInArrow(_counted, kinds).withColumn("bucket", bucket_of("batch_id")).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=OpenBatches(),
         outputStructType="batch_id long, completed_files long, failed_files long, total_files long",
         outputMode="update", timeMode="none",

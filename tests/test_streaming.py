@@ -118,6 +118,22 @@ def test_the_gauge_holds_active_requests_only(spark, tmp_path):
     assert held(progress)[-1] == r.active
 
 
+def test_many_open_keys_are_held_by_bucket(spark, tmp_path):
+    from quire.streaming.state import BUCKETS
+
+    n, progress = 3 * BUCKETS, []
+    marks = [[(r, T0, "start") for r in range(n)], [(r, T0 + SECOND, "end") for r in range(0, n, 2)]]
+    stream = stream_of(spark, tmp_path / "m", marks, "request_id long, ts timestamp_ntz, event string")
+    assert tuple(ops.active_gauge(stream, progress=progress).first()) == (n, n // 2, n // 2)
+    assert max(held(progress)) <= BUCKETS
+    files = [[(b, "a", "completed") for b in range(n)], [(b, "b", "failed") for b in range(0, n, 3)]]
+    stream = stream_of(spark, tmp_path / "b", files, "batch_id long, task_id string, status string")
+    totals, progress = spark.range(n).select(F.col("id").alias("batch_id"), F.lit(2).alias("total_files")), []
+    table = ops.newest(ops.drain(ops.batch_progress(stream, totals), "b", "update", progress=progress), ["batch_id"])
+    assert {r.progress_percent: r["count"] for r in table.groupBy("progress_percent").count().collect()} == {50: n - n // 3, 100: n // 3}
+    assert max(held(progress)) <= BUCKETS
+
+
 def test_finished_tasks_leave_the_state_and_live_ones_stay(spark, tmp_path):
     def row(task, hours, seq, kind):
         return (task, T0 + dt.timedelta(hours=hours), seq, kind, None, 0, 5)
