@@ -8,8 +8,11 @@ one of their first COORDINATES - MATCHES + 1 pairs (prefix), and classes with en
 at once. Collisions are counted on whole signatures, and only pairs that reach MATCHES are compared by their sets.
 
 Posting lists may hold many near copies, so pairs are not expanded. First every class of a list is compared with the
-list's first class, which ties large groups together in linear work. Then only lists that still span several
-components are compared in blocks of BLOCK classes. A block passes over classes of one component, takes each pair
+list's first class, which ties large groups together in linear work. Lists of more than BLOCK classes that still span
+several components go on with other hubs, drawn anew in each turn, as long as that ties more. Then only lists that
+still span several components are compared in blocks of BLOCK classes; the blocks of a list's largest component meet
+the list's other classes, not each other, so the copies of a large group are not dealt in the square of their number.
+A block passes over classes of one component, takes each pair
 only under the first prefix pair that both have, compares the sets themselves (SKETCH hashes, whole for shorter
 documents) and joins what is surely linked at once, so it returns a spanning forest and few doubtful pairs.
 """
@@ -33,6 +36,7 @@ COORDINATES = 48
 MATCHES = 24
 BLOCK = 512
 SKETCH = 1024
+TURNS = 6  # of hubs in long lists; what they leave apart is compared in blocks
 
 _FACTORS = np.random.default_rng(48).integers(0, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -287,14 +291,26 @@ def collisions(
 ) -> DataFrame:
     """Pairs (a, b) of nodes of different components that may link, enough of them to tie what is linked together.
 
-    lists: token, df, node, mask, component; described: node, signature, sketch. A list is cut into blocks of about
-    `block` nodes, and each two of its blocks meet in a group of their own, so no task holds more than two blocks.
+    lists: token, node, mask, component; described: node, signature, sketch. A list is cut into blocks of about `block`
+    nodes, and each two of its blocks meet in a group of their own, so no task holds more than two blocks. A longer
+    list's largest component has blocks of its own, numbered after the others, which don't meet each other.
     """
-    blocks = F.ceil(F.col("df") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    sizes = lists.groupBy("token", "component").agg(F.count("*").alias("m"))
+    held = sizes.groupBy("token").agg(
+        F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("n")
+    )
+    short = F.col("n") <= block
+    cut = held.select(
+        "token", F.when(~short, F.col("main")).alias("main"),
+        F.when(short, 1).otherwise(F.ceil((F.col("n") - F.col("m")) / block)).cast("int").alias("outer"),
+        F.when(short, 0).otherwise(F.ceil(F.col("m") / block)).cast("int").alias("inner"),
+    )
+    of_main, place = F.coalesce(F.col("component") == F.col("main"), F.lit(False)), F.xxhash64("node")
+    own = F.when(of_main, F.col("outer") + F.pmod(place, F.col("inner"))).otherwise(F.pmod(place, F.col("outer"))).cast("int")
+    last = F.col("outer") - 1 + F.when(of_main, 0).otherwise(F.col("inner"))
     dealt = (
-        lists.withColumn("block", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        lists.join(cut, "token")
+        .select("token", "node", "mask", "component", own.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
         .join(described, "node")
         .select(
             "token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
@@ -305,6 +321,26 @@ def collisions(
     return met.mapInArrow(_collide(coordinates, matches, percent), "a long, b long").distinct()
 
 
+def open_lists(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """token, node, mask, component, n: the lists whose nodes belong to several components, and their numbers of nodes."""
+    placed = lists.drop("df").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spans = placed.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("n"))
+    return placed.join(spans.filter("p <> q").select("token", "n"), "token")
+
+
+def with_hubs(lists: DataFrame, classes: DataFrame, matches: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of a node drawn in each list and the list's nodes of other components, if their signatures may link."""
+    drawn = F.min_by(F.struct(F.col("node").alias("a"), F.col("component").alias("c")), F.xxhash64("token", "node", F.lit(turn)))
+    hubs = lists.groupBy("token").agg(drawn.alias("hub")).select("token", "hub.*")
+    met = lists.join(hubs, "token").filter("component <> c").select(
+        F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")
+    ).distinct()
+    for end in "ab":
+        met = met.join(classes.select(F.col("node").alias(end), F.col("signature").alias(f"signature_{end}")), end)
+    equal = F.filter(F.zip_with("signature_a", "signature_b", lambda x, y: x == y), lambda same: same)
+    return met.filter(F.size(equal) >= matches).select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = 85,
@@ -340,15 +376,23 @@ def near_duplicates(
     tied = written(confirmed(stars, texts, percent, shingle).distinct(), "links")
     parts = written(components(tied), "components")
 
-    placed = lists.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q")
-    open_lists = placed.join(mixed.select("token"), "token", "left_semi")
-    open_texts = texts.join(open_lists.select("node").distinct(), "node", "left_semi")
+    star = [F.col("node").alias("a"), F.col("component").alias("b")]  # components as links
+    for turn in range(TURNS):
+        long = written(open_lists(lists, parts).filter(F.col("n") > block), "long")
+        if long.isEmpty():
+            break
+        more = written(confirmed(with_hubs(long, classes, matches, turn), texts, percent, shingle).distinct(), "links")
+        if more.isEmpty():
+            break
+        parts = written(components(parts.select(*star).unionByName(more)), "components")
+
+    apart = written(open_lists(lists, parts), "open")
+    open_texts = texts.join(apart.select("node").distinct(), "node", "left_semi")
     sketches = open_texts.select("node", "text").mapInArrow(_sketch(shingle), "node long, sketch binary")
     described_nodes = written(classes.select("node", "signature").join(sketches, "node"), "sketches")
-    pairs = written(collisions(open_lists, described_nodes, coordinates, matches, percent, block), "pairs")
+    pairs = written(collisions(apart, described_nodes, coordinates, matches, percent, block), "pairs")
     further = written(confirmed(pairs, texts, percent, shingle).distinct(), "links")
-    final = components(tied.unionByName(further))
+    final = components(parts.select(*star).unionByName(further))
 
     reached = classes.join(final, "node", "left").select(
         *key, F.col("node").alias("first"), F.coalesce("component", "node").alias("component")

@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -58,6 +59,31 @@ def test_lists_that_a_hub_does_not_tie_are_compared_in_blocks(table):
     assert got[0] == 0 and set(got.values()) == {0, 1}
 
 
+def test_copies_of_a_long_list_are_not_dealt_to_each_other(spark, monkeypatch):
+    """A list of 64 nodes of one component and 3 others: the copies meet the others only, and all such pairs meet."""
+    nodes = list(range(67))
+    lists = spark.createDataFrame([(5, 67, n, 1, 0 if n < 64 else n) for n in nodes], "token long, df long, node long, mask long, component long")
+    described = spark.createDataFrame([(n, [1], b"") for n in nodes], "node long, signature array<int>, sketch binary")
+
+    def everyone(*_):
+        def run(batches):
+            for batch in batches:
+                names = batch.schema.names
+                low, high, node = (batch.column(names.index(c)) for c in ("low", "high", "node"))
+                group = [100 * a + b for a, b in zip(low.to_pylist(), high.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), node], names=["a", "b"])
+
+        return run
+
+    monkeypatch.setattr(neardup, "_collide", everyone)
+    rows = neardup.collisions(lists, described, 1, 1, 80, 8).collect()
+    assert len(rows) <= 64 + 3 * 10
+    groups = collections.defaultdict(set)
+    for r in rows:
+        groups[r.b].add(r.a)
+    assert all(groups[a] & groups[b] for a in nodes for b in range(64, 67))
+
+
 def test_empty_table_and_repeated_rows(table):
     assert neardup.near_duplicates(table([], SCHEMA)).count() == 0
     rows = [(1, "one two three four five six", "", "", 0)] * 3 + [(2, "one two three four five six", "", "", 0)]
