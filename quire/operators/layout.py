@@ -13,6 +13,7 @@ from quire.operators.ordered import PART_CHARS
 
 GAP = 20.0
 LINE_TOLERANCE = 5.0
+SMALL = 64  # positions that are walked one by one; calls on short arrays would cost more
 
 
 class _Frames:
@@ -36,11 +37,21 @@ class _Frames:
 
     def across(self, starts: np.ndarray, ends: np.ndarray) -> None:
         """Word starts in order and the furthest end at each: a start more than `gap` after the one before opens a column."""
+        if len(starts) <= SMALL:
+            spans, last = self.spans[-1], self.last
+            for first, end in zip(starts.tolist(), ends.tolist(), strict=True):
+                if not spans or first - last > self.gap:
+                    spans.append({"column_number": len(spans), "x_start": first, "x_end": end})
+                elif end > spans[-1]["x_end"] or spans[-1]["x_end"] != spans[-1]["x_end"]:  # as fmax, which passes over NaN
+                    spans[-1]["x_end"] = end
+                last = first
+            self.last = last
+            return
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(starts) > self.gap) + 1])
         furthest = np.fmax.reduceat(ends, cuts).tolist()
         spans = self.spans[-1]
         for k, (first, end) in enumerate(zip(starts[cuts].tolist(), furthest, strict=True)):
-            if k == 0 and spans and first - self.last <= self.gap:
+            if k == 0 and spans and not first - self.last > self.gap:
                 end = float(np.fmax(spans[-1]["x_end"], end))
                 spans[-1]["x_end"] = end
             else:
@@ -50,6 +61,11 @@ class _Frames:
     def down(self, tops: np.ndarray) -> None:
         """Distinct tops in order: one more than `tol` below the line's first opens the next line."""
         anchors, tol, n = self.anchors[-1], self.tol, len(tops)
+        if n <= SMALL:
+            for top in tops.tolist():
+                if not anchors or top - anchors[-1] > tol:
+                    anchors.append(top)
+            return
         k = 0
         while k < n:
             if anchors:

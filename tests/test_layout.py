@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import layout as ops
+from quire.session import prepare
 
 WORD = "page_id long, word_id long, text string, x0 double, x1 double, top double, bottom double, size int"
 
@@ -178,3 +180,29 @@ def test_page_profile_keeps_pages_of_either_side(spark):
     tables = spark.createDataFrame([(2, 5), (3, 5), (3, 6)], "page_id long, n_rows int")
     got = sorted(tuple(r) for r in ops.page_profile(columns, tables).collect())
     assert got == [(1, 2, 0), (2, 1, 1), (3, 0, 2)]
+
+
+@pytest.mark.parametrize("small", [0, 64])
+def test_short_pages_walked_one_by_one_give_the_same_frames(monkeypatch, small):
+    monkeypatch.setattr(ops, "SMALL", small)
+    frames = ops._Frames(20.0, 5.0)
+    frames.begin(1)
+    nan = float("nan")
+    frames.across(np.array([0.0, 10, 50, 60]), np.array([nan, 18, 58, 55]))
+    frames.across(np.array([70.0, 100]), np.array([90.0, nan]))
+    frames.down(np.array([0.0, 5, 6, 11]))
+    frames.down(np.array([11.5, 20]))
+    spans = [(s["column_number"], s["x_start"], s["x_end"]) for s in frames.spans[0]]
+    assert spans[:2] == [(0, 0.0, 18.0), (1, 50.0, 90.0)] and spans[2][:2] == (2, 100.0) and np.isnan(spans[2][2])
+    assert frames.anchors == [[0.0, 6.0, 11.5, 20.0]]
+
+
+def test_shares_of_a_task_follow_sizes_not_the_partition_number(spark, tmp_path):
+    """Shuffles begin with many partitions and scans with small splits, whatever number of partitions is set."""
+    prepare(spark)
+    rows = spark.range(0, 3_000_000, numPartitions=4).select((F.col("id") % 500_000).alias("page_id"), F.xxhash64("id").alias("x"))
+    dealt = rows.repartition("page_id").sortWithinPartitions("page_id")
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.coalesce(1).write.option("parquet.block.size", 2 << 20).parquet(str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).rdd.getNumPartitions() >= 3
