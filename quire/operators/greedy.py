@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 FEW = 48  # sets that are compared one by one
 LIMBS = 4  # 64-bit limbs of a signature
 DROPPED = 40  # set keys a lookup of smaller sets may try
+ROWS = 256  # that stand as Python objects at a time
 
 
 @lru_cache(maxsize=1 << 16)
@@ -185,16 +186,18 @@ def select(rows: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Cal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, last = None, None
-        for batch in batches:
-            asked = zip(
-                zip(*(batch.column(c).to_pylist() for c in keys), strict=True),
-                *(batch.column(c).to_pylist() for c in rule().columns), strict=True,
-            )
-            flags = []
-            for own, *values in asked:
-                if state is None or own != last:
-                    state, last = rule(), own
-                flags.append(state.keep(*values))
-            yield batch.filter(pa.array(flags, pa.bool_()))
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                asked = zip(
+                    zip(*(batch.column(c).to_pylist() for c in keys), strict=True),
+                    *(batch.column(c).to_pylist() for c in rule().columns), strict=True,
+                )
+                flags = []
+                for own, *values in asked:
+                    if state is None or own != last:
+                        state, last = rule(), own
+                    flags.append(state.keep(*values))
+                yield batch.filter(pa.array(flags, pa.bool_()))
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, rows.schema)

@@ -1,11 +1,13 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 
 from quire.operators import greedy, pages
 from quire.operators import structure as ops
 from quire.operators.similarity import similar_pairs
+from quire.session import prepare
 
 SCHEMA = "doc_id int, page_num long, title string, confidence double, method string, level int, seq long, priority int"
 METHODS = ["bookmark", "font_analysis", "page_pattern", "ai_analysis"]
@@ -268,3 +270,16 @@ def test_page_summary_reads_blocks_once(spark, tmp_path):
     assert plan.count("FileScan") == 1
     empty = pages.page_summary(spark.createDataFrame([], BLOCK))
     assert empty.count() == 0
+
+
+def test_python_workers_get_small_batches_and_the_greedy_pass_goes_on_over_slices(spark):
+    prepare(spark)
+    rows = spark.range(0, 3000, numPartitions=1).selectExpr("id % 2 AS doc_id", "id AS seq", "array(concat('w', id % 700)) AS words", "array(concat('w', id % 700)) AS clean_words")
+    kept = greedy.select(rows, ["doc_id"], ["seq"], lambda: greedy.DocumentTitles(0.9))
+    assert sorted(r.seq for r in kept.collect()) == list(range(700))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) <= 1000
