@@ -37,6 +37,7 @@ from quire.llm.latent import directions, sum_by_slice
 from quire.llm.store import small_enough, written
 from quire.llm.toxicity import cores
 from quire.llm.words import SLAB, Slab, slabs, span_hashes, words
+from quire.llm.workers import releasing
 
 FEATURES = 1 << 18
 SLICE = 1 << 10
@@ -69,6 +70,7 @@ def _column(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(FEATURES - 1)).astype(np.int64)
 
 
+@releasing
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, texts = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
@@ -224,6 +226,7 @@ def _near(hashes: np.ndarray, weight: np.ndarray, low: np.ndarray, last: np.ndar
 
 
 def _search(shared):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, models, items = shared.value
         for batch in batches:
@@ -264,6 +267,7 @@ def _search(shared):
 def _cut_items(shared):
     """Every item's passages: weighted features of unit length, their least product, and all the item's words."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for batch in batches:

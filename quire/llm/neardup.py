@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from quire.llm.graph import components
 from quire.llm.store import small_enough, written
 from quire.llm.words import Slab, gram_hashes, gram_starts, mix, slabs, word_hashes, words
+from quire.llm.workers import releasing
 
 SHINGLE = 5
 COORDINATES = 48
@@ -87,6 +88,7 @@ def _describe(shingle: int, coordinates: int):
         ("signature", pa.list_(pa.int32())),
     ])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for slab in slabs(batch.column(1)):
@@ -151,6 +153,7 @@ def _similar(percent: int, shingle: int):
             rows.append(np.repeat(np.arange(slab.first, slab.last), np.diff(at)))
         return np.concatenate(rows), np.concatenate(grams)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
@@ -182,6 +185,7 @@ def _sketch(shingle: int):
     """The SKETCH smallest 32-bit shingle hashes of each text, sorted; all of them if there are no more."""
     kinds = pa.schema([("node", pa.int64()), ("sketch", pa.binary())])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for slab in slabs(batch.column(1)):
@@ -266,6 +270,7 @@ def _collide(coordinates: int, matches: int, percent: int):
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=kinds)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
         for batch in batches:

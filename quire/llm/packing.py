@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.store import small_enough, written
 from quire.llm.words import SLAB, Slab, slabs, word_hashes, words
+from quire.llm.workers import releasing
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 64 * 2048
@@ -257,6 +258,7 @@ def pack(
     fields = [f for f in _ARROW if with_ids or f[0] != "ids"]
     kinds = pa.schema(fields)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         packer = Packer(TaskContext.get().partitionId(), tiers)

@@ -86,7 +86,7 @@ def vectors(slab: Slab, idf: np.ndarray) -> np.ndarray:
 def _blocks(column: pa.Array) -> Iterator[Slab]:
     """Slabs of at most ROWS documents."""
     for first in range(0, len(column), ROWS):
-        for slab in slabs(column.slice(first, ROWS), SLAB):
+        for slab in slabs(column.slice(first, ROWS), 2 * SLAB):
             yield Slab(slab.first + first, slab.last + first, slab.data, slab.bounds)
 
 

@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 
 from quire.llm.store import shuffle_parts, small_enough, written
 from quire.llm.words import SLAB, gram_hashes, gram_starts, slabs, word_hashes, words
+from quire.llm.workers import releasing
 
 WINDOW = 20
 BLOCK = 10
-CHUNK = SLAB
+CHUNK = 2 * SLAB
 _LEAST = -(1 << 63)
 
 _LOW = np.uint64(0xFFFFFFFF)
@@ -65,6 +66,7 @@ def _unplaced(rows: list[pa.RecordBatch], at: int) -> tuple[np.ndarray, np.ndarr
     return np.repeat(names, np.frombuffer(blobs[1], "<u4"), axis=0), np.frombuffer(blobs[2], "<u4")
 
 
+@releasing
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All that came back to one chunk, a row per document."""
     kinds = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("starts", pa.binary())])
@@ -100,6 +102,7 @@ class _Chunks:
 def _probe(block: int, buckets: int):
     """What each bucket is asked (probes, blocks), and what a chunk finds within itself (names, sizes, starts)."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _Chunks()
         for batch in batches:
@@ -146,6 +149,7 @@ def _to_buckets(probes, entry, start, doc_id, many, buckets, chunk, known) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ASKED, strict=True)], schema=_ASKED)
 
 
+@releasing
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bucket per group of rows: index entries that a probe or another entry meets, a row for each chunk."""
     kinds = pa.schema(_PLACES)
@@ -238,6 +242,7 @@ def _finish(text: bytes, starts: np.ndarray, window: int, with_text: bool) -> tu
 def _extend(window: int, block: int, buckets: int, with_text: bool):
     """Documents without candidate windows are finished; the others go on with their windows' hashes by bucket."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _Chunks()
         for batch in batches:
@@ -308,6 +313,7 @@ def _extend_slab(batch, slab, window, block, buckets, with_text, chunk):
 def _plain(with_text: bool):
     kinds = pa.schema(_DONE)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
         for batch in batches:
@@ -323,6 +329,7 @@ def _plain(with_text: bool):
     return run
 
 
+@releasing
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bucket per group of rows: windows whose words also begin earlier, a row for each chunk."""
     kinds = pa.schema(_PLACES)
@@ -347,6 +354,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _close(window: int, with_text: bool):
     kinds = pa.schema(_DONE)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
